@@ -62,26 +62,31 @@ class Exchange:
         """Write columns onto rows; returns the put's sequence number.
 
         Without ``metadata`` the rows fill a whole step in the order of ``batch_index`` (or
-        of the unique columns ``order_by``). With it, the row at each position goes to the
-        address the batch holds there.
+        of the unique columns ``order_by``); a column ``global_step`` fills many steps at
+        once. With it, the row at each position goes to the address the batch holds there.
         """
         fields = [c for c in data.columns if c not in _POSITION]
         if metadata is None:
-            if global_step is None:
+            if global_step is None and STEP not in data.columns:
                 raise ValueError("global_step is needed when no metadata is given")
             if "batch_index" not in data.columns:
                 if not order_by:
                     raise ValueError("unnumbered rows need order_by")
                 data = IN.number_rows(data, order_by)
-            numbered = data.withColumn(STEP, F.lit(global_step).cast("bigint"))
-            rows = IN.insert_rows(numbered.withColumnRenamed("batch_index", "_pos"), self.layout, "_pos")
+            if global_step is not None:
+                data = data.withColumn(STEP, F.lit(global_step).cast("bigint"))
+            rows = IN.insert_rows(data.withColumnRenamed("batch_index", "_pos"), self.layout, "_pos")
         else:
             if metadata.isEmpty():
                 raise ValueError("metadata cannot be empty")
             rows = IN.transfer_rows(metadata, data)
         return self._write(rows, fields, global_step)
 
-    def _write(self, rows: DataFrame, fields: list[str], global_step: int | None) -> int:
+    def put_rows(self, rows: DataFrame) -> int:
+        """Write columns onto rows that carry their own ``global_step`` and ``global_index``."""
+        return self._write(rows, [c for c in rows.columns if c not in _POSITION])
+
+    def _write(self, rows: DataFrame, fields: list[str], global_step: int | None = None) -> int:
         known = self.tables.field_types()
         clash = IN.conflicting_types(known, rows.schema, fields)
         if clash:

@@ -79,14 +79,15 @@ def a4_resolve_documents(spark, sf_dir):
 
 @query(
     "a5_clear_step",
-    f"""WITH {EVT_CTE},
+    f"""WITH evt AS (SELECT event_id, event_type, {place('user_id', 2, 128)} FROM events),
 c AS (SELECT global_step, max(event_id) AS at FROM evt WHERE event_type = 'error' GROUP BY 1)
 SELECT e.global_step, e.global_index, e.event_type AS field, e.event_id AS put_seq
 FROM evt e LEFT JOIN c ON c.global_step = e.global_step WHERE c.at IS NULL OR e.event_id > c.at""",
 )
 def a5_clear_step(spark, sf_dir):
-    log = B.event_production(spark, sf_dir)
-    return RD.live_rows(log, B.event_clears(spark, sf_dir), "put_seq").select(*KEY, "field", "put_seq")
+    log = B.event_production(spark, sf_dir, B.EVT_SMALL)
+    clears = B.event_clears(spark, sf_dir, B.EVT_SMALL)
+    return RD.live_rows(log, clears, "put_seq").select(*KEY, "field", "put_seq")
 
 
 _UNLESS_CLEARED = ", ".join(

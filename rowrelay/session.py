@@ -27,3 +27,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(spark, "checkpoint"))
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb_state(spark: SparkSession) -> None:
+    """Stateful operators with several state variables need the RocksDB state store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)

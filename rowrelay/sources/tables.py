@@ -55,15 +55,19 @@ class Tables:
         return self.spark.read.schema(schema).parquet(self.location(name))
 
     def append(self, name: str, rows: DataFrame) -> None:
+        """Add rows. Partitioned tables get few files per partition: rows are brought together
+        by partition, and a partition too big for one task is split again at run time."""
+        by = _PARTITIONS.get(name)
+        if by:
+            rows = rows.hint("rebalance", *by)
         writer = rows.write.mode("append")
-        if name in _PARTITIONS:
-            writer = writer.partitionBy(*_PARTITIONS[name])
-        writer.parquet(self.location(name))
+        (writer.partitionBy(*by) if by else writer).parquet(self.location(name))
 
     def replace_step(self, name: str, rows: DataFrame) -> None:
         """Overwrite exactly the partitions that ``rows`` has rows for."""
-        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy(*_PARTITIONS[name]).parquet(self.location(name))
+        by = _PARTITIONS[name]
+        writer = rows.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(*by).parquet(self.location(name))
 
     def field_types(self) -> dict[str, T.DataType]:
         """Spark type of every field, as fixed by the first put (one row per column name)."""
