@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowrelay.layout import Layout
 from rowrelay.operators import fetch as FE, ingest as IN, read as RD, status as ST
-from rowrelay.schema import FIELDS, INDEX, KEY, STEP
+from rowrelay.schema import INDEX, KEY, STEP
 from rowrelay.session import shared_dir
-from rowrelay.sources.tables import Tables
+from rowrelay.sources.tables import STEPS_PER_BAND, Tables
 
 _POSITION = ("batch_id", "batch_index", STEP, INDEX)
 
@@ -40,12 +40,12 @@ class Exchange:
         return self._live("segments", "put_seq", global_step)
 
     def _live(self, name: str, seq: str, global_step: int | None) -> DataFrame:
-        log, clears = self.tables.read(name), self.tables.read("clears")
+        log, clears = self.tables.read(name, global_step), self.tables.read("clears", global_step)
         if global_step is None:
             return RD.live_rows(log, clears, seq)
         # One step: its last clear is a single number, no join is needed.
-        last = clears.filter(F.col(STEP) == global_step).agg(F.coalesce(F.max("clear_seq"), F.lit(-1)).alias("c"))
-        return log.filter(F.col(STEP) == global_step).filter(F.col(seq) > last.scalar())
+        last = clears.agg(F.coalesce(F.max("clear_seq"), F.lit(-1)).alias("c"))
+        return log.filter(F.col(seq) > last.scalar())
 
     def _steps(self, *steps: int) -> DataFrame:
         return self.spark.createDataFrame([(s,) for s in steps], f"{STEP} bigint")
@@ -93,15 +93,14 @@ class Exchange:
             raise TypeError(f"fields put with another type before: {clash}")
         seq = self.tables.begin("put", global_step)
         cells = IN.segment(rows, fields, seq, "batch_index" if "batch_index" in rows.columns else None)
-        new = [(f, rows.schema[f].dataType.simpleString(), seq, i) for i, f in enumerate(fields) if f not in known]
+        types = {f: rows.schema[f].dataType for f in fields}
+        new = {f: t for f, t in types.items() if f not in known}
         if new:
-            self.tables.append("fields", self.spark.createDataFrame(new, FIELDS))
+            self.tables.add_fields(new, seq, {f: i for i, f in enumerate(fields)})
         self.tables.append("segments", cells)
         # Read back what was written: the log describes the stored values, and it is
         # appended last, so a row becomes ready only when its data is there.
-        stored = self.tables.read("segments").filter(F.col("put_seq") == seq)
-        if global_step is not None:
-            stored = stored.filter(F.col(STEP) == global_step)
+        stored = self.tables.read("segments", global_step, types).filter(F.col("put_seq") == seq)
         self.tables.append("production", IN.production_rows(stored, fields))
         return seq
 
@@ -179,7 +178,7 @@ class Exchange:
     def clear(self, global_step: int) -> int:
         """Drop a step's cells, production and claims."""
         seq = self.tables.begin("clear", global_step)
-        self.tables.append("clears", self.spark.createDataFrame([(global_step, seq)], f"{STEP} bigint, clear_seq bigint"))
+        self.tables.append_record("clears", global_step, seq)
         return seq
 
     def clear_rows(self, rows: DataFrame) -> int:
@@ -189,13 +188,19 @@ class Exchange:
         return seq
 
     def compact(self, global_step: int) -> None:
-        """Rewrite a step's segments as one, so that reads no longer pay for earlier puts."""
-        fields = list(self.tables.field_types())
-        last = self.segments(global_step).agg(F.max("put_seq").alias("m")).scalar()
-        cells = RD.compact(self.segments(global_step), fields, last)
+        """Rewrite the segments around a step as one per row, without what was cleared.
+
+        Reads then no longer pay for earlier puts. Covers the run of steps that share a
+        folder with this one; nobody may put into them meanwhile.
+        """
+        first = global_step // STEPS_PER_BAND * STEPS_PER_BAND
+        near = F.col(STEP).between(first, first + STEPS_PER_BAND - 1)
+        old = self.segments().filter(near)
+        last = old.agg(F.max("put_seq").alias("m")).scalar()
+        cells = RD.compact(old, list(self.tables.field_types()), last)
         scratch = shared_dir(self.spark, "compact")
         cells.write.parquet(scratch)
-        self.tables.replace_step("segments", self.spark.read.schema(cells.schema).parquet(scratch))
+        self.tables.replace_band("segments", self.spark.read.schema(cells.schema).parquet(scratch))
 
     # --- status --------------------------------------------------------------------
 

@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 from rowrelay.functions.fieldmaps import render_fields
 from rowrelay.operators import fetch as FE, read as RD
 from rowrelay.plans.queries.registry import DOC_CTE, ORD_CTE, place, query
-from rowrelay.schema import CLAIMS, KEY, STEP
+from rowrelay.schema import KEY
 from rowrelay.session import shared_dir
 from rowrelay.sources import bindings as B
+from rowrelay.sources.tables import Tables
 
 _READY = f"""{DOC_CTE},
 ready AS (SELECT * FROM doc WHERE quality IS NOT NULL AND NOT taken),
@@ -176,11 +177,11 @@ CAST(bi % 4 AS BIGINT) AS batch_index FROM numbered WHERE (bi < 4 AND c >= 4) OR
 def d8_claim(spark, sf_dir):
     """Two batches in a row: the second is picked after the first has been recorded."""
     production, claims = _docs(spark, sf_dir)
-    folder = shared_dir(spark, "claims")
+    tables = Tables(spark, shared_dir(spark, "exchange"))
     for claim_seq in (2, 3):
         rows = FE.fetch_rows(production, claims, ["text", "quality"], 4, "train")
-        FE.claim(rows, "train", claim_seq).write.mode("append").partitionBy("task_name", STEP).parquet(folder)
-        taken = spark.read.schema(CLAIMS).parquet(folder)
+        tables.append("claims", FE.claim(rows, "train", claim_seq))
+        taken = tables.read("claims")
         claims = B.doc_claims(spark, sf_dir).unionByName(taken)
     return taken.select("task_name", *KEY, "claim_seq", "batch_index")
 

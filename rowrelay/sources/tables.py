@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from rowrelay.schema import CLAIMS, CLEARS, COMMITS, FIELDS, INDEX, PRODUCTION, STEP
+from rowrelay.functions.addressing import floor_div
+from rowrelay.schema import CLAIMS, CLEARS, FIELDS, INDEX, OPERATIONS, PRODUCTION, STEP
 
 _SEGMENT_HEAD = T.StructType(
     [
@@ -23,14 +24,19 @@ _SCHEMAS = {
     "claims": CLAIMS,
     "clears": CLEARS,
     "fields": FIELDS,
-    "operations": COMMITS,
+    "operations": OPERATIONS,
 }
 
-_PARTITIONS = {
-    "segments": [STEP],
-    "production": [STEP],
-    "claims": ["task_name", STEP],
-}
+# Folders are cut by runs of steps: a folder per step would leave a bulk put with a file
+# per step, while inside a run the row-group statistics of the sorted files tell steps apart.
+BAND = "step_band"
+STEPS_PER_BAND = 64
+
+_PARTITIONS = {"segments": [BAND], "production": [BAND], "claims": ["task_name", BAND]}
+
+
+def band_of(step: Column) -> Column:
+    return floor_div(step, STEPS_PER_BAND)
 
 
 class Tables:
@@ -39,35 +45,58 @@ class Tables:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
-        for name in _SCHEMAS:
-            try:
-                self.read(name)
-            except AnalysisException:
-                self.append(name, spark.createDataFrame([], _SCHEMAS[name]))
 
     def location(self, name: str) -> str:
         return f"{self.path}/{name}"
 
-    def read(self, name: str) -> DataFrame:
-        schema = _SCHEMAS[name]
+    def schema(self, name: str, types: dict[str, T.DataType] | None = None) -> T.StructType:
+        fields = list(_SCHEMAS[name].fields)
         if name == "segments":
-            schema = T.StructType(schema.fields + [T.StructField(n, t) for n, t in self.field_types().items()])
-        return self.spark.read.schema(schema).parquet(self.location(name))
+            types = self.field_types() if types is None else types
+            fields += [T.StructField(n, t) for n, t in types.items()]
+        return T.StructType(fields)
+
+    def read(
+        self, name: str, global_step: int | None = None, types: dict[str, T.DataType] | None = None
+    ) -> DataFrame:
+        """A table, or the rows of one step; a table nobody has written yet is empty.
+
+        ``types`` names the columns to read of the segments, all known ones by default.
+        """
+        schema = self.schema(name, types)
+        try:
+            rows = self.spark.read.schema(_with_band(name, schema)).parquet(self.location(name))
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = self.spark.createDataFrame([], _with_band(name, schema))
+        if global_step is not None:
+            if name in _PARTITIONS:
+                rows = rows.filter(F.col(BAND) == global_step // STEPS_PER_BAND)
+            rows = rows.filter(F.col(STEP) == global_step)
+        return rows.select(*schema.names)
+
+    def read_stream(self, name: str) -> DataFrame:
+        """A table as a stream of the rows appended to it."""
+        self.spark.createDataFrame([], _with_band(name, self.schema(name))).write.mode("append").parquet(self.location(name))
+        schema = self.schema(name)
+        return self.spark.readStream.schema(_with_band(name, schema)).parquet(self.location(name)).select(*schema.names)
 
     def append(self, name: str, rows: DataFrame) -> None:
-        """Add rows. Partitioned tables get few files per partition: rows are brought together
-        by partition, and a partition too big for one task is split again at run time."""
-        by = _PARTITIONS.get(name)
-        if by:
-            rows = rows.hint("rebalance", *by)
-        writer = rows.write.mode("append")
-        (writer.partitionBy(*by) if by else writer).parquet(self.location(name))
+        self._write(name, rows).mode("append").parquet(self.location(name))
+
+    def replace_band(self, name: str, rows: DataFrame) -> None:
+        """Overwrite the folders that ``rows`` has rows for."""
+        self._write(name, rows).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.location(name))
 
-    def replace_step(self, name: str, rows: DataFrame) -> None:
-        """Overwrite exactly the partitions that ``rows`` has rows for."""
-        by = _PARTITIONS[name]
-        writer = rows.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy(*by).parquet(self.location(name))
+    def _write(self, name: str, rows: DataFrame):
+        """Few files per folder: rows are brought together by folder, and a folder too big for
+        one task is split again at run time. Files are sorted by address."""
+        by = _PARTITIONS.get(name)
+        if not by:
+            return rows.write
+        placed = rows.withColumn(BAND, band_of(F.col(STEP))).hint("rebalance", *by)
+        return placed.sortWithinPartitions(*by, STEP, INDEX).write.partitionBy(*by)
 
     def field_types(self) -> dict[str, T.DataType]:
         """Spark type of every field, as fixed by the first put (one row per column name)."""
@@ -78,9 +107,31 @@ class Tables:
         """Reserve and record the next sequence number."""
         top = self.read("operations").agg(F.max("seq")).first()[0]
         seq = 0 if top is None else top + 1
-        self.append("operations", self.spark.createDataFrame([(seq, kind, step, task, None)], COMMITS))
+        self.append_record("operations", seq, kind, step, task)
         return seq
 
+    def append_record(self, name: str, *values) -> None:
+        """Append one row given by its values."""
+        columns = [F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(_SCHEMAS[name], values, strict=True)]
+        self.append(name, self.spark.range(1).coalesce(1).select(*columns))
+
+    def add_fields(self, types: dict[str, T.DataType], put_seq: int, positions: dict[str, int]) -> None:
+        """Register fields that a put brings for the first time."""
+        rows = [
+            F.struct(
+                F.lit(n).alias("field"), F.lit(t.simpleString()).alias("type_ddl"),
+                F.lit(put_seq).cast("bigint").alias("put_seq"), F.lit(positions[n]).alias("field_pos"),
+            )
+            for n, t in types.items()
+        ]
+        self.append("fields", self.spark.range(1).coalesce(1).select(F.inline(F.array(*rows))))
+
+
+def _with_band(name: str, schema: T.StructType) -> T.StructType:
+    if name not in _PARTITIONS:
+        return schema
+    return T.StructType(schema.fields + [T.StructField(BAND, T.LongType())])
+
 
 def _parse(ddl: str) -> T.DataType:
     return T.DataType.fromDDL(ddl)

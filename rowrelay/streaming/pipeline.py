@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from rowrelay.operators.read import get_data
 from rowrelay.plans.exchange import Exchange
-from rowrelay.schema import KEY, PRODUCTION
+from rowrelay.schema import KEY
 from rowrelay.streaming.batches import BatchCutter, batch_stream
 from rowrelay.streaming.ready import ready_stream
 
@@ -36,8 +36,7 @@ def start_stage(exchange: Exchange, stage: Stage, folder: str, **trigger):
     again, which leaves cells and readiness as they are.
     """
     spark, tables = exchange.spark, exchange.tables
-    log = spark.readStream.schema(PRODUCTION).parquet(tables.location("production"))
-    marks = spark.readStream.schema("global_step bigint, clear_seq bigint").parquet(tables.location("clears"))
+    log, marks = tables.read_stream("production"), tables.read_stream("clears")
     ready = ready_stream(
         log,
         exchange.layout,
