@@ -16,8 +16,9 @@ from rowrelay.session import ensure_checkpoint_dir
 BLOCK = 1 << 16
 
 # Up to this many rows per group a limited row_number is used: every task keeps at most
-# this many rows per group before the shuffle, so the shuffled rows are bounded by it.
-SMALL_LIMIT = 10_000
+# this many rows per group before the shuffle, so what one group sends to its final task
+# is bounded by it times the number of tasks.
+SMALL_LIMIT = 1_000
 
 
 def block_table(df: DataFrame, keys: list[str], index: str, width: int = BLOCK) -> DataFrame:

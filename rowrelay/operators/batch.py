@@ -35,8 +35,8 @@ def global_indexes(meta: DataFrame, ordered: bool = False) -> DataFrame:
 
 def field_names(meta: DataFrame) -> DataFrame:
     """Sorted field names of the first row of each batch."""
-    first = F.min_by(F.map_keys("fields"), F.col("batch_index"))
-    return meta.groupBy("batch_id").agg(F.array_sort(first).alias("field_names"))
+    first = meta.filter("batch_index = 0")
+    return first.select("batch_id", F.array_sort(F.map_keys("fields")).alias("field_names"))
 
 
 def is_ready(meta: DataFrame) -> DataFrame:
@@ -111,8 +111,9 @@ def concat(parts: list[DataFrame], validate: bool = True) -> DataFrame | None:
 
 
 def _first_names(part: DataFrame) -> DataFrame:
-    names = F.array_sort(F.map_keys(F.min_by("fields", "batch_index")))
-    return part.agg(F.coalesce(names, F.array().cast("array<string>")).alias("names"))
+    """One row, for an empty part too."""
+    first = part.filter("batch_index = 0").select(F.array_sort(F.map_keys("fields")).alias("names"))
+    return first.agg(F.coalesce(F.first("names"), F.array().cast("array<string>")).alias("names"))
 
 
 def concat_parts(meta: DataFrame, part: str = "part_no") -> DataFrame:

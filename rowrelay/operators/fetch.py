@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from rowrelay.functions import addressing as A
 from rowrelay.functions.bits import collect_bits, has_all, position_in
-from rowrelay.functions.blocks import lowest
+from rowrelay.functions.blocks import BLOCK, distinct_per_group, lowest
 from rowrelay.functions.fieldmaps import constant_fields, empty_fields, field_meta
 from rowrelay.layout import Layout
-from rowrelay.operators.read import row_space
 from rowrelay.schema import FIELD_MAP, INDEX, KEY, NOT_PRODUCED, READY, STEP
 
 # A prompt group is tested in one aggregation while its cells fit this many bits;
@@ -120,13 +119,13 @@ def sequential_sample_units(units: DataFrame, k: int, samples: int, exact: bool
 
 def sequential_sample_groups(rows: DataFrame, k: int, samples: int, exact: bool = False) -> DataFrame:
     """As ``sequential_sample`` on whole groups; incomplete groups are left out."""
-    units = (
-        rows.groupBy(STEP, A.prompt_group(F.col(INDEX), samples).alias("_unit"))
-        .agg(F.count_distinct(INDEX).alias("_n"))
-        .filter(F.col("_n") == samples)
-        .select(STEP, "_unit")
-    )
-    return sequential_sample_units(units, k, samples, exact)
+    units = rows.groupBy(STEP, A.prompt_group(F.col(INDEX), samples).alias("_unit"))
+    if samples <= GROUP_BITS:
+        seen = units.agg(*collect_bits(A.group_offset(F.col(INDEX), samples), samples, "_w"))
+        full = seen.filter(has_all(samples, "_w"))
+    else:
+        full = units.agg(F.count_distinct(INDEX).alias("_n")).filter(F.col("_n") == samples)
+    return sequential_sample_units(full.select(STEP, "_unit"), k, samples, exact)
 
 
 def fetch_rows(
@@ -142,23 +141,48 @@ def fetch_rows(
 
 
 def force_fetch_rows(
-    steps: DataFrame, claims: DataFrame, layout: Layout, k: int, task: str, grouped: bool = False
+    steps: DataFrame, claims: DataFrame, layout: Layout, k: int, task: str, grouped: bool = False, width: int = BLOCK
 ) -> DataFrame:
-    """Exactly ``k`` unconsumed rows per step whatever their readiness, or none."""
+    """Exactly ``k`` unconsumed rows per step whatever their readiness, or none.
+
+    The free rows are counted per block from the claims alone; only the blocks that hold
+    the ``k`` lowest ones are then written out as rows, so the work follows the claims and
+    ``k``, not the size of the step.
+    """
     if not task:
         raise ValueError("a fetch needs a task name")
     samples = layout.samples if grouped else 1
     if k % samples:
         raise ValueError(f"batch size {k} is not a multiple of {samples}")
-    taken = claims.filter(F.col("task_name") == task)
-    space = row_space(steps, layout)
-    if samples == 1:
-        free = space.join(taken.select(*KEY), KEY, "left_anti")
-        return sequential_sample(free, k, exact=True)
+    units = layout.rows_per_step // samples
+    wanted = k // samples
     unit = A.prompt_group(F.col(INDEX), samples).alias("_unit")
-    heads = space.filter(A.group_offset(F.col(INDEX), samples) == 0).select(STEP, unit)
-    free = heads.join(taken.select(STEP, unit), [STEP, "_unit"], "left_anti")
-    return sequential_sample_units(free, k, samples, exact=True)
+    taken = claims.filter((F.col("task_name") == task) & A.in_step(F.col(STEP), F.col(INDEX), layout)).select(STEP, unit)
+    start = A.floor_div(A.step_start(F.col(STEP), layout), samples)
+    # Blocks are counted from the step's own start.
+    taken = taken.withColumn("_block", A.floor_div(F.col("_unit") - start, width))
+    spaces = steps.select(
+        STEP, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit((units - 1) // width).cast("bigint"))).alias("_block")
+    )
+    used = distinct_per_group(taken, [STEP, "_block"], "_unit", "_used")
+    size = F.least(F.lit(width).cast("bigint"), F.lit(units) - F.col("_block") * width)
+    free = spaces.join(used, [STEP, "_block"], "left").withColumn("_free", size - F.coalesce("_used", F.lit(0)))
+    step = Window.partitionBy(STEP)
+    lower = step.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (
+        free.withColumn("_before", F.coalesce(F.sum("_free").over(lower), F.lit(0)))
+        .withColumn("_total", F.sum("_free").over(step))
+        .filter((F.col("_total") >= wanted) & (F.col("_before") < wanted) & (F.col("_free") > 0))
+        .select(STEP, "_block")
+    )
+    first = start + F.col("_block") * width
+    last = F.least(first + width, start + units) - 1
+    rows = blocks.select(STEP, "_block", F.explode(F.sequence(first, last)).alias("_unit"))
+    nearby = taken.join(blocks, [STEP, "_block"], "left_semi")
+    open_units = rows.join(nearby, [STEP, "_block", "_unit"], "left_anti").select(STEP, "_unit")
+    if samples > 1:
+        return sequential_sample_units(open_units, k, samples, exact=True)
+    return sequential_sample(_rows_of(open_units, 1), k, exact=True)
 
 
 def batch_gate(ready: DataFrame, steps: DataFrame, k: int) -> DataFrame:

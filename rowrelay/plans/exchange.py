@@ -166,8 +166,8 @@ class Exchange:
     def get_data(self, metadata: DataFrame, fields: list[str] | None = None, ordered: bool = False) -> DataFrame:
         """Values of the batch's rows; without ``fields`` those of the batch's first row."""
         if fields is None:
-            first = metadata.agg(F.min_by(F.map_keys("fields"), F.col("batch_index")).alias("names")).first()
-            fields = sorted(first["names"] or [])
+            first = metadata.filter("batch_index = 0").select(F.map_keys("fields").alias("names")).first()
+            fields = first["names"] if first else []
         return RD.get_data(metadata, self.segments(), fields, ordered)
 
     # --- clear and maintenance -------------------------------------------------------
