@@ -10,6 +10,8 @@ from rowrelay.layout import Layout
 def floor_div(value: Column, divisor: int) -> Column:
     """Integer division rounding down, staying in BIGINT (no detour over DOUBLE)."""
     value = value.cast("bigint")
+    if divisor == 1:
+        return value
     rest = F.pmod(value, F.lit(divisor).cast("bigint"))
     return F.call_function("div", value - rest, F.lit(divisor).cast("bigint"))
 

@@ -46,6 +46,39 @@ def insert_rows(df: DataFrame, layout: Layout, index: str, strict: bool = True)
     return out.drop("_size") if strict else out.withColumn("is_full", full).drop("_size")
 
 
+def insert_positions(df: DataFrame, layout: Layout, position: str = "batch_index") -> DataFrame:
+    """Address rows of whole steps that already know their position in the step.
+
+    The positions of every step must be exactly 0 .. ``rows_per_step`` - 1, else the job
+    fails before anything is written. They are checked in a pass over the positions alone
+    whose result is one value, so the rows themselves are not moved.
+    """
+    narrow = df.select(STEP, F.col(position).cast("bigint").alias("_p"))
+    buckets = narrow.groupBy(STEP, F.bitmap_bucket_number("_p").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"),
+        F.count(F.lit(1)).alias("_rows"),
+        F.min("_p").alias("_low"),
+        F.max("_p").alias("_high"),
+    )
+    per_step = buckets.groupBy(STEP).agg(
+        F.sum(F.bitmap_count("_bits")).alias("_distinct"),
+        F.sum("_rows").alias("_rows"),
+        F.min("_low").alias("_low"),
+        F.max("_high").alias("_high"),
+    )
+    size = layout.rows_per_step
+    whole = (F.col("_distinct") == size) & (F.col("_rows") == size) & (F.col("_low") == 0) & (F.col("_high") == size - 1)
+    wrong = F.concat(
+        F.lit(f"a step needs {size} rows at positions 0 to {size - 1}, step "),
+        F.col(STEP).cast("string"), F.lit(" has "), F.col("_rows").cast("string"),
+        F.lit(" from "), F.col("_low").cast("string"), F.lit(" to "), F.col("_high").cast("string"),
+    )
+    empty = F.when(F.count(F.lit(1)) == 0, F.lit(f"a step needs {size} rows, there are none"))
+    found = per_step.agg(F.coalesce(F.min(F.when(~F.coalesce(whole, F.lit(False)), wrong)), empty).alias("m")).scalar()
+    address = A.step_start(F.col(STEP), layout) + F.col(position)
+    return df.withColumn(INDEX, F.when(found.isNull(), address).otherwise(F.raise_error(found).cast("bigint")))
+
+
 def transfer_rows(meta: DataFrame, data: DataFrame, shards: int | None = None) -> DataFrame:
     """Give each input row the address that the batch holds at the row's position.
 

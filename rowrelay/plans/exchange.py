@@ -18,8 +18,8 @@ _POSITION = ("batch_id", "batch_index", STEP, INDEX)
 class Exchange:
     """Operators composed over persisted tables.
 
-    Every call is a Spark job on the tables of the step concerned; nothing is kept in the
-    driver between calls, so a new session on the same folder continues where another left.
+    Every call is a Spark job on the tables of the step concerned; the driver keeps nothing
+    but column types, so a new session on the same folder continues where another left.
     """
 
     def __init__(self, spark: SparkSession, path: str, layout: Layout):
@@ -36,11 +36,14 @@ class Exchange:
         live = self._live("claims", "claim_seq", global_step)
         return live if task_name is None else live.filter(F.col("task_name") == task_name)
 
-    def segments(self, global_step: int | None = None) -> DataFrame:
-        return self._live("segments", "put_seq", global_step)
+    def segments(self, global_step: int | None = None, fields: list[str] | None = None) -> DataFrame:
+        """Written cells; with ``fields`` only those columns."""
+        known = self.tables.field_types(fields)
+        types = known if fields is None else {f: known[f] for f in fields if f in known}
+        return self._live("segments", "put_seq", global_step, types)
 
-    def _live(self, name: str, seq: str, global_step: int | None) -> DataFrame:
-        log, clears = self.tables.read(name, global_step), self.tables.read("clears", global_step)
+    def _live(self, name: str, seq: str, global_step: int | None, types: dict | None = None) -> DataFrame:
+        log, clears = self.tables.read(name, global_step, types), self.tables.read("clears", global_step)
         if global_step is None:
             return RD.live_rows(log, clears, seq)
         # One step: its last clear is a single number, no join is needed.
@@ -75,7 +78,7 @@ class Exchange:
                 data = IN.number_rows(data, order_by)
             if global_step is not None:
                 data = data.withColumn(STEP, F.lit(global_step).cast("bigint"))
-            rows = IN.insert_rows(data.withColumnRenamed("batch_index", "_pos"), self.layout, "_pos")
+            rows = IN.insert_positions(data, self.layout)
         else:
             if metadata.isEmpty():
                 raise ValueError("metadata cannot be empty")
@@ -87,21 +90,22 @@ class Exchange:
         return self._write(rows, [c for c in rows.columns if c not in _POSITION])
 
     def _write(self, rows: DataFrame, fields: list[str], global_step: int | None = None) -> int:
-        known = self.tables.field_types()
+        known = self.tables.field_types(fields)
         clash = IN.conflicting_types(known, rows.schema, fields)
         if clash:
             raise TypeError(f"fields put with another type before: {clash}")
-        seq = self.tables.begin("put", global_step)
+        seq = self.tables.next_seq()
         cells = IN.segment(rows, fields, seq, "batch_index" if "batch_index" in rows.columns else None)
         types = {f: rows.schema[f].dataType for f in fields}
         new = {f: t for f, t in types.items() if f not in known}
         if new:
             self.tables.add_fields(new, seq, {f: i for i, f in enumerate(fields)})
-        self.tables.append("segments", cells)
+        one = global_step is not None
+        self.tables.append("segments", cells, one_folder=one)
         # Read back what was written: the log describes the stored values, and it is
         # appended last, so a row becomes ready only when its data is there.
         stored = self.tables.read("segments", global_step, types).filter(F.col("put_seq") == seq)
-        self.tables.append("production", IN.production_rows(stored, fields))
+        self.tables.append("production", IN.production_rows(stored, fields), one_folder=one)
         return seq
 
     # --- get -----------------------------------------------------------------------
@@ -132,7 +136,7 @@ class Exchange:
             raise ValueError(f"unknown mode {mode}")
         if not task_name:
             raise ValueError("a fetch needs a task name")
-        seq = self.tables.begin("claim", global_step, task_name)
+        seq = self.tables.next_seq()
         deadline = time.monotonic() + wait_seconds
         while True:
             batch = self._claim(data_fields, batch_size, global_step, mode, get_n_samples, task_name, seq)
@@ -151,7 +155,7 @@ class Exchange:
             rows = FE.fetch_rows(self.production(step), taken, fields, k, task, samples)
         else:
             rows = FE.force_fetch_rows(self._steps(step), taken, self.layout, k, task, grouped)
-        self.tables.append("claims", FE.claim(rows, task, seq))
+        self.tables.append("claims", FE.claim(rows, task, seq), one_folder=True)
         # Evaluating the selection again would pick other rows: the batch is what was written.
         return self.claims(task, step).filter(F.col("claim_seq") == seq).select("batch_index", *KEY)
 
@@ -168,7 +172,7 @@ class Exchange:
         if fields is None:
             first = metadata.filter("batch_index = 0").select(F.map_keys("fields").alias("names")).first()
             fields = first["names"] if first else []
-        return RD.get_data(metadata, self.segments(), fields, ordered)
+        return RD.get_data(metadata, self.segments(fields=fields), fields, ordered)
 
     # --- clear and maintenance -------------------------------------------------------
 
@@ -177,13 +181,13 @@ class Exchange:
 
     def clear(self, global_step: int) -> int:
         """Drop a step's cells, production and claims."""
-        seq = self.tables.begin("clear", global_step)
+        seq = self.tables.next_seq()
         self.tables.append_record("clears", global_step, seq)
         return seq
 
     def clear_rows(self, rows: DataFrame) -> int:
         """Unset every field of the given rows; their status stays."""
-        seq = self.tables.begin("clear_rows")
+        seq = self.tables.next_seq()
         self.tables.append("segments", IN.clear_row_segment(rows, self.tables.field_types(), seq))
         return seq
 

@@ -34,6 +34,16 @@ def _lines(spark, sf_dir):
     return B.line_production(spark, sf_dir), B.order_claims(spark, sf_dir)
 
 
+def hand_out(spark, rows, task):
+    """Record a selection as claims and go on with what was recorded.
+
+    Whatever follows reads the batch, instead of scanning the log for it again.
+    """
+    tables = Tables(spark, shared_dir(spark, "exchange"))
+    tables.append("claims", FE.claim(rows, task, 0))
+    return tables.read("claims").select("batch_index", *KEY)
+
+
 @query("d1_scan_ready", f"WITH {_READY} SELECT global_step, global_index FROM ready")
 def d1_scan_ready(spark, sf_dir):
     return FE.scan_ready(*_docs(spark, sf_dir), ["text", "quality"], "train")
@@ -135,7 +145,7 @@ FROM numbered WHERE c >= 16 AND bi < 16""",
 def d6_force_fetch(spark, sf_dir):
     production, claims = _docs(spark, sf_dir)
     steps = B.steps_of(B.doc_rows(spark, sf_dir))
-    rows = FE.force_fetch_rows(steps, claims, B.DOC, 16, "train")
+    rows = hand_out(spark, FE.force_fetch_rows(steps, claims, B.DOC, 16, "train"), "train")
     meta = FE.batch_meta(rows, production, ["text", "quality"], real_status=True)
     return meta.select(*KEY, "batch_index", render_fields(F.col("fields")).alias("fields"))
 
@@ -194,7 +204,7 @@ def d8_claim(spark, sf_dir):
 def d9_batch_meta(spark, sf_dir):
     production, claims = _docs(spark, sf_dir)
     names = ["text", "n_chars", "quality"]
-    rows = FE.fetch_rows(production, claims, names, 8, "train")
+    rows = hand_out(spark, FE.fetch_rows(production, claims, names, 8, "train"), "train")
     meta = FE.batch_meta(rows, production, names)
     return meta.select(*KEY, "batch_index", render_fields(F.col("fields")).alias("fields"))
 

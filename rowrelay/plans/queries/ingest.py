@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from rowrelay.operators import fetch as FE, ingest as IN, read as RD
+from rowrelay.plans.queries.fetch import hand_out
 from rowrelay.plans.queries.registry import DOC_CTE, EVT_CTE, place, query
 from rowrelay.schema import INDEX, KEY, STEP
 from rowrelay.sources import bindings as B
@@ -66,7 +67,7 @@ FROM q WHERE c >= 8 AND bi < 8""",
 )
 def a4_get_data(spark, sf_dir):
     rows = FE.fetch_rows(B.doc_production(spark, sf_dir), B.doc_claims(spark, sf_dir), ["text", "quality"], 8, "train")
-    return RD.get_data(rows, B.doc_segments(spark, sf_dir), ["text", "quality", "n_chars"])
+    return RD.get_data(hand_out(spark, rows, "train"), B.doc_segments(spark, sf_dir), ["text", "quality", "n_chars"])
 
 
 @query(

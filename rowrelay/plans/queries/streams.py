@@ -112,7 +112,8 @@ def g5_task_pipeline(spark, sf_dir):
     use_rocksdb_state(spark)
     exchange = Exchange(spark, shared_dir(spark, "exchange"), B.DOC)
     docs = B.doc_rows(spark, sf_dir)
-    exchange.put(docs.select(STEP, F.col("doc_id").alias("batch_index"), "text", "n_chars"))
+    place = (F.col("doc_id") - F.col(STEP) * B.DOC.rows_per_step).alias("batch_index")
+    exchange.put(docs.select(STEP, place, "text", "n_chars"))
     labels = B.table(spark, sf_dir, "labels")
     exchange.put_rows(labels.select(*B.address(F.col("doc_id"), B.DOC), "quality"))
     words = F.size(F.split("text", " "))
@@ -123,7 +124,7 @@ def g5_task_pipeline(spark, sf_dir):
     ]
     handed = PL.run_available(exchange, stages, shared_dir(spark, "pipeline"))
     rows = handed["score"].select("batch_no", *KEY)
-    data = RD.get_data(rows, exchange.segments(), ["n_words", "score"])
+    data = RD.get_data(rows, exchange.segments(fields=["n_words", "score"]), ["n_words", "score"])
     return rows.join(data, KEY).select(*KEY, "n_words", "score", "batch_no")
 
 

@@ -57,16 +57,6 @@ FIELDS = T.StructType(
     ]
 )
 
-# One row per operation begun; its largest `seq` gives the next sequence number.
-OPERATIONS = T.StructType(
-    [
-        T.StructField("seq", T.LongType()),
-        T.StructField("kind", T.StringType()),
-        T.StructField(STEP, T.LongType()),
-        T.StructField("task_name", T.StringType()),
-    ]
-)
-
 # One row per row address of a batch.
 META = T.StructType(
     [

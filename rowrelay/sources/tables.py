@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rowrelay.functions.addressing import floor_div
-from rowrelay.schema import CLAIMS, CLEARS, FIELDS, INDEX, OPERATIONS, PRODUCTION, STEP
+from rowrelay.schema import CLAIMS, CLEARS, FIELDS, INDEX, PRODUCTION, STEP
 
 _SEGMENT_HEAD = T.StructType(
     [
@@ -24,7 +26,6 @@ _SCHEMAS = {
     "claims": CLAIMS,
     "clears": CLEARS,
     "fields": FIELDS,
-    "operations": OPERATIONS,
 }
 
 # Folders are cut by runs of steps: a folder per step would leave a bulk put with a file
@@ -45,6 +46,8 @@ class Tables:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
+        self._types: dict[str, T.DataType] = {}
+        self._last_seq = 0
 
     def location(self, name: str) -> str:
         return f"{self.path}/{name}"
@@ -82,33 +85,43 @@ class Tables:
         schema = self.schema(name)
         return self.spark.readStream.schema(_with_band(name, schema)).parquet(self.location(name)).select(*schema.names)
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        self._write(name, rows).mode("append").parquet(self.location(name))
+    def append(self, name: str, rows: DataFrame, one_folder: bool = False) -> None:
+        """Add rows; ``one_folder`` tells that they all belong to one step."""
+        self._write(name, rows, one_folder).mode("append").parquet(self.location(name))
 
     def replace_band(self, name: str, rows: DataFrame) -> None:
         """Overwrite the folders that ``rows`` has rows for."""
         self._write(name, rows).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.location(name))
 
-    def _write(self, name: str, rows: DataFrame):
-        """Few files per folder: rows are brought together by folder, and a folder too big for
-        one task is split again at run time. Files are sorted by address."""
+    def _write(self, name: str, rows: DataFrame, one_folder: bool = False):
+        """Few files per folder: rows of several folders are brought together by folder, and a
+        folder too big for one task is split again at run time. Rows of one folder stay where
+        they are. Files are sorted by address."""
         by = _PARTITIONS.get(name)
         if not by:
             return rows.write
-        placed = rows.withColumn(BAND, band_of(F.col(STEP))).hint("rebalance", *by)
+        placed = rows.withColumn(BAND, band_of(F.col(STEP)))
+        if not one_folder:
+            placed = placed.hint("rebalance", *by)
         return placed.sortWithinPartitions(*by, STEP, INDEX).write.partitionBy(*by)
 
-    def field_types(self) -> dict[str, T.DataType]:
-        """Spark type of every field, as fixed by the first put (one row per column name)."""
-        first = self.read("fields").groupBy("field").agg(F.min_by("type_ddl", "put_seq").alias("ddl"))
-        return {r["field"]: _parse(r["ddl"]) for r in first.orderBy("field").collect()}
+    def field_types(self, needed: list[str] | None = None) -> dict[str, T.DataType]:
+        """Spark type of every field, as fixed by the first put (one row per column name).
+
+        A type never changes, so the table is read again only for fields not seen before.
+        """
+        if needed is None or any(f not in self._types for f in needed):
+            first = self.read("fields").groupBy("field").agg(F.min_by("type_ddl", "put_seq").alias("ddl"))
+            self._types = {r["field"]: T.DataType.fromDDL(r["ddl"]) for r in first.orderBy("field").collect()}
+        return dict(self._types)
 
-    def begin(self, kind: str, step: int | None = None, task: str | None = None) -> int:
-        """Reserve and record the next sequence number."""
-        top = self.read("operations").agg(F.max("seq")).first()[0]
-        seq = 0 if top is None else top + 1
-        self.append_record("operations", seq, kind, step, task)
-        return seq
+    def next_seq(self) -> int:
+        """Sequence number of a new operation: the time in microseconds, always increasing.
+
+        Writers on several machines are ordered by their clocks.
+        """
+        self._last_seq = max(self._last_seq + 1, time.time_ns() // 1000)
+        return self._last_seq
 
     def append_record(self, name: str, *values) -> None:
         """Append one row given by its values."""
@@ -131,7 +144,3 @@ def _with_band(name: str, schema: T.StructType) -> T.StructType:
     if name not in _PARTITIONS:
         return schema
     return T.StructType(schema.fields + [T.StructField(BAND, T.LongType())])
-
-
-def _parse(ddl: str) -> T.DataType:
-    return T.DataType.fromDDL(ddl)

@@ -51,7 +51,7 @@ def start_stage(exchange: Exchange, stage: Stage, folder: str, **trigger):
         if handed.isEmpty():
             return
         rows = handed.select(*KEY)
-        data = get_data(rows, exchange.segments(), stage.inputs)
+        data = get_data(rows, exchange.segments(fields=stage.inputs), stage.inputs)
         exchange.put_rows(stage.compute(data).select(*KEY, *stage.outputs))
 
     query = batch_stream(ready, cutter, f"{folder}/{stage.task}/checkpoint", work, **trigger)

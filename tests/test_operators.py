@@ -299,3 +299,16 @@ def test_production_schema(spark):
     log = IN.production_rows(seg, ["s", "v"])
     assert [f.name for f in log.schema] == [f.name for f in PRODUCTION]
     assert [f.dataType for f in log.schema] == [f.dataType for f in PRODUCTION]
+
+
+@pytest.mark.parametrize("positions", [[0, 1, 2], [0, 1, 2, 2], [0, 1, 2, 4], [-1, 0, 1, 2], [0, 1, 2, 3, 3], []])
+def test_positions_must_be_whole(spark, positions):
+    df = spark.createDataFrame([(4, p) for p in positions], f"{STEP} bigint, batch_index bigint")
+    good = spark.range(4).select(F.lit(5).cast("bigint").alias(STEP), F.col("id").alias("batch_index"))
+    layout = Layout(prompts=4, slots=8)
+    assert pairs(IN.insert_positions(good, layout)) == [(5, 20), (5, 21), (5, 22), (5, 23)]
+    if positions:
+        with pytest.raises(Exception, match="a step needs 4 rows"):
+            IN.insert_positions(good.unionByName(df), layout).collect()
+    else:
+        assert IN.insert_positions(df, layout).count() == 0
