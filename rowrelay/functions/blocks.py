@@ -8,6 +8,8 @@ table with one row per block (``width`` times smaller) is accumulated per group.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rowrelay.functions.addressing import floor_div
@@ -21,9 +23,25 @@ BLOCK = 1 << 16
 SMALL_LIMIT = 1_000
 
 
+def block_of(index: str, width: int = BLOCK) -> Column:
+    """Block number of a non-NULL index, typed as never NULL.
+
+    A join on a nullable key adds its own NULL filter to either side. With keys that need
+    none, the rows and their block table keep the same plan below, and Spark shuffles the
+    rows once for both.
+    """
+    return F.coalesce(floor_div(F.col(index), width), F.lit(0).cast("bigint"))
+
+
+def with_keys(df: DataFrame, keys: list[str], index: str) -> DataFrame:
+    """Rows whose keys and index are set."""
+    return df.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, index]]))
+
+
 def block_table(df: DataFrame, keys: list[str], index: str, width: int = BLOCK) -> DataFrame:
     """(keys, _block, _n, _before, _total): rows in the block, in lower blocks, in the group."""
-    counts = df.groupBy(*keys, floor_div(F.col(index), width).alias("_block")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = df.select(*keys, block_of(index, width).alias("_block"))
+    counts = placed.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
     group = Window.partitionBy(*keys)
     lower = group.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     return counts.select(
@@ -37,8 +55,9 @@ def block_table(df: DataFrame, keys: list[str], index: str, width: int = BLOCK)
 
 def with_group_size(df: DataFrame, keys: list[str], index: str, size: str, width: int = BLOCK) -> DataFrame:
     """Add the row count of its group to every row."""
+    df = with_keys(df, keys, index)
     table = block_table(df, keys, index, width).select(*keys, "_block", F.col("_total").alias(size))
-    placed = df.withColumn("_block", floor_div(F.col(index), width))
+    placed = df.withColumn("_block", block_of(index, width))
     return placed.join(table, [*keys, "_block"]).drop("_block")
 
 
@@ -53,14 +72,16 @@ def rank_by_block(
 ) -> DataFrame:
     """0-based rank of every row in its group, by a BIGINT index that is unique in the group.
 
+    Rows with a NULL key or index have no rank and are left out.
     With ``limit`` only ranks below it are kept, and blocks that start beyond it are
     dropped before any row is moved. ``limit`` may use the columns ``keys`` and ``_total``.
     """
+    df = with_keys(df, keys, index)
     table = block_table(df, keys, index, width)
     if limit is not None:
         limit = limit if isinstance(limit, Column) else F.lit(limit)
         table = table.filter(F.col("_before") < limit)
-    placed = df.withColumn("_block", floor_div(F.col(index), width))
+    placed = df.withColumn("_block", block_of(index, width))
     joined = placed.join(table.drop("_n"), [*keys, "_block"])
     inside = Window.partitionBy(*keys, "_block").orderBy(index)
     out = joined.withColumn(rank, F.col("_before") + F.row_number().over(inside) - 1)

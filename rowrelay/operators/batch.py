@@ -6,8 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from rowrelay.functions.addressing import floor_div
-from rowrelay.functions.blocks import BLOCK, rank_by_block, with_group_size
+from rowrelay.functions.blocks import BLOCK, block_of, rank_by_block, with_group_size, with_keys
 from rowrelay.functions.fieldmaps import extract_fields, is_ndarray, is_row_ready, is_tensor, merge_right
 from rowrelay.schema import KEY, META, NOT_PRODUCED, READY
 
@@ -118,13 +117,10 @@ def _first_names(part: DataFrame) -> DataFrame:
 
 def concat_parts(meta: DataFrame, part: str = "part_no") -> DataFrame:
     """Concatenate the parts of each batch: rows are renumbered by (part, position)."""
-    blocks = (
-        meta.groupBy("batch_id", part, floor_div(F.col("batch_index"), BLOCK).alias("_block"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+    placed = with_keys(meta, ["batch_id", part], "batch_index").withColumn("_block", block_of("batch_index"))
+    blocks = placed.groupBy("batch_id", part, "_block").agg(F.count(F.lit(1)).alias("_n"))
     lower = Window.partitionBy("batch_id").orderBy(part, "_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(lower), F.lit(0))).drop("_n")
-    placed = meta.withColumn("_block", floor_div(F.col("batch_index"), BLOCK))
     joined = placed.join(offsets, ["batch_id", part, "_block"])
     # Positions are dense in a part, so the place inside the block is plain arithmetic.
     position = F.col("_before") + F.col("batch_index") - F.col("_block") * BLOCK

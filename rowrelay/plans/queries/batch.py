@@ -45,13 +45,15 @@ def e1_from_samples(spark, sf_dir):
 
 @query(
     "e2_empty",
-    f"""WITH {META_CTE} SELECT batch_id, batch_index, global_step, global_index, CAST(0 AS INTEGER) AS n_fields
-FROM meta WHERE false""",
+    f"""WITH {META_CTE} SELECT batch_id, batch_index, global_step, global_index, CAST(3 AS INTEGER) AS n_fields,
+true AS empty_is_ready FROM meta""",
 )
 def e2_empty(spark, sf_dir):
-    # Rows of the batches that an empty batch holds too: none.
-    meta = B.doc_meta(spark, sf_dir).join(BA.empty(spark).select("batch_id"), "batch_id", "left_semi")
-    return meta.select("batch_id", "batch_index", *KEY, F.size("fields").alias("n_fields"))
+    """An empty batch is ready and adds nothing to the batches it is appended to."""
+    none = BA.empty(spark)
+    meta = B.doc_meta(spark, sf_dir).unionByName(none)
+    ready = BA.batch_is_ready(none).scalar()
+    return meta.select("batch_id", "batch_index", *KEY, F.size("fields").alias("n_fields"), ready.alias("empty_is_ready"))
 
 
 @query("e3_size", "SELECT conv_id AS batch_id, count(*) AS size FROM conversations GROUP BY 1")
