@@ -83,9 +83,12 @@ def transfer_rows(meta: DataFrame, data: DataFrame, shards: int | None = None) -
     """Give each input row the address that the batch holds at the row's position.
 
     Both sides carry ``batch_index`` (and ``batch_id`` when several batches are handled).
+    A position without an input row fails the job; input beyond the batch is left out.
     """
     on = [c for c in ("batch_id", "batch_index") if c in meta.columns and c in data.columns]
-    out = meta.drop("fields").join(data, on)
+    out = meta.drop("fields").join(data.withColumn("_given", F.lit(True)), on, "left")
+    missing = F.raise_error(F.lit("the batch has positions without a row")).cast("bigint")
+    out = out.withColumn(INDEX, F.when(F.col("_given"), F.col(INDEX)).otherwise(missing)).drop("_given")
     if shards is not None:
         out = out.withColumn("shard_id", A.shard_id(F.col(INDEX), shards))
         out = out.withColumn("local_index", A.local_index(F.col(INDEX), shards))

@@ -18,7 +18,8 @@ def _unique(names: list[str]) -> list[str]:
 def production_status(production: DataFrame, steps: DataFrame, layout: Layout, fields: list[str]) -> DataFrame:
     """0/1 per row and field over the whole row space; rows never put are all zero.
 
-    Row space and log meet in one aggregation, which needs a single shuffle.
+    Row space and log meet in one aggregation, which needs a single shuffle. Pass the log of
+    the steps asked for: a filter on ``global_step`` prunes its files.
     """
     names = _unique(fields)
     space = row_space(steps, layout).select(*KEY, F.lit(None).cast("string").alias("field"), F.lit(1).alias("_in"))

@@ -81,8 +81,9 @@ class Tables:
 
     def read_stream(self, name: str) -> DataFrame:
         """A table as a stream of the rows appended to it."""
-        self.spark.createDataFrame([], _with_band(name, self.schema(name))).write.mode("append").parquet(self.location(name))
         schema = self.schema(name)
+        # A file stream needs its folder to exist.
+        self.append(name, self.spark.createDataFrame([], schema))
         return self.spark.readStream.schema(_with_band(name, schema)).parquet(self.location(name)).select(*schema.names)
 
     def append(self, name: str, rows: DataFrame, one_folder: bool = False) -> None:

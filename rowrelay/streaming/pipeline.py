@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from rowrelay.operators.fetch import claim
 from rowrelay.operators.read import get_data
 from rowrelay.plans.exchange import Exchange
 from rowrelay.schema import KEY
@@ -32,8 +33,8 @@ class Stage:
 def start_stage(exchange: Exchange, stage: Stage, folder: str, **trigger):
     """Follow the production log, cut batches, compute, and put the results.
 
-    The results are put before the micro-batch is committed; a repeat puts the same values
-    again, which leaves cells and readiness as they are.
+    Rows are claimed before they are read, and the results are put before the micro-batch is
+    committed; a repeat claims and puts the same again, which leaves all status as it is.
     """
     spark, tables = exchange.spark, exchange.tables
     log, marks = tables.read_stream("production"), tables.read_stream("clears")
@@ -50,6 +51,7 @@ def start_stage(exchange: Exchange, stage: Stage, folder: str, **trigger):
     def work(handed: DataFrame, _epoch: int) -> None:
         if handed.isEmpty():
             return
+        tables.append("claims", claim(handed, stage.task, tables.next_seq()))
         rows = handed.select(*KEY)
         data = get_data(rows, exchange.segments(fields=stage.inputs), stage.inputs)
         exchange.put_rows(stage.compute(data).select(*KEY, *stage.outputs))

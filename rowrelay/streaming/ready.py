@@ -39,6 +39,9 @@ READY_SCHEMA = T.StructType(
     ]
 )
 
+# Python hands back the number of the task; its name is looked up in the JVM.
+_FRESH = T.StructType([T.StructField("task", T.IntegerType()), *READY_SCHEMA.fields[1:]])
+
 _STATE = T.StructType(
     [
         T.StructField("produced", T.BinaryType()),
@@ -53,7 +56,7 @@ DEFAULT_WIDTH = 4096
 class BlockReadiness(StatefulProcessor):
     """Cells produced and rows announced in one block of one step."""
 
-    def __init__(self, tasks: dict[str, list[int]], n_fields: int, width: int, samples: int):
+    def __init__(self, tasks: list[list[int]], n_fields: int, width: int, samples: int):
         self.tasks = tasks
         self.n_fields = n_fields
         self.width = width
@@ -85,7 +88,7 @@ class BlockReadiness(StatefulProcessor):
         if self.samples > 1:
             last_put = np.repeat(last_put.reshape(-1, self.samples).max(axis=1), self.samples)
         fresh = []
-        for i, (task, fields) in enumerate(self.tasks.items()):
+        for i, fields in enumerate(self.tasks):
             complete = produced[:, fields].all(axis=1)
             if self.samples > 1:
                 complete = np.repeat(complete.reshape(-1, self.samples).all(axis=1), self.samples)
@@ -96,7 +99,7 @@ class BlockReadiness(StatefulProcessor):
                 fresh.append(
                     pd.DataFrame(
                         {
-                            "task_name": task,
+                            "task": np.int32(i),
                             STEP: step,
                             INDEX: index,
                             "group_id": index // self.samples,
@@ -125,7 +128,7 @@ class BlockReadiness(StatefulProcessor):
 def _latest_per_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Fewer rows before the shuffle: of the puts of a cell only the last one counts."""
     for batch in batches:
-        yield batch.groupby([STEP, "_block", "bit"], as_index=False)["put_seq"].max()
+        yield batch.sort_values("put_seq").drop_duplicates([STEP, "_block", "bit"], keep="last")
 
 
 def ready_stream(
@@ -159,13 +162,15 @@ def ready_stream(
         marks = spread_clears(clears, layout, width).select(STEP, "_block", F.lit(-1).cast("bigint").alias("bit"), "put_seq")
         events = events.unionByName(marks)
     events = events.mapInPandas(_latest_per_cell, events.schema)
-    wanted = {t: [names.index(f) for f in fields] for t, fields in tasks.items()}
-    return events.groupBy(STEP, "_block").transformWithStateInPandas(
+    wanted = [[names.index(f) for f in fields] for fields in tasks.values()]
+    fresh = events.groupBy(STEP, "_block").transformWithStateInPandas(
         statefulProcessor=BlockReadiness(wanted, len(names), width, samples),
-        outputStructType=READY_SCHEMA,
+        outputStructType=_FRESH,
         outputMode="Append",
         timeMode="None",
     )
+    labels = F.array(*[F.lit(t) for t in tasks])
+    return fresh.select(F.element_at(labels, F.col("task") + 1).alias("task_name"), *READY_SCHEMA.names[1:])
 
 
 def write_ready(ready: DataFrame, folder: str, checkpoint: str, **trigger):

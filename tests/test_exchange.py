@@ -117,6 +117,36 @@ def test_last_position_wins_within_a_put(spark, folder):
     assert rows(ex.get_data(want, ["a"]), "a") == [("other",), ("second",)]
 
 
+def test_stages_follow_the_log(spark, folder):
+    """Two chained streams; each row is claimed once per stage and a later put is picked up."""
+    from rowrelay.session import use_rocksdb_state
+    from rowrelay.streaming.pipeline import Stage, run_available
+
+    use_rocksdb_state(spark)
+    ex = Exchange(spark, folder, Layout(prompts=6, samples=2, slots=2))
+    stages = [
+        Stage("generate", ["input_ids"], ["ids"], lambda d: d.withColumn("ids", F.transform("input_ids", lambda x: x + 1)), 4, grouped=True),
+        Stage("score", ["ids"], ["total"], lambda d: d.withColumn("total", F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x)), 12),
+    ]
+    for step in (0, 1):
+        ex.put(prompts(spark, 2), global_step=step)
+        handed = run_available(ex, stages, folder + "-streams")
+    assert handed["generate"].count() == 24 and handed["score"].groupBy(STEP).count().collect()[0]["count"] == 12
+    assert all(ex.check_consumption(task, step) for task in ("generate", "score") for step in (0, 1))
+    meta = spark.createDataFrame([(i, 1, 12 + i) for i in range(12)], f"batch_index bigint, {STEP} bigint, {INDEX} bigint")
+    want = [(sum(v) + 2,) for v in PROMPTS for _ in range(2)]
+    assert rows(ex.get_data(meta, ["total"]), "total") == want
+
+
+def test_put_needs_a_row_for_every_position(spark, folder):
+    ex = Exchange(spark, folder, Layout(prompts=3))
+    meta = ex.get_meta([], 3, 0, mode="insert")
+    with pytest.raises(Exception, match="positions without a row"):
+        ex.put(spark.createDataFrame([(0, "x"), (1, "y")], "batch_index bigint, a string"), metadata=meta)
+    with pytest.raises(ValueError):
+        ex.put(spark.createDataFrame([(0, "x")], "batch_index bigint, a string"), metadata=meta.limit(0))
+
+
 def test_clearing_rows_unsets_cells_but_not_status(spark, folder):
     ex = Exchange(spark, folder, Layout(prompts=3))
     ex.put_rows(address_rows(spark, 0, [(i, ([float(i + 1)],)) for i in range(3)], "log_probs array<double>"))
