@@ -15,6 +15,20 @@ from rowrelay.sources.tables import STEPS_PER_BAND, Tables
 _POSITION = ("batch_id", "batch_index", STEP, INDEX)
 
 
+# A batch over more steps than this is read without naming them.
+FEW_STEPS = 1_000
+
+
+def _some(step: int | None) -> list[int] | None:
+    return None if step is None else [step]
+
+
+def _few_steps(metadata: DataFrame) -> list[int] | None:
+    """The steps of a batch, for pruning, or None when there are many."""
+    found = metadata.select(STEP).distinct().limit(FEW_STEPS + 1).collect()
+    return sorted(r[0] for r in found) if len(found) <= FEW_STEPS else None
+
+
 class Exchange:
     """Operators composed over persisted tables.
 
@@ -30,21 +44,21 @@ class Exchange:
     # --- tables of one step, cleared rows left out ---------------------------------
 
     def production(self, global_step: int | None = None) -> DataFrame:
-        return self._live("production", "put_seq", global_step)
+        return self._live("production", "put_seq", _some(global_step))
 
     def claims(self, task_name: str | None = None, global_step: int | None = None) -> DataFrame:
-        live = self._live("claims", "claim_seq", global_step)
+        live = self._live("claims", "claim_seq", _some(global_step))
         return live if task_name is None else live.filter(F.col("task_name") == task_name)
 
-    def segments(self, global_step: int | None = None, fields: list[str] | None = None) -> DataFrame:
-        """Written cells; with ``fields`` only those columns."""
+    def segments(self, steps: list[int] | None = None, fields: list[str] | None = None) -> DataFrame:
+        """Written cells, of some steps or all; with ``fields`` only those columns."""
         known = self.tables.field_types(fields)
         types = known if fields is None else {f: known[f] for f in fields if f in known}
-        return self._live("segments", "put_seq", global_step, types)
+        return self._live("segments", "put_seq", steps, types)
 
-    def _live(self, name: str, seq: str, global_step: int | None, types: dict | None = None) -> DataFrame:
-        log, clears = self.tables.read(name, global_step, types), self.tables.read("clears", global_step)
-        if global_step is None:
+    def _live(self, name: str, seq: str, steps: list[int] | None, types: dict | None = None) -> DataFrame:
+        log, clears = self.tables.read(name, steps, types), self.tables.read("clears", steps)
+        if steps is None or len(steps) != 1:
             return RD.live_rows(log, clears, seq)
         # One step: its last clear is a single number, no join is needed.
         last = clears.agg(F.coalesce(F.max("clear_seq"), F.lit(-1)).alias("c"))
@@ -104,7 +118,7 @@ class Exchange:
         self.tables.append("segments", cells, one_folder=one)
         # Read back what was written: the log describes the stored values, and it is
         # appended last, so a row becomes ready only when its data is there.
-        stored = self.tables.read("segments", global_step, types).filter(F.col("put_seq") == seq)
+        stored = self.tables.read("segments", _some(global_step), types).filter(F.col("put_seq") == seq)
         self.tables.append("production", IN.production_rows(stored, fields), one_folder=one)
         return seq
 
@@ -172,7 +186,7 @@ class Exchange:
         if fields is None:
             first = metadata.filter("batch_index = 0").select(F.map_keys("fields").alias("names")).first()
             fields = first["names"] if first else []
-        return RD.get_data(metadata, self.segments(fields=fields), fields, ordered)
+        return RD.get_data(metadata, self.segments(_few_steps(metadata), fields), fields, ordered)
 
     # --- clear and maintenance -------------------------------------------------------
 
@@ -198,8 +212,7 @@ class Exchange:
         folder with this one; nobody may put into them meanwhile.
         """
         first = global_step // STEPS_PER_BAND * STEPS_PER_BAND
-        near = F.col(STEP).between(first, first + STEPS_PER_BAND - 1)
-        old = self.segments().filter(near)
+        old = self.segments(list(range(first, first + STEPS_PER_BAND)))
         last = old.agg(F.max("put_seq").alias("m")).scalar()
         cells = RD.compact(old, list(self.tables.field_types()), last)
         scratch = shared_dir(self.spark, "compact")

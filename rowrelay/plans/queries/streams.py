@@ -4,7 +4,6 @@ import time
 
 from pyspark.sql import functions as F
 
-from rowrelay.operators import read as RD
 from rowrelay.plans.exchange import Exchange
 from rowrelay.plans.queries.registry import DOC_CTE, ORD_CTE, place, query
 from rowrelay.schema import KEY, STEP
@@ -124,7 +123,7 @@ def g5_task_pipeline(spark, sf_dir):
     ]
     handed = PL.run_available(exchange, stages, shared_dir(spark, "pipeline"))
     rows = handed["score"].select("batch_no", *KEY)
-    data = RD.get_data(rows, exchange.segments(fields=["n_words", "score"]), ["n_words", "score"])
+    data = exchange.get_data(rows.select(*KEY), ["n_words", "score"])
     return rows.join(data, KEY).select(*KEY, "n_words", "score", "batch_no")
 
 

@@ -60,9 +60,11 @@ class Tables:
         return T.StructType(fields)
 
     def read(
-        self, name: str, global_step: int | None = None, types: dict[str, T.DataType] | None = None
+        self, name: str, steps: list[int] | None = None, types: dict[str, T.DataType] | None = None
     ) -> DataFrame:
-        """A table, or the rows of one step; a table nobody has written yet is empty.
+        """A table, or the rows of some steps; a table nobody has written yet is empty.
+
+        Steps prune folders and row groups, so name them whenever they are few.
 
         ``types`` names the columns to read of the segments, all known ones by default.
         """
@@ -73,10 +75,10 @@ class Tables:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
             rows = self.spark.createDataFrame([], _with_band(name, schema))
-        if global_step is not None:
+        if steps is not None:
             if name in _PARTITIONS:
-                rows = rows.filter(F.col(BAND) == global_step // STEPS_PER_BAND)
-            rows = rows.filter(F.col(STEP) == global_step)
+                rows = rows.filter(F.col(BAND).isin(sorted({s // STEPS_PER_BAND for s in steps})))
+            rows = rows.filter(F.col(STEP).isin(steps))
         return rows.select(*schema.names)
 
     def read_stream(self, name: str) -> DataFrame:

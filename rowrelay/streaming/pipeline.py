@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from rowrelay.operators.fetch import claim
-from rowrelay.operators.read import get_data
 from rowrelay.plans.exchange import Exchange
 from rowrelay.schema import KEY
 from rowrelay.streaming.batches import BatchCutter, batch_stream
@@ -52,8 +51,7 @@ def start_stage(exchange: Exchange, stage: Stage, folder: str, **trigger):
         if handed.isEmpty():
             return
         tables.append("claims", claim(handed, stage.task, tables.next_seq()))
-        rows = handed.select(*KEY)
-        data = get_data(rows, exchange.segments(fields=stage.inputs), stage.inputs)
+        data = exchange.get_data(handed.select(*KEY), stage.inputs)
         exchange.put_rows(stage.compute(data).select(*KEY, *stage.outputs))
 
     query = batch_stream(ready, cutter, f"{folder}/{stage.task}/checkpoint", work, **trigger)

@@ -117,6 +117,24 @@ def test_last_position_wins_within_a_put(spark, folder):
     assert rows(ex.get_data(want, ["a"]), "a") == [("other",), ("second",)]
 
 
+def test_reads_are_pruned(spark, folder, capsys):
+    ex = Exchange(spark, folder, Layout(prompts=6, slots=200))
+    ex.put_rows(spark.range(200).select(F.col("id").alias(STEP), (F.col("id") * 6).alias(INDEX), F.lit(1).alias("a"), F.lit("x").alias("b")))
+    meta = spark.createDataFrame([(0, 100, 600)], f"batch_index bigint, {STEP} bigint, {INDEX} bigint")
+    data = ex.get_data(meta, ["a"])
+    assert rows(data, "a") == [(1,)]
+    capsys.readouterr()
+    data.explain("formatted")
+    scans = [part for part in capsys.readouterr().out.split("\n\n") if "ReadSchema" in part and "fields_written" in part]
+    assert scans
+    for scan in scans:
+        lines = {line.split(":")[0]: line for line in scan.split("\n") if ":" in line}
+        assert "step_band" in lines["PartitionFilters"]
+        assert "EqualTo(global_step,100)" in lines["PushedFilters"]
+        assert "b:string" not in lines["ReadSchema"]
+    assert ex.segments().count() == 200 and ex.segments([3, 100]).count() == 2
+
+
 def test_stages_follow_the_log(spark, folder):
     """Two chained streams; each row is claimed once per stage and a later put is picked up."""
     from rowrelay.session import use_rocksdb_state
