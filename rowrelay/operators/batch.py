@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from rowrelay.functions.blocks import BLOCK, block_of, rank_by_block, with_group_size, with_keys
 from rowrelay.functions.fieldmaps import extract_fields, is_ndarray, is_row_ready, is_tensor, merge_right
-from rowrelay.schema import KEY, META, NOT_PRODUCED, READY
+from rowrelay.schema import META, NOT_PRODUCED, READY
 
 BATCH = ["batch_id"]
 

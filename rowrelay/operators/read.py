@@ -47,6 +47,8 @@ def get_data(meta: DataFrame, segments: DataFrame, fields: list[str], ordered: b
     names = sorted(set(fields))
     place = [c for c in ("batch_id", "batch_index") if c in meta.columns]
     where = meta.select(*place, *KEY)
+    if not names:
+        return where.orderBy(*place) if ordered else where
     cells = resolve_cells(segments, names, keys=where)
     out = where.join(cells, KEY, "left").select(*place, *KEY, *[F.col(f"`{n}`") for n in names])
     return out.orderBy(*place) if ordered else out

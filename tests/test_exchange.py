@@ -85,6 +85,8 @@ def test_round_trip_of_dense_ragged_and_text(spark, folder):
     assert layouts == {"log_probs": "dense", "variable_length_sequences": "ragged", "prompt_text": "non-tensor"}
     with pytest.raises(ValueError):
         ex.get_data(meta, ["no_such_field"])
+    assert ex.get_data(meta.limit(0)).count() == 0 and ex.get_data(meta.limit(0), names).count() == 0
+    assert ex.get_data(meta, []).columns == ["batch_index", *KEY]
 
 
 def test_overwrite_of_cells(spark, folder):
