@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
 
 from pyspark.sql import SparkSession
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder name below the shared folder the session names in ``spark.checkpoint.dir``.
-
-    Only a local session without that setting falls back to a temporary folder: on a
-    cluster a machine-local path would not be seen by the other executors.
-    """
+def shared_base(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or else a folder of the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+        if not warehouse:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="rowrelay-")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        base = f"{warehouse.rstrip('/')}/_shared"
+    return base.rstrip("/")
+
+
+def shared_dir(spark: SparkSession, purpose: str) -> str:
+    """A new folder name below the shared folder of the session."""
+    return f"{shared_base(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -29,6 +31,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(shared_dir(spark, "checkpoint"))
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from the folder the driver has it in.
+
+    A cluster without that folder gets the package by ``--py-files`` as usual.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 

@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check_oracles import TABLES, compare
+from rowrelay.plans.queries import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -21,10 +22,10 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, duck, name):
-    line = compare(spark, duck, name, entry.queries()[name], entry.oracle_sql()[name], SF_DIR)
-    assert line.startswith("ok"), line
+    line = compare(spark, duck, name, QUERIES[name], ORACLES.get(name), SF_DIR)
+    assert line.startswith("ok" if name in ORACLES else "ROWS"), line
 
 
 def test_entry(spark):
