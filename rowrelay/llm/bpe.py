@@ -28,7 +28,7 @@ from rowrelay.llm.common import mixed, ship_package, slices
 
 NONE = np.int32(2**31 - 1)
 LONGEST = 512
-REMEMBERED = 350_000
+REMEMBERED = 250_000
 ROWS = 8_192  # rows of one matrix
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowrelay.llm import bpe, langid, lines, minhash
+from rowrelay.llm import bpe, decontaminate, langid, lines, minhash, shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,16 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(table(spark, sf_dir, "documents"))
 
 
+@query("op2_decontaminate", decontaminate.SQL)
+def decontaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_interleave", shards.SQL)
+def interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assignment(table(spark, sf_dir, "documents"))
+
+
 @query("op4_minhash")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
