@@ -127,10 +127,11 @@ def fit(docs: DataFrame, usable: Column, per_language: int = 256, most_languages
         return None
     # Narrow rows first: the sample is the hashes below each language's bound, then texts are read once.
     ranked = labelled.filter(F.col("lang").isin(languages)).select("lang", order.alias("_order"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("_order"))
-    bounds = (
-        ranked.withColumn("_place", place).filter(F.col("_place") <= per_language).groupBy("lang").agg(F.max("_order").alias("_bound"))
-    )
+    # In two steps, so that the last one gets a bounded number of rows whatever the number of tasks.
+    for parts in (["lang", F.pmod("_order", F.lit(16))], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*parts).orderBy("_order"))
+        ranked = ranked.withColumn("_place", place).filter(F.col("_place") <= per_language).drop("_place")
+    bounds = ranked.groupBy("lang").agg(F.max("_order").alias("_bound"))
     limits = {r["lang"]: r["_bound"] for r in bounds.collect()}
     inside = functools.reduce(lambda a, b: a | b, [(F.col("lang") == k) & (order <= v) for k, v in limits.items()])
     # Equal texts have equal order and count once, so a bound admits about per_language distinct texts.

@@ -60,10 +60,10 @@ def interleaved(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     ties = ["_key", "doc_id", "size"]
     inside = ranked(counted, strata, "_u", ties, ranges, "_rank")
     spread = inside.withColumn("_fraction", (F.col("_rank") + F.col("_u")) / F.col("_of")).drop("_rank", "_of", "_u")
-    total = narrow.agg(F.count(F.lit(1)).alias("_total"))
-    whole = spread.crossJoin(F.broadcast(total))  # one row
-    ranges = F.least(F.ceil(F.col("_total") / RANGE_ROWS), F.lit(MOST_RANGES))
-    placed = ranked(whole, ["_total"], "_fraction", ties, ranges, "_place")
+    total = sizes.agg(F.sum("_of")).first()[0] or 0
+    whole = spread.withColumn("_total", F.lit(total).cast("bigint"))
+    ranges = F.lit(max(1, min(-(-total // RANGE_ROWS), MOST_RANGES))).cast("bigint")
+    placed = ranked(whole, [], "_fraction", ties, ranges, "_place")
     # Shard s holds the places from ceil(s * total / shards) on.
     shard = F.expr(f"(_place * {shards}L) div _total")
     first = F.expr(f"(shard * _total + {shards - 1}L) div {shards}L")
