@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowrelay.llm import ann, bpe, decontaminate, langid, lines, minhash, shards
+from rowrelay.llm import ann, bpe, decontaminate, langid, licenses, lines, minhash, shards, tokenfiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ ORACLES: dict[str, str] = {}
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+VOCABULARY = 50_256  # ids of the rank file; the next one ends a document
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -62,6 +63,16 @@ def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@query("op7_licenses")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.matches(table(spark, sf_dir, "documents"))
+
+
+@query("op8_token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.token_counts(table(spark, sf_dir, "documents"), RANKS, PATTERN, VOCABULARY)
+
+
 @query("op10_byte_bpe")
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), RANKS, PATTERN)
