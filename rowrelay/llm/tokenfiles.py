@@ -103,7 +103,7 @@ def scan(spark: SparkSession, path: str, vocabulary: int, block: int = BLOCK) ->
     stitched = blocks.select(
         "file",
         F.coalesce(F.sum(F.size("ends")).over(earlier), F.lit(0)).alias("before"),
-        F.coalesce(F.max(F.element_at("ends", -1)).over(earlier), F.lit(-1)).alias("last"),
+        F.coalesce(F.max(F.try_element_at("ends", F.lit(-1))).over(earlier), F.lit(-1)).alias("last"),
         "ends",
         F.arrays_zip("ends", "ids", "marks").alias("docs"),
     )
