@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowrelay.llm import ann, bpe, decontaminate, langid, licenses, lines, minhash, shards, tokenfiles
+from rowrelay.llm import ann, bpe, decontaminate, langid, licenses, lines, minhash, shards, substrings, tokenfiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +73,11 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_counts(table(spark, sf_dir, "documents"), RANKS, PATTERN, VOCABULARY)
 
 
+@query("op9_substrings", substrings.SQL)
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 @query("op10_byte_bpe")
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), RANKS, PATTERN)
