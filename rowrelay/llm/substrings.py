@@ -69,7 +69,9 @@ def code_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
 
 def packed_by_range(number: np.ndarray, columns: dict[str, np.ndarray], slice_no: int, schema: pa.Schema) -> pa.Table:
     """One row for each range number in ``number`` (sorted), with the bytes of its part of each column."""
-    cuts = np.flatnonzero(np.diff(number, prepend=-1)) if len(number) else np.empty(0, np.int64)
+    if not len(number):
+        return schema.empty_table()
+    cuts = np.flatnonzero(np.diff(number, prepend=-1))
     stops = np.append(cuts[1:], len(number))
     data = {"slice": np.full(len(cuts), slice_no, np.int64), "range": number[cuts]}
     data |= {k: [v[a:b].tobytes() for a, b in zip(cuts, stops, strict=True)] for k, v in columns.items()}
@@ -86,10 +88,6 @@ def usable_rows(table: pa.Table):
             yield doc_id, text
 
 
-def no_rows(schema: pa.Schema) -> pa.Table:
-    return schema.empty_table()
-
-
 SEEDS = pa.schema([("slice", pa.int64()), ("range", pa.int64()), ("keys", pa.binary()), ("many", pa.binary())])
 WINDOWS = pa.schema([("slice", pa.int64()), ("range", pa.int64()), ("hashes", pa.binary()), ("owners", pa.binary()), ("counts", pa.binary())])
 TEXTS = pa.schema(
@@ -137,7 +135,7 @@ def send_windows(ranges: int):
     def run(key: tuple, docs: pa.Table, seeds: pa.Table) -> pa.Table:
         known = [np.frombuffer(keys, "<u4").astype(U64) | U64(number) << U32 for number, keys in rows_of(seeds, "range", "keys")]
         if not known or not docs.num_rows:
-            return no_rows(WINDOWS)
+            return WINDOWS.empty_table()
         repeated, hashes, owners = np.unique(np.concatenate(known)), [], []
         for doc_id, text in usable_rows(docs):
             words = split_words(text)
@@ -154,7 +152,7 @@ def send_windows(ranges: int):
                 hashes.append(own)
                 owners.append(np.full(len(own), doc_id, np.int64))
         if not hashes:
-            return no_rows(WINDOWS)
+            return WINDOWS.empty_table()
         value, owner, count = least_owner(np.concatenate(hashes), np.concatenate(owners), None)
         number = ((value >> U32) % U64(ranges)).astype(np.int64)
         order = np.argsort(number, kind="stable")
@@ -211,7 +209,7 @@ def send_texts(shards: int):
 
     def run(key: tuple, docs: pa.Table, windows: pa.Table) -> pa.Table:
         if not docs.num_rows or not windows.num_rows:
-            return no_rows(TEXTS)
+            return TEXTS.empty_table()
         slice_no = key[0].as_py()
         value, owner, count = (np.frombuffer(b"".join(windows.column(c).to_pylist()), t) for c, t in (("hashes", U64), ("owners", np.int64), ("counts", "<i8")))
         order = np.argsort(value)
@@ -258,7 +256,7 @@ def match_shard(key: tuple, rows: pa.Table) -> pa.Table:
     """Build the automaton of a shard's passages, stream its runs, return the spans of their documents."""
     kinds = np.array(rows.column("passage").to_pylist(), bool)
     if kinds.all() or not kinds.any():
-        return no_rows(SPANS)
+        return SPANS.empty_table()
     automaton = SuffixAutomaton()
     for owner, words in sorted(set(rows_of(rows.filter(pa.array(kinds)), "owner", "words"))):
         automaton.add(owner, words.split(b" "))
