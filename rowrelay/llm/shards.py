@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SHARDS = 8
 SEED = 20
-RANGE_ROWS = 50_000
+RANGE_ROWS = 1_000
+SALTS = 64
 # The largest number of ranges of one ranking: what one accumulating task sees.
 MOST_RANGES = 1 << 16
 
@@ -37,10 +38,8 @@ def ranked(df: DataFrame, groups: list[str], unit_column: str, order: list[str],
     lower = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select(*groups, "_range", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*groups, "_range").orderBy(unit_column, *order)
-    placed = cut.withColumn("_inside", F.row_number().over(inside))
-    same = [placed[c].eqNullSafe(before[c]) for c in [*groups, "_range"]]
-    joined = placed.join(before, same, "left")
-    return joined.select(*[placed[c] for c in df.columns], (F.col("_before") + F.col("_inside") - 1).alias(name))
+    joined = cut.withColumn("_inside", F.row_number().over(inside)).join(before, [*groups, "_range"])
+    return joined.select(*df.columns, (F.col("_before") + F.col("_inside") - 1).alias(name))
 
 
 def interleaved(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -55,7 +54,10 @@ def interleaved(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     ).withColumn("_key", F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_crc32").cast("binary")))
     strata = ["source", "_no_source"]
     sizes = narrow.groupBy(*strata).agg(F.count(F.lit(1)).alias("_of"))
-    counted = narrow.withColumn("_u", unit(F.col("_key"))).join(sizes, strata)
+    # A large source meets its size in SALTS parts.
+    spread_sizes = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = narrow.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int"))
+    counted = salted.join(spread_sizes, [*strata, "_salt"]).drop("_salt").withColumn("_u", unit(F.col("_key")))
     ranges = F.least(F.ceil(F.col("_of") / RANGE_ROWS), F.lit(MOST_RANGES))
     ties = ["_key", "doc_id", "size"]
     inside = ranked(counted, strata, "_u", ties, ranges, "_rank")
