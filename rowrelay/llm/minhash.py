@@ -7,10 +7,10 @@ Bit counts of two signatures estimate the similarity, corrected for chance agree
 what the estimate leaves is confirmed on the full sets.
 
 Groups of any size stay linear. Equal sets are one class, found by their digest. In each band bucket
-classes are paired with one centre only, and with another centre in every band. After the links of the
-best pairs are joined to components, only pairs across components are left to be confirmed; at last a
-bucket that still holds several components compares the members outside its largest component
-with the others, so that no link inside a bucket is lost. Nothing is capped.
+classes are paired with one centre only, and with another centre in every band; the best pair of every
+class by the estimate is confirmed, and the links are joined to components. Buckets that then still hold
+several components compare the classes outside their largest component with the others, on
+full sets, block by block, so that no link inside a bucket is lost. Nothing is capped.
 
 Defined results: NULL text, empty text and text of white space have no shingles, link with nothing
 and are kept. Fewer than five words are one shingle. A row without ``doc_id`` links with nothing
@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rowrelay.llm.common import WordHashes, map_batches, mixed, odd_numbers, slices, window_hashes, written
 from rowrelay.llm.components import components
+from rowrelay.session import ship_package
 
 SHINGLE = 5
 SHARE = (75, 100)  # links have 100 * intersection >= 75 * union
@@ -35,6 +36,7 @@ BANDS, ROWS, BITS = 32, 4, 4
 HASHES = BANDS * ROWS
 PER_LONG = 64 // BITS
 CHANCE = 2.0**-BITS
+BLOCK = 512  # sets of a block that are compared at once
 # Six standard deviations of the estimate at similarity 0.75: lower estimates are no links.
 SLACK = 6 * (0.75 * 0.25 / HASHES) ** 0.5 / (1 - CHANCE)
 
@@ -113,30 +115,80 @@ def estimate(left: str, right: str) -> Column:
     return (1 - unequal / F.lit(float(HASHES)) - F.lit(CHANCE)) / F.lit(1 - CHANCE)
 
 
+def similar(common: np.ndarray | int, size_a: np.ndarray | int, size_b: np.ndarray | int):
+    return SHARE[1] * common >= SHARE[0] * (size_a + size_b - common)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, "text"):
+        packed = [shingle_set(t).tobytes() for t in part.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["node", "shingles"])
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kept_a, set_a = None, np.empty(0, np.uint64)
-    for part in slices(batches, "text_b"):
-        a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
-        links = []
-        for i, (left, right) in enumerate(zip(a, b, strict=True)):
-            if left != kept_a:
-                kept_a, set_a = left, shingle_set(part.column(2)[i].as_py())
-            set_b = shingle_set(part.column(3)[i].as_py())
-            common = len(np.intersect1d(set_a, set_b, assume_unique=True))
-            if SHARE[1] * common >= SHARE[0] * (len(set_a) + len(set_b) - common):
-                links.append((left, right))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
-
-
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of documents that hold on full sets."""
-    texts = docs.select("doc_id", "text")
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    needed = texts.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    needed = written(needed, "pair-texts")
-    joined = pairs.join(needed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    joined = joined.join(needed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return map_batches(joined.select("a", "b", "text_a", "text_b"), _confirmed, "a bigint, b bigint")
+    for part in slices(batches, "set_b"):
+        found_a, found_b = [], []
+        for a, b, packed_a, packed_b in zip(*[part.column(i).to_pylist() for i in range(4)], strict=True):
+            set_a, set_b = np.frombuffer(packed_a, np.uint64), np.frombuffer(packed_b, np.uint64)
+            if similar(len(np.intersect1d(set_a, set_b, assume_unique=True)), len(set_a), len(set_b)):
+                found_a.append(a)
+                found_b.append(b)
+        yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
+
+
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that hold on full sets (node, shingles)."""
+    joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
+    joined = joined.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
+    return map_batches(joined.select("a", "b", "set_a", "set_b"), _confirmed, "a bigint, b bigint")
+
+
+def _links_across(rest: pa.Table, others: pa.Table) -> pa.Table:
+    """Links between two blocks whose ends have different labels; one for each node and other label."""
+    out: tuple[list[int], list[int]] = ([], [])
+    if rest.num_rows and others.num_rows:
+        sets = [np.frombuffer(x, np.uint64) for x in others.column("shingles").to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        values = np.concatenate(sets)
+        order = np.argsort(values, kind="stable")
+        values, holder = values[order], np.repeat(np.arange(len(sets)), sizes)[order]
+        nodes, labels = others.column("node").to_numpy(), others.column("label").to_numpy()
+        for node, label, packed in zip(*[rest.column(c).to_pylist() for c in ("node", "label", "shingles")], strict=True):
+            own = np.frombuffer(packed, np.uint64)
+            low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+            count = high - low
+            at = np.repeat(low - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
+            common = np.bincount(holder[at], minlength=len(sets))
+            linked = np.flatnonzero(similar(common, len(own), sizes) & (labels != label))
+            _, first = np.unique(labels[linked], return_index=True)
+            out[0].extend([node] * len(first))
+            out[1].extend(nodes[linked[first]].tolist())
+    return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+
+def across_components(mixed_up: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that join components inside of buckets: (a, b).
+
+    ``mixed_up`` (node, label, centre, rest) has the members of buckets with several components.
+    Buckets that share members form clusters. The nodes that are outside the largest component of some bucket
+    are compared with all nodes of their cluster, exactly, in pairs of blocks; only links leave a block.
+    """
+    reached = components(mixed_up.select(F.col("node").alias("a"), F.col("centre").alias("b")))
+    nodes = mixed_up.groupBy("node").agg(F.first("label").alias("label"), F.max("rest").alias("rest"))
+    nodes = nodes.join(reached.select("node", F.col("label").alias("cluster")), "node")
+    sizes = nodes.groupBy("cluster").agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.ceil(F.sum(F.col("rest").cast("int")) / BLOCK).alias("rest_blocks")
+    )
+    nodes = written(nodes.join(sizes, "cluster").join(sets, "node"), "clusters")
+    spread = F.xxhash64("node", F.lit(1))
+    rest = nodes.filter("rest").withColumn("rb", F.pmod(spread, "rest_blocks")).withColumn("ob", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    others = nodes.withColumn("ob", F.pmod(spread, "blocks")).withColumn("rb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rest_blocks") - 1)))
+    columns, key = ["cluster", "rb", "ob", "node", "label", "shingles"], ["cluster", "rb", "ob"]
+    ship_package(nodes.sparkSession)
+    # Columns of one table on both sides get names of their own: a cogroup does not tell them apart.
+    others = others.select(*[F.col(c).alias(c) for c in columns])
+    pairs = rest.select(columns).groupBy(*key).cogroup(others.groupBy(*key))
+    return pairs.applyInArrow(_links_across, "a bigint, b bigint")
 
 
 def links(sketch: DataFrame, docs: DataFrame) -> DataFrame:
@@ -155,6 +207,10 @@ def links(sketch: DataFrame, docs: DataFrame) -> DataFrame:
     members = written(
         keys.join(buckets.select("band", "key", F.col("_least").bitwiseXOR(flip).alias("centre")), ["band", "key"]), "buckets"
     )
+    # The full sets of all that have a candidate: texts are moved once.
+    needed = members.select("node").distinct()
+    texts = docs.join(needed.hint("shuffle_hash"), F.col("doc_id") == F.col("node")).select("node", "text").dropDuplicates(["node"])
+    sets = written(map_batches(texts, _sets, "node bigint, shingles binary"), "sets")
     bits = nodes.select("node", "bits", "n_shingles")
     stars = members.filter("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     scored = (
@@ -165,40 +221,18 @@ def links(sketch: DataFrame, docs: DataFrame) -> DataFrame:
         .filter(F.col("score") >= 0.75 - SLACK)
     )
     scored = written(scored, "stars")
-    # First the best pair of every node, then what still lies across components.
+    # The best pair of every node by the estimate joins most of what belongs together.
     ends = scored.select(F.col("a").alias("node"), "a", "b", "score").union(scored.select(F.col("b").alias("node"), "a", "b", "score"))
     best = ends.groupBy("node").agg(F.max_by(F.struct("a", "b"), "score").alias("_p")).select("_p.a", "_p.b").distinct()
-    found = written(confirm(written(best, "best"), docs), "found")
-    labels = components(found)
-    open_pairs = _across(scored.select("a", "b"), labels).join(best, ["a", "b"], "left_anti")
-    found = written(found.union(confirm(written(open_pairs, "open"), docs)), "found")
+    found = written(confirm(best, sets), "found")
     labels = components(found)
     # Buckets with several components: members outside the largest one against all others.
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     tally = labelled.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("n"))
     largest = tally.groupBy("band", "key").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("parts"))
-    mixed_up = written(labelled.join(largest.filter("parts > 1"), ["band", "key"]).join(bits, "node"), "mixed")
-    rest = mixed_up.filter("label <> most").select("band", "key", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "bits", "n_shingles")])
-    other = mixed_up.select("band", "key", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "bits", "n_shingles")])
-    crossing = (
-        rest.join(other, ["band", "key"])
-        .filter("label_a <> label_b")
-        .filter(SHARE[1] * F.least("n_shingles_a", "n_shingles_b") >= SHARE[0] * F.greatest("n_shingles_a", "n_shingles_b"))
-        .filter(estimate("bits_a", "bits_b") >= 0.75 - SLACK)
-        .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-        .distinct()
-        .join(scored.select("a", "b"), ["a", "b"], "left_anti")
-    )
-    found = written(found.union(confirm(written(crossing, "crossing"), docs)), "found")
-    return components(found)
-
-
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends have different labels."""
-    left = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a"))
-    right = labels.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
-    joined = pairs.join(left, "a", "left").join(right, "b", "left")
-    return joined.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+    several = labelled.join(largest.filter("parts > 1"), ["band", "key"])
+    mixed_up = written(several.select("node", "label", "centre", (F.col("label") != F.col("most")).alias("rest")), "mixed")
+    return components(found.union(across_components(mixed_up, sets)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -220,5 +254,5 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Rows that repeat a kept ``doc_id`` with the same text are all kept.
     """
-    dropped = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("_id"), "left_anti")
+    dropped = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti")
