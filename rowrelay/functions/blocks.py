@@ -8,8 +8,6 @@ table with one row per block (``width`` times smaller) is accumulated per group.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rowrelay.functions.addressing import floor_div
@@ -17,11 +15,6 @@ from rowrelay.session import ensure_checkpoint_dir
 
 BLOCK = 1 << 16
 
-# Up to this many rows per group a limited row_number is used: every task keeps at most
-# this many rows per group before the shuffle, so what one group sends to its final task
-# is bounded by it times the number of tasks.
-SMALL_LIMIT = 1_000
-
 
 def block_of(index: str, width: int = BLOCK) -> Column:
     """Block number of a non-NULL index, typed as never NULL.
@@ -34,8 +27,14 @@ def block_of(index: str, width: int = BLOCK) -> Column:
 
 
 def with_keys(df: DataFrame, keys: list[str], index: str) -> DataFrame:
-    """Rows whose keys and index are set."""
-    return df.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, index]]))
+    """The rows, as long as keys and index are set: a row without them has no place and fails the job."""
+    columns = {}
+    for c in [*keys, index]:
+        kind = df.schema[c].dataType
+        failure = F.raise_error(F.lit(f"rows without {c} cannot be placed")).cast(kind)
+        # The last value is never reached; it tells Spark that the column has no NULL.
+        columns[c] = F.coalesce(F.col(c), failure, F.lit("0").cast(kind))
+    return df.withColumns(columns)
 
 
 def block_table(df: DataFrame, keys: list[str], index: str, width: int = BLOCK) -> DataFrame:
@@ -72,7 +71,7 @@ def rank_by_block(
 ) -> DataFrame:
     """0-based rank of every row in its group, by a BIGINT index that is unique in the group.
 
-    Rows with a NULL key or index have no rank and are left out.
+    Rows with a NULL key or index fail the job.
     With ``limit`` only ranks below it are kept, and blocks that start beyond it are
     dropped before any row is moved. ``limit`` may use the columns ``keys`` and ``_total``.
     """
@@ -99,15 +98,8 @@ def lowest(df: DataFrame, keys: list[str], index: str, k: int, rank: str, exact:
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    if k > SMALL_LIMIT:
-        picked = rank_by_block(df, keys, index, rank, size="_size", limit=k)
-        return (picked.filter(F.col("_size") >= k) if exact else picked).drop("_size")
-    order = Window.partitionBy(*keys).orderBy(index)
-    picked = df.withColumn(rank, F.row_number().over(order).cast("bigint")).filter(F.col(rank) <= k)
-    if exact:
-        picked = picked.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-        picked = picked.filter(F.col("_size") == k).drop("_size")
-    return picked.withColumn(rank, F.col(rank) - 1)
+    picked = rank_by_block(df, keys, index, rank, size="_size", limit=k)
+    return (picked.filter(F.col("_size") >= k) if exact else picked).drop("_size")
 
 
 def distinct_per_group(df: DataFrame, keys: list[str], index: str, out: str) -> DataFrame:

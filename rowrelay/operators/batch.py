@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from rowrelay.functions.blocks import BLOCK, block_of, rank_by_block, with_group_size, with_keys
 from rowrelay.functions.fieldmaps import extract_fields, is_ndarray, is_row_ready, is_tensor, merge_right
-from rowrelay.schema import META, NOT_PRODUCED, READY
+from rowrelay.schema import KEY, META, NOT_PRODUCED, READY
 
 BATCH = ["batch_id"]
 
@@ -70,15 +70,15 @@ def add_fields(meta: DataFrame, data: DataFrame, fields: list[str], set_all_read
     new = new.withColumnRenamed("fields", "_new").withColumn("_r", F.lit(1))
     joined = meta.withColumn("_l", F.lit(1)).join(new, on, "full_outer")
     merged = F.when(F.col("_l").isNotNull() & F.col("_r").isNotNull(), merge_right(F.col("fields"), F.col("_new")))
-    merged = merged.otherwise(F.raise_error(F.lit("add_fields length mismatch")).cast(meta.schema["fields"].dataType))
+    merged = merged.otherwise(F.raise_error(F.lit("a position is missing on one side of the new fields")).cast(meta.schema["fields"].dataType))
     return joined.select(*[merged.alias("fields") if c == "fields" else F.col(c) for c in meta.columns])
 
 
 def union_mismatch(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(batch_id, global_index, surplus) of indices the two sides do not hold equally often."""
-    mine = left.select("batch_id", "global_index", F.lit(1).alias("d"))
-    theirs = right.select("batch_id", "global_index", F.lit(-1).alias("d"))
-    sums = mine.unionByName(theirs).groupBy("batch_id", "global_index").agg(F.sum("d").alias("surplus"))
+    """(batch_id, address, surplus) of addresses the two sides do not hold equally often."""
+    mine = left.select(*BATCH, *KEY, F.lit(1).alias("d"))
+    theirs = right.select(*BATCH, *KEY, F.lit(-1).alias("d"))
+    sums = mine.unionByName(theirs).groupBy(*BATCH, *KEY).agg(F.sum("d").alias("surplus"))
     return sums.filter("surplus <> 0")
 
 
@@ -89,9 +89,9 @@ def union(left: DataFrame, right: DataFrame, validate: bool = True) -> DataFrame
     that the right side lacks pass through.
     """
     if validate and not union_mismatch(left, right).isEmpty():
-        raise ValueError("global indexes do not match for union")
-    theirs = right.groupBy("batch_id", "global_index").agg(F.max_by("fields", "batch_index").alias("_new"))
-    joined = left.join(theirs, ["batch_id", "global_index"], "left")
+        raise ValueError("the two batches hold different rows")
+    theirs = right.groupBy(*BATCH, *KEY).agg(F.max_by("fields", "batch_index").alias("_new"))
+    joined = left.join(theirs, [*BATCH, *KEY], "left")
     merged = F.coalesce(merge_right(F.col("fields"), F.col("_new")), F.col("fields"))
     return joined.select(*[merged.alias("fields") if c == "fields" else F.col(c) for c in left.columns])
 
@@ -103,7 +103,7 @@ def concat(parts: list[DataFrame], validate: bool = True) -> DataFrame | None:
     if validate:
         names = reduce(DataFrame.unionByName, [_first_names(p) for p in parts])
         if names.distinct().limit(2).count() > 1:
-            raise ValueError("field names do not match for concatenation")
+            raise ValueError("the parts bring different fields")
     tagged = reduce(DataFrame.unionByName, [p.withColumn("part_no", F.lit(i).cast("bigint")) for i, p in enumerate(parts)])
     batch = F.lit(0).cast("bigint")
     return concat_parts(tagged.withColumn("batch_id", batch)).select(*[c for c in parts[0].columns])
@@ -189,7 +189,7 @@ def reorder_list(meta: DataFrame, batch_id: int, indices: list[int]) -> DataFram
 def getitem(meta: DataFrame, item: int) -> DataFrame:
     """The row at position ``item`` of every batch as a batch of one; negative counts from the end."""
     if isinstance(item, bool) or not isinstance(item, int):
-        raise TypeError(f"indexing with {type(item)} is not supported")
+        raise TypeError(f"a batch position must be an int, not {type(item).__name__}")
     if item >= 0:
         at = meta.filter(F.col("batch_index") == item)
         short = size(meta).filter(F.col("size") <= item)
@@ -259,6 +259,32 @@ def has_extra_info(info: Column, key: str) -> Column:
     return F.map_contains_key(info, key)
 
 
+# Attributes of batches as tables: (batch_id, extra_info), one row per batch.
+
+
+def chunk_info(info: DataFrame, chunks: int) -> DataFrame:
+    """Every chunk of a batch has the attributes of the batch."""
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))
+    return info.withColumn("chunk_id", F.explode(numbers))
+
+
+def concat_info(parts: DataFrame, part: str = "part_no") -> DataFrame:
+    """Attributes of the concatenation of each batch's parts: the first part that has a key wins."""
+    entries = parts.select("batch_id", part, F.explode_outer("extra_info").alias("key", "value"))
+    first = entries.filter("key IS NOT NULL").groupBy("batch_id", "key").agg(F.min_by("value", part).alias("value"))
+    merged = first.groupBy("batch_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("extra_info"))
+    none = F.create_map().cast("map<string,string>")
+    batches = parts.select("batch_id").distinct()
+    return batches.join(merged, "batch_id", "left").select("batch_id", F.coalesce("extra_info", none).alias("extra_info"))
+
+
+def union_info(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Attributes of the union of two batches: the right side wins."""
+    theirs = right.select("batch_id", F.col("extra_info").alias("_other"))
+    joined = left.join(theirs, "batch_id", "left")
+    return joined.select("batch_id", F.coalesce(merge_right(F.col("extra_info"), F.col("_other")), F.col("extra_info")).alias("extra_info"))
+
+
 def concat_extra_info(infos: list[Column]) -> Column:
     """Attributes of a concatenation: the first part that has a key wins."""
     return reduce(lambda kept, other: merge_right(other, kept), infos)

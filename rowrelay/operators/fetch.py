@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rowrelay.functions import addressing as A
 from rowrelay.functions.bits import collect_bits, has_all, position_in
 from rowrelay.functions.blocks import BLOCK, distinct_per_group, lowest
 from rowrelay.functions.fieldmaps import constant_fields, empty_fields, field_meta
 from rowrelay.layout import Layout
+from rowrelay.operators.status import write_moment
 from rowrelay.schema import FIELD_MAP, INDEX, KEY, NOT_PRODUCED, READY, STEP
 
 # A prompt group is tested in one aggregation while its cells fit this many bits;
@@ -197,11 +198,12 @@ def batch_gate(ready: DataFrame, steps: DataFrame, k: int) -> DataFrame:
     )
 
 
-def claim(rows: DataFrame, task: str, claim_seq: int) -> DataFrame:
+def claim(rows: DataFrame, task: str, claim_seq: int | Column) -> DataFrame:
     """Claim records of handed-out rows, to be appended to the claims of the task."""
+    seq = claim_seq if isinstance(claim_seq, Column) else F.lit(claim_seq)
     place = F.col("batch_index") if "batch_index" in rows.columns else F.lit(None)
     return rows.select(
-        F.lit(task).alias("task_name"), *KEY, F.lit(claim_seq).cast("bigint").alias("claim_seq"),
+        F.lit(task).alias("task_name"), *KEY, seq.cast("bigint").alias("claim_seq"),
         place.cast("bigint").alias("batch_index"),
     )
 
@@ -226,7 +228,7 @@ def batch_meta(rows: DataFrame, production: DataFrame, fields: list[str], real_s
         return rows.withColumn("fields", empty_fields())
     log = production.filter(F.col("field").isin(names)).join(rows.select(*KEY), KEY, "left_semi")
     latest = [
-        F.max_by(F.struct("dtype", "shape"), F.when(F.col("field") == n, F.col("put_seq"))).alias(f"_f{i}")
+        F.max_by(F.struct("dtype", "shape"), F.when(F.col("field") == n, write_moment(log))).alias(f"_f{i}")
         for i, n in enumerate(names)
     ]
     produced = [F.max(F.when(F.col("field") == n, 1)).alias(f"_p{i}") for i, n in enumerate(names)]

@@ -20,8 +20,13 @@ def repeat_interleave(prompts: DataFrame, samples: int, position: str, out: str
 
 
 def number_rows(df: DataFrame, order_by: list[str], position: str = "batch_index") -> DataFrame:
-    """Dense 0-based position of unnumbered input rows in the order of ``order_by``."""
-    return dense_position(df, order_by, position)
+    """Dense 0-based position of unnumbered input rows in the order of ``order_by``, within each step if they name one."""
+    if STEP not in df.columns:
+        return dense_position(df, order_by, position)
+    # In the order of (step, keys) the rows of a step are neighbours: count from its first one.
+    placed = dense_position(df, [STEP, *[c for c in order_by if c != STEP]], "_all")
+    first = placed.groupBy(STEP).agg(F.min("_all").alias("_first"))
+    return placed.join(first, STEP).withColumn(position, F.col("_all") - F.col("_first")).drop("_all", "_first")
 
 
 def insert_rows(df: DataFrame, layout: Layout, index: str, strict: bool = True) -> DataFrame:
@@ -83,9 +88,11 @@ def transfer_rows(meta: DataFrame, data: DataFrame, shards: int | None = None) -
     """Give each input row the address that the batch holds at the row's position.
 
     Both sides carry ``batch_index`` (and ``batch_id`` when several batches are handled).
-    A position without an input row fails the job; input beyond the batch is left out.
+    A position without an input row fails the job; input beyond the batch is left out. An
+    address that the input carries from an earlier read gives way to the batch's.
     """
     on = [c for c in ("batch_id", "batch_index") if c in meta.columns and c in data.columns]
+    data = data.drop(*[c for c in meta.columns if c not in on])
     out = meta.drop("fields").join(data.withColumn("_given", F.lit(True)), on, "left")
     missing = F.raise_error(F.lit("the batch has positions without a row")).cast("bigint")
     out = out.withColumn(INDEX, F.when(F.col("_given"), F.col(INDEX)).otherwise(missing)).drop("_given")
@@ -125,7 +132,7 @@ def production_rows(segment_rows: DataFrame, fields: list[str]) -> DataFrame:
             for i, f in enumerate(fields)
         ]
     )
-    return segment_rows.select(*KEY, "put_seq", F.explode(cells).alias("c")).select(*KEY, "c.*", "put_seq")
+    return segment_rows.select(*KEY, "put_seq", "write_pos", F.explode(cells).alias("c")).select(*KEY, "c.*", "put_seq", "write_pos")
 
 
 def clear_row_segment(rows: DataFrame, field_types: dict[str, T.DataType], put_seq: int | Column) -> DataFrame:
@@ -135,5 +142,5 @@ def clear_row_segment(rows: DataFrame, field_types: dict[str, T.DataType], put_s
 
 
 def conflicting_types(known: dict[str, T.DataType], incoming: T.StructType, fields: list[str]) -> list[str]:
-    """Fields whose type differs from the one the first put fixed."""
-    return [f for f in fields if f in known and known[f] != incoming[f].dataType]
+    """Fields whose type differs from the one the first put fixed; whether it admits NULL does not count."""
+    return [f for f in fields if f in known and known[f].simpleString() != incoming[f].dataType.simpleString()]

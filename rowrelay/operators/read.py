@@ -54,13 +54,14 @@ def get_data(meta: DataFrame, segments: DataFrame, fields: list[str], ordered: b
     return out.orderBy(*place) if ordered else out
 
 
-def live_rows(log: DataFrame, clears: DataFrame, seq: str, ways: int = 64) -> DataFrame:
+def live_rows(log: DataFrame, clears: DataFrame, seq: str) -> DataFrame:
     """Rows of a log written after the last clear of their step.
 
     The clears are at most one row per step after aggregation. Spark broadcasts them when
     their size allows; beyond that a step with most of the rows must not end in one task,
-    so both sides also join on ``ways`` spread numbers derived from the index.
+    so both sides also join on spread numbers derived from the index, one for each shuffle partition.
     """
+    ways = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     last = clears.groupBy(STEP).agg(F.max("clear_seq").alias("_cleared"))
     last = last.withColumn("_way", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(ways - 1).cast("bigint"))))
     spread = log.withColumn("_way", F.pmod(F.xxhash64(INDEX), F.lit(ways).cast("bigint")))
@@ -104,13 +105,22 @@ def clear_meta(addresses: DataFrame, layout: Layout) -> DataFrame:
     )
 
 
-def compact(segments: DataFrame, fields: list[str], put_seq: int | Column) -> DataFrame:
-    """One segment holding the current cells; its rows replace the segments they came from."""
-    seq = put_seq if isinstance(put_seq, Column) else F.lit(put_seq)
-    written = [F.max(F.when(F.array_contains("fields_written", f), F.lit(f))) for f in fields]
-    named = segments.groupBy(*KEY).agg(F.array_compact(F.array(*written)).alias("fields_written"))
-    cells = resolve_cells(segments, fields)
-    return named.join(cells, KEY).select(
-        *KEY, seq.cast("bigint").alias("put_seq"), F.lit(0).cast("bigint").alias("write_pos"), "fields_written",
-        *[F.col(f"`{f}`") for f in fields],
-    )
+def winners(segments: DataFrame) -> DataFrame:
+    """(address, field, put_seq, write_pos): the write that holds the current value of every cell; narrow columns only."""
+    written = segments.select(*KEY, "put_seq", "write_pos", F.explode("fields_written").alias("field"))
+    last = written.groupBy(*KEY, "field").agg(F.max(F.struct("put_seq", "write_pos")).alias("m"))
+    return last.select(*KEY, "field", "m.put_seq", "m.write_pos")
+
+
+def compact(segments: DataFrame, fields: list[str]) -> DataFrame:
+    """The segments without overwritten cells; what is left keeps its own sequence.
+
+    So a clear or a put that lands later, whatever its sequence, finds the same cells before and
+    after. A row keeps one segment row for each put that still holds one of its cells.
+    """
+    place = [*KEY, "put_seq", "write_pos"]
+    kept = winners(segments).groupBy(*place).agg(F.collect_set("field").alias("_kept"))
+    rows = segments.join(kept, place)
+    names = F.array_sort(F.array_intersect("fields_written", "_kept"))
+    cells = [F.when(F.array_contains("_kept", f), F.col(f"`{f}`")).alias(f) for f in fields]
+    return rows.select(*place, names.alias("fields_written"), *cells)

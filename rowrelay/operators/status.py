@@ -11,6 +11,12 @@ from rowrelay.operators.read import row_space
 from rowrelay.schema import INDEX, KEY, STEP
 
 
+def write_moment(log: DataFrame) -> Column:
+    """Order of writes; logs without a position inside a put have one write per cell and put."""
+    position = F.coalesce("write_pos", F.lit(0).cast("bigint")) if "write_pos" in log.columns else F.lit(0).cast("bigint")
+    return F.struct(F.col("put_seq"), position.alias("write_pos"))
+
+
 def _unique(names: list[str]) -> list[str]:
     return list(dict.fromkeys(names))
 
@@ -45,8 +51,8 @@ def field_registry(production: DataFrame) -> DataFrame:
 
 
 def field_info(production: DataFrame) -> DataFrame:
-    """dtype and shape of the latest put of every cell."""
-    latest = F.max_by(F.struct("dtype", "shape"), F.col("put_seq")).alias("info")
+    """dtype and shape of the latest write of every cell; within a put the last position wins."""
+    latest = F.max_by(F.struct("dtype", "shape"), write_moment(production)).alias("info")
     return production.groupBy(*KEY, "field").agg(latest).select(*KEY, "field", "info.dtype", "info.shape")
 
 

@@ -9,26 +9,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rowrelay.layout import Layout
 from rowrelay.operators import fetch as FE, ingest as IN, read as RD, status as ST
 from rowrelay.schema import INDEX, KEY, STEP
-from rowrelay.session import shared_dir
 from rowrelay.sources.tables import STEPS_PER_BAND, Tables
 
 _POSITION = ("batch_id", "batch_index", STEP, INDEX)
 
 
-# A batch over more steps than this is read without naming them.
-FEW_STEPS = 1_000
-
-
 def _some(step: int | None) -> list[int] | None:
     return None if step is None else [step]
 
 
-def _few_steps(metadata: DataFrame) -> list[int] | None:
-    """The steps of a batch, for pruning, or None when there are many."""
-    found = metadata.select(STEP).distinct().limit(FEW_STEPS + 1).collect()
-    return sorted(r[0] for r in found) if len(found) <= FEW_STEPS else None
-
-
 class Exchange:
     """Operators composed over persisted tables.
 
@@ -52,9 +41,27 @@ class Exchange:
 
     def segments(self, steps: list[int] | None = None, fields: list[str] | None = None) -> DataFrame:
         """Written cells, of some steps or all; with ``fields`` only those columns."""
+        return self._live("segments", "put_seq", steps, self._types(fields))
+
+    def batch_segments(self, metadata: DataFrame, fields: list[str]) -> DataFrame:
+        """Written cells around a batch, whatever the number of its steps.
+
+        The batch's lowest and highest step and index (one row) prune folders and row groups of
+        the scan; the join on the folder leaves out those between that hold none of its steps.
+        """
+        span = metadata.agg(*[f(c).alias(f"{n}_{c}") for c in KEY for n, f in (("low", F.min), ("high", F.max))]).first()
+        if span[f"low_{STEP}"] is None:
+            return self._live("segments", "put_seq", [], self._types(fields))
+        if span[f"low_{STEP}"] == span[f"high_{STEP}"]:
+            rows = self._live("segments", "put_seq", [span[f"low_{STEP}"]], self._types(fields))
+        else:
+            near = self.tables.read("segments", types=self._types(fields), span=(span[f"low_{STEP}"], span[f"high_{STEP}"]), steps_of=metadata)
+            rows = RD.live_rows(near, self.tables.read("clears"), "put_seq")
+        return rows.filter(F.col(INDEX).between(span[f"low_{INDEX}"], span[f"high_{INDEX}"]))
+
+    def _types(self, fields: list[str] | None) -> dict:
         known = self.tables.field_types(fields)
-        types = known if fields is None else {f: known[f] for f in fields if f in known}
-        return self._live("segments", "put_seq", steps, types)
+        return known if fields is None else {f: known[f] for f in fields if f in known}
 
     def _live(self, name: str, seq: str, steps: list[int] | None, types: dict | None = None) -> DataFrame:
         log, clears = self.tables.read(name, steps, types), self.tables.read("clears", steps)
@@ -95,7 +102,7 @@ class Exchange:
             rows = IN.insert_positions(data, self.layout)
         else:
             if metadata.isEmpty():
-                raise ValueError("metadata cannot be empty")
+                raise ValueError("a batch without rows takes no data")
             rows = IN.transfer_rows(metadata, data)
         return self._write(rows, fields, global_step)
 
@@ -143,22 +150,24 @@ class Exchange:
         """
         if mode == "insert":
             if batch_size != self.layout.rows_per_step:
-                raise ValueError(f"batch_size {batch_size} must equal {self.layout.rows_per_step}")
+                raise ValueError(f"a step to insert has {self.layout.rows_per_step} rows, not {batch_size}")
             space = RD.step_space(self.spark, self.layout, global_step)
             return FE.insert_meta(space, self.layout, data_fields)
         if mode not in ("fetch", "force_fetch"):
             raise ValueError(f"unknown mode {mode}")
         if not task_name:
             raise ValueError("a fetch needs a task name")
-        seq = self.tables.next_seq()
         deadline = time.monotonic() + wait_seconds
         while True:
-            batch = self._claim(data_fields, batch_size, global_step, mode, get_n_samples, task_name, seq)
-            if not batch.isEmpty():
-                break
+            # Rows are only counted until there are enough; the claims get a sequence of that moment, so
+            # that a clear during the wait is older than they are.
+            available = self._available(data_fields, global_step, mode, get_n_samples, task_name)
+            if available >= batch_size:
+                batch = self._claim(data_fields, batch_size, global_step, mode, get_n_samples, task_name, self.tables.next_seq())
+                if not batch.isEmpty():
+                    break
             if time.monotonic() >= deadline:
-                available = self._available(data_fields, global_step, mode, get_n_samples, task_name)
-                raise TimeoutError(f"not enough rows. Required: {batch_size}, Available: {available}")
+                raise TimeoutError(f"task {task_name} asked for {batch_size} rows of step {global_step}, {available} could be taken")
             time.sleep(check_interval)
         return FE.batch_meta(batch, self.production(global_step), data_fields, real_status=mode == "force_fetch")
 
@@ -186,7 +195,7 @@ class Exchange:
         if fields is None:
             first = metadata.filter("batch_index = 0").select(F.map_keys("fields").alias("names")).first()
             fields = first["names"] if first else []
-        return RD.get_data(metadata, self.segments(_few_steps(metadata), fields), fields, ordered)
+        return RD.get_data(metadata, self.batch_segments(metadata, fields), fields, ordered)
 
     # --- clear and maintenance -------------------------------------------------------
 
@@ -206,18 +215,36 @@ class Exchange:
         return seq
 
     def compact(self, global_step: int) -> None:
-        """Rewrite the segments around a step as one per row, without what was cleared.
+        """Rewrite the segments around a step without overwritten and cleared cells.
 
         Reads then no longer pay for earlier puts. Covers the run of steps that share a
         folder with this one; nobody may put into them meanwhile.
         """
+        old = self.segments(self._neighbours(global_step))
+        self.tables.replace("segments", global_step, RD.compact(old, list(self.tables.field_types())))
+
+    def purge(self, global_step: int) -> None:
+        """Free what clears have dropped around a step: segments, production rows and claims.
+
+        Covers the same run of steps as ``compact``, under the same condition. The clears
+        themselves stay, one for each step, for records that land late.
+        """
+        steps = self._neighbours(global_step)
+        self.tables.replace("segments", global_step, self.segments(steps))
+        self.tables.replace("production", global_step, self._live("production", "put_seq", steps))
+        for task in self.tables.tasks(global_step):
+            live = self._live("claims", "claim_seq", steps).filter(F.col("task_name") == task)
+            self.tables.replace("claims", global_step, live, task)
+        last = self.tables.read("clears").groupBy(STEP).agg(F.max("clear_seq").alias("clear_seq"))
+        self.tables.replace("clears", global_step, last)
+
+    def stored_rows(self) -> dict[str, int]:
+        """Rows that each table holds, dead or alive."""
+        return {name: self.tables.read(name).count() for name in ("segments", "production", "claims", "clears")}
+
+    def _neighbours(self, global_step: int) -> list[int]:
         first = global_step // STEPS_PER_BAND * STEPS_PER_BAND
-        old = self.segments(list(range(first, first + STEPS_PER_BAND)))
-        last = old.agg(F.max("put_seq").alias("m")).scalar()
-        cells = RD.compact(old, list(self.tables.field_types()), last)
-        scratch = shared_dir(self.spark, "compact")
-        cells.write.parquet(scratch)
-        self.tables.replace_band("segments", self.spark.read.schema(cells.schema).parquet(scratch))
+        return list(range(first, first + STEPS_PER_BAND))
 
     # --- status --------------------------------------------------------------------
 

@@ -133,6 +133,74 @@ def e9_union(spark, sf_dir):
     return _rendered(BA.union(meta, other), "batch_id", "batch_index", "global_index")
 
 
+@query(
+    "e9_union_slots",
+    f"""WITH {META_CTE} SELECT global_step, global_index, 'quality:step ' || global_step || ':[]:1' AS fields FROM meta""",
+)
+def e9_union_slots(spark, sf_dir):
+    """Steps that share a slot of the ring in one batch: a row gets the fields of its own step."""
+    meta = B.doc_meta(spark, sf_dir)
+    place = F.col(STEP) * 40 + F.col("batch_index")
+    one = meta.withColumn("batch_id", F.pmod(STEP, F.lit(8).cast("bigint"))).withColumn("batch_index", place)
+    shape = F.array().cast("array<int>")
+    theirs = F.create_map(F.lit("quality"), FM.field_meta(F.concat(F.lit("step "), F.col(STEP).cast("string")), shape, F.lit(1)))
+    mine = F.create_map(F.lit("quality"), FM.field_meta(F.lit("old"), shape, F.lit(1)))
+    both = BA.union(one.withColumn("fields", mine), one.withColumn("fields", theirs))
+    return _rendered(both, *KEY)
+
+
+_FACTS_CTE = f"""{META_CTE},
+facts AS (SELECT global_step AS batch_id, count(*) AS n, min(source) AS low, max(source) AS high, sum(n_chars) AS chars,
+                 bool_or(taken) AS any_taken FROM doc GROUP BY 1)"""
+
+
+def _info(spark, sf_dir, **entries):
+    """Attributes of the document batches; an entry that is NULL for a batch is left out."""
+    docs = B.doc_rows(spark, sf_dir).groupBy(F.col(STEP).alias("batch_id")).agg(*[c.cast("string").alias(k) for k, c in entries.items()])
+    pairs = F.create_map(*[x for k in entries for x in (F.lit(k), F.col(k))])
+    return docs.select("batch_id", F.map_filter(pairs, lambda _, v: v.isNotNull()).alias("extra_info"))
+
+
+def _info_text(info, *columns):
+    entries = F.transform(F.array_sort(F.map_entries("extra_info")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return info.select(*columns, F.array_join(entries, ",").alias("extra_info"))
+
+
+def _two_infos(spark, sf_dir):
+    left = _info(spark, sf_dir, rows=F.count(F.lit(1)), source=F.min("source"))
+    foreign = F.when(F.bool_or(F.col("lang") != "en"), F.lit("yes"))
+    return left, _info(spark, sf_dir, source=F.max("source"), chars=F.sum("n_chars"), foreign=foreign)
+
+
+@query(
+    "e9_union_info",
+    f"""WITH {_FACTS_CTE} SELECT batch_id, 'chars=' || chars || CASE WHEN any_taken THEN ',foreign=yes' ELSE '' END
+|| ',rows=' || n || ',source=' || high AS extra_info FROM facts""",
+)
+def e9_union_info(spark, sf_dir):
+    return _info_text(BA.union_info(*_two_infos(spark, sf_dir)), "batch_id")
+
+
+@query(
+    "e10_concat_info",
+    f"""WITH {_FACTS_CTE} SELECT batch_id, 'chars=' || chars || CASE WHEN any_taken THEN ',foreign=yes' ELSE '' END
+|| ',rows=' || n || ',source=' || low AS extra_info FROM facts""",
+)
+def e10_concat_info(spark, sf_dir):
+    left, right = _two_infos(spark, sf_dir)
+    parts = left.withColumn("part_no", F.lit(0)).union(right.withColumn("part_no", F.lit(1)))
+    return _info_text(BA.concat_info(parts), "batch_id")
+
+
+@query(
+    "e11_chunk_info",
+    f"""WITH {_FACTS_CTE} SELECT batch_id, CAST(c AS BIGINT) AS chunk_id, 'rows=' || n || ',source=' || low AS extra_info
+FROM facts, range(3) AS r(c)""",
+)
+def e11_chunk_info(spark, sf_dir):
+    return _info_text(BA.chunk_info(_two_infos(spark, sf_dir)[0], 3), "batch_id", "chunk_id")
+
+
 @query(
     "e10_concat",
     f"""WITH {META_CTE}, m AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY batch_index) - 1 AS p,

@@ -1,11 +1,15 @@
 """Put, repeat, read back and clear."""
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from rowrelay.operators import fetch as FE, ingest as IN, read as RD
+from rowrelay.plans.exchange import Exchange
 from rowrelay.plans.queries.fetch import hand_out
 from rowrelay.plans.queries.registry import DOC_CTE, EVT_CTE, place, query
 from rowrelay.schema import INDEX, KEY, STEP
+from rowrelay.session import shared_dir
 from rowrelay.sources import bindings as B
 
 
@@ -122,11 +126,76 @@ def a7_clear_meta(spark, sf_dir):
 @query(
     "a_compact",
     f"""WITH {EVT_CTE}
-SELECT global_step, global_index, arg_max(value, event_id) FILTER (WHERE event_type = 'click') AS click,
-       arg_max(value, event_id) FILTER (WHERE event_type = 'view') AS "view",
-       string_agg(DISTINCT event_type, ',' ORDER BY event_type) FILTER (WHERE event_type IN ('click', 'view')) AS written
-FROM evt GROUP BY global_step, global_index""",
+SELECT global_step, global_index, event_id AS put_seq, CASE WHEN event_type = 'click' THEN value END AS click,
+       CASE WHEN event_type = 'view' THEN value END AS "view", event_type AS written
+FROM evt QUALIFY row_number() OVER (PARTITION BY global_step, global_index, event_type ORDER BY event_id DESC) = 1""",
 )
 def a_compact(spark, sf_dir):
-    cells = RD.compact(B.event_segments(spark, sf_dir), ["click", "view"], 0)
-    return cells.select(*KEY, "click", "view", F.array_join("fields_written", ",").alias("written"))
+    """Only the last write of a cell is left, under its own sequence."""
+    cells = RD.compact(B.event_segments(spark, sf_dir), ["click", "view"])
+    return cells.select(*KEY, "put_seq", "click", "view", F.array_join("fields_written", ",").alias("written"))
+
+
+_CELLS = f"""{EVT_CTE},
+cell AS (SELECT global_step, global_index, max(value) FILTER (WHERE event_type = 'click') AS click,
+                max(value) FILTER (WHERE event_type = 'view') AS "view" FROM evt GROUP BY 1, 2)"""
+
+
+def _event_columns(spark, sf_dir, name):
+    cells = B.event_segments(spark, sf_dir).groupBy(*KEY).agg(F.max(name).alias(name))
+    return cells.filter(F.col(name).isNotNull())
+
+
+@query(
+    "a5_clear_compact",
+    f"""WITH {_CELLS}, left_over AS (
+SELECT global_step, global_index, CASE WHEN global_step NOT IN (0, 2) THEN click END AS click, "view" FROM cell)
+SELECT * FROM left_over WHERE click IS NOT NULL OR "view" IS NOT NULL""",
+)
+def a5_clear_compact(spark, sf_dir):
+    """Clicks, clears of two steps, compaction, views, and a clear that lands late with an old sequence."""
+    exchange = Exchange(spark, shared_dir(spark, "exchange"), B.EVT)
+    early = exchange.tables.next_seq()
+    exchange.put_rows(_event_columns(spark, sf_dir, "click"))
+    exchange.clear(0)
+    exchange.clear(2)
+    exchange.compact(0)
+    exchange.put_rows(_event_columns(spark, sf_dir, "view"))
+    exchange.tables.append_record("clears", 1, early)
+    return RD.resolve_cells(exchange.segments(), ["click", "view"])
+
+
+@query(
+    "a5_purge",
+    f"""WITH {_CELLS}, kept AS (SELECT count(*) AS n FROM cell WHERE click IS NOT NULL AND global_step <> 0)
+SELECT t.name, CASE t.name WHEN 'clears' THEN 1 ELSE n END AS stored
+FROM kept, (VALUES ('segments'), ('production'), ('claims'), ('clears')) AS t(name)""",
+)
+def a5_purge(spark, sf_dir):
+    """Rows that the tables store after a step with data and claims was cleared and purged."""
+    exchange = Exchange(spark, shared_dir(spark, "exchange"), B.EVT)
+    clicks = _event_columns(spark, sf_dir, "click")
+    exchange.put_rows(clicks)
+    exchange.tables.append("claims", FE.claim(clicks, "train: first", exchange.tables.next_seq()))
+    exchange.clear(0)
+    exchange.clear(0)
+    exchange.purge(0)
+    counts = [
+        exchange.tables.read(name).agg(F.count(F.lit(1)).alias("stored")).select(F.lit(name).alias("name"), "stored")
+        for name in ("segments", "production", "claims", "clears")
+    ]
+    return reduce(DataFrame.union, counts)
+
+
+@query(
+    "a1_put_unnumbered",
+    f"""WITH {DOC_CTE}
+SELECT global_step, CAST((global_step % 8) * 40 + row_number() OVER (PARTITION BY global_step ORDER BY n_chars, doc_id) - 1 AS BIGINT)
+       AS global_index, doc_id FROM doc""",
+)
+def a1_put_unnumbered(spark, sf_dir):
+    """Rows without positions fill many steps at once, each in the order of its rows' keys."""
+    exchange = Exchange(spark, shared_dir(spark, "exchange"), B.DOC)
+    docs = B.doc_rows(spark, sf_dir).select(STEP, "n_chars", "doc_id")
+    exchange.put(docs, order_by=["n_chars", "doc_id"])
+    return RD.resolve_cells(exchange.segments(), ["doc_id"])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from rowrelay.functions.addressing import floor_div
 from rowrelay.schema import CLAIMS, CLEARS, FIELDS, INDEX, PRODUCTION, STEP
+from rowrelay.session import shared_dir
 
 _SEGMENT_HEAD = T.StructType(
     [
@@ -36,6 +37,10 @@ STEPS_PER_BAND = 64
 _PARTITIONS = {"segments": [BAND], "production": [BAND], "claims": ["task_name", BAND]}
 
 
+# Characters that Spark escapes in folder names (fixed values).
+_ESCAPED = set("\"#%'*/:=?\\\x7f{[]^")
+
+
 def band_of(step: Column) -> Column:
     return floor_div(step, STEPS_PER_BAND)
 
@@ -60,11 +65,17 @@ class Tables:
         return T.StructType(fields)
 
     def read(
-        self, name: str, steps: list[int] | None = None, types: dict[str, T.DataType] | None = None
+        self,
+        name: str,
+        steps: list[int] | None = None,
+        types: dict[str, T.DataType] | None = None,
+        span: tuple[int, int] | None = None,
+        steps_of: DataFrame | None = None,
     ) -> DataFrame:
         """A table, or the rows of some steps; a table nobody has written yet is empty.
 
-        Steps prune folders and row groups, so name them whenever they are few.
+        Steps prune folders and row groups, so name them whenever they are few. ``span`` does the
+        same for a range of steps, and ``steps_of`` (a table with steps) by a join on the folders.
 
         ``types`` names the columns to read of the segments, all known ones by default.
         """
@@ -79,6 +90,10 @@ class Tables:
             if name in _PARTITIONS:
                 rows = rows.filter(F.col(BAND).isin(sorted({s // STEPS_PER_BAND for s in steps})))
             rows = rows.filter(F.col(STEP).isin(steps))
+        if span is not None:
+            rows = rows.filter(F.col(STEP).between(*span)).filter(F.col(BAND).between(*[s // STEPS_PER_BAND for s in span]))
+        if steps_of is not None:
+            rows = rows.join(steps_of.select(band_of(F.col(STEP)).alias(BAND)).distinct(), BAND, "left_semi")
         return rows.select(*schema.names)
 
     def read_stream(self, name: str) -> DataFrame:
@@ -92,9 +107,27 @@ class Tables:
         """Add rows; ``one_folder`` tells that they all belong to one step."""
         self._write(name, rows, one_folder).mode("append").parquet(self.location(name))
 
-    def replace_band(self, name: str, rows: DataFrame) -> None:
-        """Overwrite the folders that ``rows`` has rows for."""
-        self._write(name, rows).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.location(name))
+    def replace(self, name: str, step: int, rows: DataFrame, task: str | None = None) -> None:
+        """Overwrite the folder of a step (of a task's claims) with ``rows``, which may be none.
+
+        ``rows`` may read the table itself: they are written aside first.
+        """
+        aside = shared_dir(self.spark, "replace")
+        rows.write.parquet(aside)
+        placed = self.spark.read.schema(rows.schema).parquet(aside)
+        folder = self.location(name)
+        by = _PARTITIONS.get(name, [])
+        if "task_name" in by:
+            folder, placed = f"{folder}/task_name={_folder_name(task)}", placed.drop("task_name")
+        if by:
+            folder = f"{folder}/{BAND}={step // STEPS_PER_BAND}"
+            placed = placed.sortWithinPartitions(STEP, INDEX)
+        placed.write.mode("overwrite").parquet(folder)
+
+    def tasks(self, step: int) -> list[str]:
+        """Tasks with claims in the folder of a step (a few names)."""
+        first = step // STEPS_PER_BAND * STEPS_PER_BAND
+        return sorted(r[0] for r in self.read("claims", list(range(first, first + STEPS_PER_BAND))).select("task_name").distinct().collect())
 
     def _write(self, name: str, rows: DataFrame, one_folder: bool = False):
         """Few files per folder: rows of several folders are brought together by folder, and a
@@ -143,6 +176,11 @@ class Tables:
         self.append("fields", self.spark.range(1).coalesce(1).select(F.inline(F.array(*rows))))
 
 
+def _folder_name(value: str) -> str:
+    """A partition value as Spark writes it into a folder's name."""
+    return "".join(f"%{ord(c):02X}" if c in _ESCAPED or ord(c) < 32 else c for c in value)
+
+
 def _with_band(name: str, schema: T.StructType) -> T.StructType:
     if name not in _PARTITIONS:
         return schema

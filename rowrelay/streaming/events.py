@@ -14,12 +14,24 @@ from rowrelay.layout import Layout
 from rowrelay.schema import INDEX, STEP
 from rowrelay.sources.tables import Tables
 
-# What a producer announces after a put: which fields it wrote onto which rows.
+# What a producer announces after a put: which fields it wrote onto which rows, of what type and
+# shape each. Indices are given as ranges [first, last], so that a put of any size is a small message.
 NOTIFICATION = T.StructType(
     [
         T.StructField(STEP, T.LongType()),
-        T.StructField("global_indexes", T.ArrayType(T.LongType())),
-        T.StructField("fields", T.ArrayType(T.StringType())),
+        T.StructField("ranges", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))),
+        T.StructField(
+            "fields",
+            T.ArrayType(
+                T.StructType(
+                    [
+                        T.StructField("field", T.StringType()),
+                        T.StructField("dtype", T.StringType()),
+                        T.StructField("shape", T.ArrayType(T.IntegerType())),
+                    ]
+                )
+            ),
+        ),
         T.StructField("put_seq", T.LongType()),
     ]
 )
@@ -27,11 +39,11 @@ NOTIFICATION = T.StructType(
 
 def explode_notifications(notifications: DataFrame) -> DataFrame:
     """Announcements to production rows; works on streams and on tables."""
-    rows = notifications.select(STEP, F.explode("global_indexes").alias(INDEX), "fields", "put_seq")
-    cells = rows.select(STEP, INDEX, F.posexplode("fields").alias("field_pos", "field"), "put_seq")
+    ranges = notifications.select(STEP, F.explode("ranges").alias("r"), "fields", "put_seq")
+    rows = ranges.select(STEP, F.explode(F.sequence("r.first", "r.last")).alias(INDEX), "fields", "put_seq")
+    cells = rows.select(STEP, INDEX, F.posexplode("fields").alias("field_pos", "f"), "put_seq")
     return cells.select(
-        STEP, INDEX, "field", "field_pos", F.lit(None).cast("string").alias("dtype"),
-        F.lit(None).cast("array<int>").alias("shape"), "put_seq",
+        STEP, INDEX, "f.field", "field_pos", "f.dtype", "f.shape", "put_seq", F.lit(0).cast("bigint").alias("write_pos")
     )
 
 

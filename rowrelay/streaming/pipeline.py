@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from rowrelay.operators.fetch import claim
 from rowrelay.plans.exchange import Exchange
@@ -33,7 +33,9 @@ def start_stage(exchange: Exchange, stage: Stage, folder: str, **trigger):
     """Follow the production log, cut batches, compute, and put the results.
 
     Rows are claimed before they are read, and the results are put before the micro-batch is
-    committed; a repeat claims and puts the same again, which leaves all status as it is.
+    committed. A claim carries the sequence of the put that made its row ready, which a repeat
+    of the micro-batch finds again: the same claims, and the same values, leave all status as it is.
+    ``compute`` also gets ``batch_no`` and ``batch_index``, so it may work batch by batch.
     """
     spark, tables = exchange.spark, exchange.tables
     log, marks = tables.read_stream("production"), tables.read_stream("clears")
@@ -50,8 +52,9 @@ def start_stage(exchange: Exchange, stage: Stage, folder: str, **trigger):
     def work(handed: DataFrame, _epoch: int) -> None:
         if handed.isEmpty():
             return
-        tables.append("claims", claim(handed, stage.task, tables.next_seq()))
-        data = exchange.get_data(handed.select(*KEY), stage.inputs)
+        tables.append("claims", claim(handed, stage.task, F.col("ready_seq")))
+        places = handed.select(*KEY, "batch_no", "batch_index")
+        data = exchange.get_data(places.select(*KEY), stage.inputs).join(places, KEY)
         exchange.put_rows(stage.compute(data).select(*KEY, *stage.outputs))
 
     query = batch_stream(ready, cutter, f"{folder}/{stage.task}/checkpoint", work, **trigger)

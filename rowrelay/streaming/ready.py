@@ -1,16 +1,18 @@
 """Readiness as a stream: every row or prompt group once per task, when it becomes complete.
 
-State is kept per address block, not per row: one key holds the cells of up to ``width``
-consecutive indices as packed bits. A micro-batch touches each block's state once, and the
+State is kept per address block, not per row: one key holds the latest put of the cells of up
+to ``width`` consecutive indices. A micro-batch touches each block's state once, and the
 work on it is array arithmetic. A step of any size spreads over its blocks.
 
 A micro-batch is one poll: readiness is judged after all its events. A clear drops every
-cell put before it and lets rows become ready again.
+cell whose latest put is not newer, whenever it arrives, and lets rows that lost a cell become
+ready again. A block that holds nothing any more keeps its last clear only.
 """
 
 from __future__ import annotations
 
 import sys
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +46,7 @@ _FRESH = T.StructType([T.StructField("task", T.IntegerType()), *READY_SCHEMA.fie
 
 _STATE = T.StructType(
     [
-        T.StructField("produced", T.BinaryType()),
+        T.StructField("latest", T.BinaryType()),
         T.StructField("announced", T.BinaryType()),
         T.StructField("cleared", T.LongType()),
     ]
@@ -67,9 +69,9 @@ class BlockReadiness(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         step, block = int(key[0]), int(key[1])
-        produced, announced, cleared = self._load()
-        # Latest put of every cell in this micro-batch; bounded by the block, not the input.
-        latest = np.full(self.width * self.n_fields, -1, dtype=np.int64)
+        # Latest put of every cell; bounded by the block, not the input.
+        latest, announced, cleared = self._load()
+        known = latest.copy()
         before = cleared
         for chunk in rows:
             bit = chunk["bit"].to_numpy()
@@ -78,20 +80,20 @@ class BlockReadiness(StatefulProcessor):
             if is_clear.any():
                 cleared = max(cleared, int(seq[is_clear].max()))
             np.maximum.at(latest, bit[~is_clear], seq[~is_clear])
+        latest[latest <= cleared] = -1
+        produced = (latest >= 0).reshape(self.width, self.n_fields)
         if cleared > before:
-            produced[:] = False
-            announced[:] = False
-        latest = latest.reshape(self.width, self.n_fields)
-        produced |= latest > cleared
-        # A row completed now has a cell put now, so this is the put that completed it.
-        last_put = latest.max(axis=1)
+            # What a task has been told stays told only where all its cells are newer than the clear.
+            for i, fields in enumerate(self.tasks):
+                announced[:, i] &= self._complete(produced, fields)
+        # The put that completed a row is the newest of those that this micro-batch brought.
+        brought = np.where(latest > known, latest, -1).reshape(self.width, self.n_fields)
+        last_put = brought.max(axis=1)
         if self.samples > 1:
             last_put = np.repeat(last_put.reshape(-1, self.samples).max(axis=1), self.samples)
         fresh = []
         for i, fields in enumerate(self.tasks):
-            complete = produced[:, fields].all(axis=1)
-            if self.samples > 1:
-                complete = np.repeat(complete.reshape(-1, self.samples).all(axis=1), self.samples)
+            complete = self._complete(produced, fields)
             new = np.flatnonzero(complete & ~announced[:, i])
             announced[new, i] = True
             if len(new):
@@ -107,19 +109,34 @@ class BlockReadiness(StatefulProcessor):
                         }
                     )
                 )
-        self.state.update((np.packbits(produced).tobytes(), np.packbits(announced).tobytes(), cleared))
+        self._store(latest, announced, cleared)
         yield from fresh
 
-    def _load(self):
-        shapes = (self.width, self.n_fields), (self.width, len(self.tasks))
+    def _complete(self, produced: np.ndarray, fields: list[int]) -> np.ndarray:
+        complete = produced[:, fields].all(axis=1)
+        if self.samples > 1:
+            complete = np.repeat(complete.reshape(-1, self.samples).all(axis=1), self.samples)
+        return complete
+
+    def _store(self, latest: np.ndarray, announced: np.ndarray, cleared: int) -> None:
+        if (latest >= 0).any():
+            self.state.update((zlib.compress(latest.tobytes(), 1), np.packbits(announced).tobytes(), cleared))
+        elif cleared >= 0:
+            self.state.update((b"", b"", cleared))
+        else:
+            self.state.clear()
+
+    def _load(self) -> tuple[np.ndarray, np.ndarray, int]:
+        latest = np.full(self.width * self.n_fields, -1, dtype=np.int64)
+        announced = np.zeros((self.width, len(self.tasks)), dtype=bool)
         if not self.state.exists():
-            return np.zeros(shapes[0], dtype=bool), np.zeros(shapes[1], dtype=bool), -1
-        packed = self.state.get()
-        grids = []
-        for raw, shape in zip(packed[:2], shapes, strict=True):
-            bits = np.unpackbits(np.frombuffer(raw, dtype=np.uint8), count=shape[0] * shape[1])
-            grids.append(bits.astype(bool).reshape(shape))
-        return grids[0], grids[1], int(packed[2])
+            return latest, announced, -1
+        packed, told, cleared = self.state.get()
+        if packed:
+            latest = np.frombuffer(zlib.decompress(packed), dtype=np.int64).copy()
+            bits = np.unpackbits(np.frombuffer(told, dtype=np.uint8), count=announced.size)
+            announced = bits.astype(bool).reshape(announced.shape)
+        return latest, announced, int(cleared)
 
     def close(self) -> None:
         pass

@@ -1,5 +1,7 @@
 """The exchange end to end on small literal inputs."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,7 +187,7 @@ def test_fetch_takes_each_row_once_per_task(spark, folder):
     assert [r[0] for r in rows(first, INDEX)] == [0, 1, 2, 3, 4, 5]
     assert [r[0] for r in rows(second, INDEX)] == [6, 7, 8, 9, 10, 11]
     assert [r[0] for r in rows(first, INDEX)] == [0, 1, 2, 3, 4, 5], "a batch does not change when read again"
-    with pytest.raises(TimeoutError, match="Required: 6, Available: 0"):
+    with pytest.raises(TimeoutError, match="asked for 6 rows of step 0, 0 could"):
         ex.get_meta(fields, 6, 0, task_name="generate_sequences")
     assert ex.check_consumption("generate_sequences", 0) and not ex.check_consumption("another", 0)
     assert ex.get_meta(fields, 12, 0, task_name="another").count() == 12
@@ -209,7 +211,7 @@ def test_grouped_fetch_needs_whole_unconsumed_groups(spark, folder):
     assert [r[0] for r in rows(grouped, INDEX)] == [2, 3, 4, 5]
     with pytest.raises(ValueError):
         ex.get_meta(["input_ids"], 3, 0, get_n_samples=True, task_name="t")
-    with pytest.raises(TimeoutError, match="Available: 6"):
+    with pytest.raises(TimeoutError, match="8 rows of step 0, 6 could"):
         ex.get_meta(["input_ids"], 8, 0, get_n_samples=True, task_name="t")
 
 
@@ -272,7 +274,7 @@ def test_compaction_keeps_the_cells(spark, folder):
     meta = spark.createDataFrame([(i, 0, i) for i in range(6)], f"batch_index bigint, {STEP} bigint, {INDEX} bigint")
     before = rows(ex.get_data(meta, ["input_ids", "note"]), "input_ids", "note")
     ex.compact(0)
-    assert ex.tables.read("segments").count() == 6
+    assert ex.tables.read("segments").count() == 8  # one overwritten note is gone
     assert rows(ex.get_data(meta, ["input_ids", "note"]), "input_ids", "note") == before
     assert [b[1] for b in before] == [None, None, "z", "y", None, None]
 
@@ -309,3 +311,75 @@ def test_two_stage_flow(spark, folder):
     ex.clear(0)
     with pytest.raises(TimeoutError):
         ex.get_meta(fields, 1, 0, task_name="anyone")
+
+
+def test_loop_of_the_readme(spark, folder):
+    """Read a batch, add a column made by split, put it back by the same metadata, twice."""
+    ex = Exchange(spark, folder, Layout(prompts=4, samples=2))
+    texts = spark.range(8).select(F.col("id").alias("batch_index"), F.concat(F.lit("a b "), F.col("id").cast("string")).alias("text"))
+    ex.put(texts, global_step=0)
+    meta = ex.get_meta(["text"], 8, 0, task_name="generate")
+    for _ in range(2):
+        data = ex.get_data(meta)
+        ex.put(data.select("*", F.split("text", " ").alias("words")).drop("text"), metadata=meta)
+    score = ex.get_meta(["text", "words"], 8, 0, task_name="score")
+    assert [r[0] for r in rows(ex.get_data(score, ["words"]), "words")] == [["a", "b", str(i)] for i in range(8)]
+    ex.clear(0)
+
+
+def test_unnumbered_rows_of_several_steps(spark, folder):
+    ex = Exchange(spark, folder, Layout(prompts=10, slots=4))
+    data = spark.range(30).select(F.pmod("id", F.lit(3).cast("bigint")).alias(STEP), (29 - F.col("id")).alias("rank"))
+    ex.put(data, order_by=["rank"])
+    got = ex.segments().groupBy(STEP).agg(F.sort_array(F.collect_list(F.struct(INDEX, "rank"))).alias("all")).collect()
+    assert len(got) == 3
+    for r in got:
+        ranks = [x["rank"] for x in r["all"]]
+        assert ranks == sorted(ranks) and [x[INDEX] for x in r["all"]] == list(range(10 * r[STEP], 10 * r[STEP] + 10))
+
+
+def test_late_clear_after_compaction(spark, folder):
+    """A clear of step 0 that lands after compaction with a sequence between the puts of steps 0 and 1."""
+    ex = Exchange(spark, folder, Layout(prompts=4, slots=4))
+    ex.put(spark.range(4).select(F.col("id").alias("batch_index"), F.lit("x").alias("a")), global_step=0)
+    between = ex.tables.next_seq()
+    ex.put(spark.range(4).select(F.col("id").alias("batch_index"), F.lit("y").alias("a")), global_step=1)
+    ex.compact(0)
+    ex.tables.append_record("clears", 0, between)
+    assert [tuple(r) for r in ex.segments().groupBy(STEP).count().collect()] == [(1, 4)]
+
+
+def test_waiting_fetch_survives_a_clear(spark, folder, monkeypatch):
+    """The step is cleared and filled again while the fetch waits: its claims are newer than the clear."""
+    ex = Exchange(spark, folder, Layout(prompts=4))
+    prompt = spark.range(4).select(F.col("id").alias("batch_index"), F.lit("x").alias("a"))
+    turns = []
+
+    def refill(_seconds):
+        if not turns:
+            ex.clear(0)
+            ex.put(prompt, global_step=0)
+        turns.append(1)
+
+    class Clock:
+        monotonic, sleep = staticmethod(time.monotonic), staticmethod(refill)
+
+    monkeypatch.setattr("rowrelay.plans.exchange.time", Clock)
+    meta = ex.get_meta(["a"], 4, 0, task_name="t", wait_seconds=60)
+    assert meta.count() == 4 and len(turns) == 1
+    assert ex.tables.read("claims").count() == 4
+
+
+def test_purge_frees_rows(spark, folder):
+    ex = Exchange(spark, folder, Layout(prompts=4, slots=4))
+    for step in (0, 1):
+        ex.put(spark.range(4).select(F.col("id").alias("batch_index"), F.lit("x").alias("a")), global_step=step)
+        ex.get_meta(["a"], 4, step, task_name="a/b: c")
+    ex.clear(0)
+    ex.purge(0)
+    assert ex.stored_rows() == {"segments": 4, "production": 4, "claims": 4, "clears": 1}
+    ex.clear(1)
+    ex.purge(0)
+    assert ex.stored_rows() == {"segments": 0, "production": 0, "claims": 0, "clears": 2}
+    ex.put(spark.range(4).select(F.col("id").alias("batch_index"), F.lit("z").alias("a")), global_step=0)
+    assert ex.get_meta(["a"], 4, 0, task_name="a/b: c").count() == 4

@@ -112,12 +112,18 @@ def test_rank_by_block(spark, limit):
 
 
 @pytest.mark.parametrize("exact", [False, True])
-def test_big_and_small_limits_agree(spark, monkeypatch, exact):
+def test_lowest_of_groups(spark, exact):
     df = spark.range(300).select((F.col("id") % 3).alias("g"), "id").filter("NOT (g = 2 AND id > 50)")
-    small = pairs(BL.lowest(df, ["g"], "id", 40, "r", exact), "g", "id", "r")
-    monkeypatch.setattr(BL, "SMALL_LIMIT", 1)
-    assert pairs(BL.lowest(df, ["g"], "id", 40, "r", exact), "g", "id", "r") == small
-    assert len(small) == (80 if exact else 97)
+    assert len(pairs(BL.lowest(df, ["g"], "id", 40, "r", exact), "g", "id", "r")) == (80 if exact else 97)
+
+
+@pytest.mark.parametrize("k", [1, 5, 2000])
+@pytest.mark.parametrize("broken", ["g", "id"])
+def test_rows_without_place_fail(spark, k, broken):
+    df = spark.range(3).select(F.lit(0).cast("bigint").alias("g"), "id")
+    df = df.withColumn(broken, F.when(F.col("id") > 0, F.col(broken)))
+    with pytest.raises(Exception, match="cannot be placed"):
+        BL.lowest(df, ["g"], "id", k, "r").collect()
 
 
 def test_distinct_per_group_counts_repeats_once(spark):
@@ -255,7 +261,7 @@ def test_add_fields_needs_equal_length(spark):
     data = spark.range(4).select(F.col("id").alias("batch_index"), F.array(F.lit(1.5)).alias("score"))
     got = BA.add_fields(meta_of(spark, 4), data, ["score"], set_all_ready=False)
     assert got.select(FM.render_fields(F.col("fields"))).first()[0] == "a:int:-:1,score:double:[1]:0"
-    with pytest.raises(Exception, match="length mismatch"):
+    with pytest.raises(Exception, match="missing on one side"):
         BA.add_fields(meta_of(spark, 3), data, ["score"]).collect()
 
 

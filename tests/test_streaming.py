@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from rowrelay import Layout
 from rowrelay.operators import fetch as FE, read as RD
@@ -11,6 +11,7 @@ from rowrelay.schema import CLAIMS, INDEX, KEY, PRODUCTION, STEP
 from rowrelay.session import use_rocksdb_state
 from rowrelay.streaming import batches as BT, events as EV, ready as RY
 
+LOG = T.StructType(PRODUCTION.fields[:-1])  # without the position inside a put
 LAYOUT = Layout(prompts=30, samples=2, slots=2)
 FIELDS = ["a", "b", "c"]
 TASKS = {"one": ["a", "b"], "two": ["c"]}
@@ -54,9 +55,9 @@ def keyed(df, *columns):
 @pytest.mark.parametrize("grouped", [False, True])
 def test_ready_stream_equals_the_batch_scan(spark, tmp_path, history, grouped):
     folder = str(tmp_path / "log")
-    write_parts(spark, history, PRODUCTION, folder, 4)
-    got = run_ready(spark, tmp_path, stream(spark, PRODUCTION, folder), grouped=grouped)
-    log, none = spark.read.schema(PRODUCTION).parquet(folder), spark.createDataFrame([], CLAIMS)
+    write_parts(spark, history, LOG, folder, 4)
+    got = run_ready(spark, tmp_path, stream(spark, LOG, folder), grouped=grouped)
+    log, none = spark.read.schema(LOG).parquet(folder), spark.createDataFrame([], CLAIMS)
     want = []
     for task, fields in TASKS.items():
         rows = FE.scan_ready_groups(log, none, fields, task, 2) if grouped else FE.scan_ready(log, none, fields, task)
@@ -78,9 +79,9 @@ def test_clear_drops_and_rearms(spark, tmp_path):
     clears = [[(0, 0)], [(9, 0)], [(1, 10)], [(9, 0)], [(9, 0)]]
     schema = f"{STEP} bigint, put_seq bigint"
     for cells, cleared in zip(puts, clears, strict=True):
-        spark.createDataFrame(cells, PRODUCTION).coalesce(1).write.mode("append").parquet(folder)
+        spark.createDataFrame(cells, LOG).coalesce(1).write.mode("append").parquet(folder)
         spark.createDataFrame(cleared, schema).coalesce(1).write.mode("append").parquet(marks)
-    got = run_ready(spark, tmp_path, stream(spark, PRODUCTION, folder), clears=stream(spark, schema, marks))
+    got = run_ready(spark, tmp_path, stream(spark, LOG, folder), clears=stream(spark, schema, marks))
     assert keyed(got, "ready_seq") == sorted(
         [("two", 1, row, 1), ("two", 0, 5, 2), ("two", 1, row, 12), ("one", 1, other, 14)]
     )
@@ -88,9 +89,9 @@ def test_clear_drops_and_rearms(spark, tmp_path):
 
 def test_batches_are_exact_and_survive_a_repeat(spark, tmp_path, history):
     folder = str(tmp_path / "log")
-    write_parts(spark, history, PRODUCTION, folder, 4)
+    write_parts(spark, history, LOG, folder, 4)
     use_rocksdb_state(spark)
-    ready = RY.ready_stream(stream(spark, PRODUCTION, folder), LAYOUT, TASKS, width=16)
+    ready = RY.ready_stream(stream(spark, LOG, folder), LAYOUT, TASKS, width=16)
     cutter = BT.BatchCutter(spark, str(tmp_path / "batches"), 7)
     seen = []
 
@@ -113,7 +114,7 @@ def test_batches_are_exact_and_survive_a_repeat(spark, tmp_path, history):
         F.count(F.lit(1)).alias("n"), F.count_distinct("batch_index").alias("d"), F.max("batch_index").alias("m")
     )
     assert {(r["n"], r["d"], r["m"]) for r in sizes.collect()} == {(7, 7, 6)}
-    log, none = spark.read.schema(PRODUCTION).parquet(folder), spark.createDataFrame([], CLAIMS)
+    log, none = spark.read.schema(LOG).parquet(folder), spark.createDataFrame([], CLAIMS)
     for task, fields in TASKS.items():
         rows = handed.filter(F.col("task_name") == task)
         ready_rows = FE.scan_ready(log, none, fields, task)
@@ -146,8 +147,10 @@ def test_clears_reach_every_block(spark):
 
 def test_notifications(spark):
     schema = EV.NOTIFICATION
-    rows = EV.explode_notifications(spark.createDataFrame([(0, [1, 2], ["x", "y"], 5)], schema))
-    assert sorted((r[INDEX], r["field"], r["field_pos"]) for r in rows.collect()) == [(1, "x", 0), (1, "y", 1), (2, "x", 0), (2, "y", 1)]
+    fields = [("x", "bigint", []), ("y", "array<double>", [4])]
+    rows = EV.explode_notifications(spark.createDataFrame([(0, [(1, 2), (7, 7)], fields, 5)], schema))
+    got = sorted((r[INDEX], r["field"], r["field_pos"], r["dtype"], r["shape"]) for r in rows.collect())
+    assert got == [(i, *f) for i in (1, 2, 7) for f in (("x", 0, "bigint", []), ("y", 1, "array<double>", [4]))]
     assert {f.name for f in rows.schema} == {f.name for f in PRODUCTION}
 
 
@@ -155,3 +158,41 @@ def test_live_rows_and_stream_agree_on_clears(spark):
     log = spark.createDataFrame([(1, 60, 5), (1, 60, 11)], f"{STEP} bigint, {INDEX} bigint, put_seq bigint")
     clears = spark.createDataFrame([(1, 10)], f"{STEP} bigint, clear_seq bigint")
     assert [r["put_seq"] for r in RD.live_rows(log, clears, "put_seq").collect()] == [11]
+
+
+class _State:
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+def _fed(processor, *events):
+    import pandas as pd
+
+    frame = pd.DataFrame(events, columns=["bit", "put_seq"])
+    return [int(i) for out in processor.handleInputRows((0, 0), iter([frame]), None) for i in out[INDEX]]
+
+
+def test_late_clear_keeps_newer_cells():
+    block = RY.BlockReadiness([[0, 1]], 2, 4, 1)
+    block.state = _State()
+    assert _fed(block, (0, 3), (1, 10), (2, 10), (3, 11)) == [0, 1]
+    # The clear is older than the second row's cells and than one cell of the first row.
+    assert _fed(block, (-1, 5)) == []
+    assert _fed(block, (0, 12)) == [0]
+    # An old put that arrives after the clear does not count.
+    assert _fed(block, (4, 4), (5, 12)) == []
+    assert _fed(block, (-1, 20)) == []
+    assert block.state.value == (b"", b"", 20)
+    assert _fed(block, (0, 21), (1, 21)) == [0]
