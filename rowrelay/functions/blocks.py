@@ -2,8 +2,8 @@
 
 A step or a batch may hold most of all rows, so no window is ever partitioned by a
 step or batch alone. Rows are cut into blocks of ``width`` consecutive indices. Indices
-are unique inside their group, hence a block has at most ``width`` rows; only the
-table with one row per block (``width`` times smaller) is accumulated per group.
+are unique inside their group, hence a block has at most ``width`` rows; the table with one
+row per block is accumulated as a tree, so that sparse indices (times, hashes) do as well.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from rowrelay.functions.addressing import floor_div
 from rowrelay.session import ensure_checkpoint_dir
 
 BLOCK = 1 << 16
+FAN = 1 << 16  # children of a node in the tree of blocks
 
 
 def block_of(index: str, width: int = BLOCK) -> Column:
@@ -38,18 +39,25 @@ def with_keys(df: DataFrame, keys: list[str], index: str) -> DataFrame:
 
 
 def block_table(df: DataFrame, keys: list[str], index: str, width: int = BLOCK) -> DataFrame:
-    """(keys, _block, _n, _before, _total): rows in the block, in lower blocks, in the group."""
+    """(keys, _block, _n, _before, _total): rows in the block, in lower blocks, in the group.
+
+    Indices may be far apart, so that a group has as many blocks as rows. Blocks are therefore
+    accumulated in a tree: ``FAN`` neighbouring blocks have one parent, and so on twice. With
+    ``width`` 65,536 that covers all of 64 bits, and no window has more than ``FAN`` rows.
+    """
     placed = df.select(*keys, block_of(index, width).alias("_block"))
-    counts = placed.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    group = Window.partitionBy(*keys)
-    lower = group.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(
-        *keys,
-        "_block",
-        "_n",
-        F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_before"),
-        F.sum("_n").over(group).alias("_total"),
-    )
+    blocks = placed.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n")).withColumn("_up", floor_div(F.col("_block"), FAN))
+    ups = blocks.groupBy(*keys, "_up").agg(F.sum("_n").alias("_n")).withColumn("_top", floor_div(F.col("_up"), FAN))
+    tops = ups.groupBy(*keys, "_top").agg(F.sum("_n").alias("_n"))
+
+    def before(parents: list[str], place: str) -> Column:
+        lower = Window.partitionBy(*parents).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_n").over(lower), F.lit(0))
+
+    tops = tops.select(*keys, "_top", before(keys, "_top").alias("_b3"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"))
+    ups = ups.select(*keys, "_top", "_up", before([*keys, "_top"], "_up").alias("_b2")).join(tops, [*keys, "_top"])
+    blocks = blocks.select(*keys, "_up", "_block", "_n", before([*keys, "_up"], "_block").alias("_b1")).join(ups, [*keys, "_up"])
+    return blocks.select(*keys, "_block", "_n", (F.col("_b1") + F.col("_b2") + F.col("_b3")).alias("_before"), "_total")
 
 
 def with_group_size(df: DataFrame, keys: list[str], index: str, size: str, width: int = BLOCK) -> DataFrame:

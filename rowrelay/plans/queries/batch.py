@@ -43,6 +43,19 @@ def e1_from_samples(spark, sf_dir):
     return BA.from_samples(turns, "_newest").drop("_newest")
 
 
+@query(
+    "e1_from_samples_sparse",
+    """SELECT CAST(user_id % 3 AS BIGINT) AS batch_id, event_id,
+CAST(row_number() OVER (PARTITION BY user_id % 3 ORDER BY epoch_us(ts), event_id) - 1 AS BIGINT) AS batch_index FROM events""",
+)
+def e1_from_samples_sparse(spark, sf_dir):
+    """Events in the order of their times in microseconds, far apart, made unique by the number of the event."""
+    events = B.table(spark, sf_dir, "events")
+    moment = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = events.select((F.col("user_id") % 3).cast("bigint").alias("batch_id"), "event_id", (moment * 1000 + F.col("event_id") % 1000).alias("_at"))
+    return BA.from_samples(rows, "_at").drop("_at")
+
+
 @query(
     "e2_empty",
     f"""WITH {META_CTE} SELECT batch_id, batch_index, global_step, global_index, CAST(3 AS INTEGER) AS n_fields,
