@@ -153,18 +153,26 @@ def g6_clear_event(spark, sf_dir):
 
 @query(
     "g7_wait_timeout",
-    f"""WITH {DOC_CTE} SELECT 'train' AS task_name, global_step, CAST(16 AS BIGINT) AS required, count(*) AS available,
-count(*) < 16 AS timed_out FROM doc WHERE quality IS NOT NULL GROUP BY 2""",
+    f"""WITH {DOC_CTE} SELECT t.task_name, global_step, CAST(16 AS BIGINT) AS required,
+count(*) FILTER (quality IS NOT NULL AND t.task_name = 'train') AS available,
+count(*) FILTER (quality IS NOT NULL AND t.task_name = 'train') < 16 AS timed_out
+FROM doc, (VALUES ('train'), ('audit')) AS t(task_name) GROUP BY 1, 2""",
 )
 def g7_wait_timeout(spark, sf_dir):
-    """Labelled rows per step against a batch of 16; a short step is reported after two seconds."""
+    """Labelled rows per step against a batch of 16; a short step is reported after two seconds.
+
+    A task for which no row ever gets ready waits for every step, too.
+    """
     use_rocksdb_state(spark)
     labels = _stream(spark, sf_dir, "labels")
     ready = labels.select(F.lit("train").alias("task_name"), *B.address(F.col("doc_id"), B.DOC))
+    names = F.explode(F.array(F.lit("train"), F.lit("audit"))).alias("task_name")
+    step = B.address(F.col("doc_id"), B.DOC)[0]
+    requests = _stream(spark, sf_dir, "documents").select(names, step)
     folder = shared_dir(spark, "waits")
-    steps = B.table(spark, sf_dir, "labels").select(B.address(F.col("doc_id"), B.DOC)[0]).distinct().count()
+    steps = 2 * B.table(spark, sf_dir, "documents").select(step).distinct().count()
     running = (
-        WT.wait_stream(ready, 16, 2)
+        WT.wait_stream(ready, 16, 2, requests)
         .writeStream.format("parquet")
         .option("checkpointLocation", shared_dir(spark, "stream"))
         .trigger(processingTime="1 second")

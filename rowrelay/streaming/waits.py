@@ -43,6 +43,7 @@ class WaitForBatch(StatefulProcessor):
         available, settled = (0, False) if first else self.state.get()
         available = int(available) + sum(int(chunk["rows"].sum()) for chunk in rows)
         if first and available < self.required:
+            # The first row or the request itself starts the clock.
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
         answer = not settled and available >= self.required
         self.state.update((available, bool(settled) or answer))
@@ -70,12 +71,22 @@ def _count_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.groupby(["task_name", STEP], as_index=False).size().rename(columns={"size": "rows"})
 
 
-def wait_stream(ready: DataFrame, required: int, timeout_seconds: float) -> DataFrame:
+def _no_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch.drop_duplicates().assign(rows=0)
+
+
+def wait_stream(ready: DataFrame, required: int, timeout_seconds: float, requests: DataFrame | None = None) -> DataFrame:
     """(task_name, global_step, required, available, timed_out), once per task and step.
 
-    Time is processing time, so the query has to run with a processing-time trigger.
+    ``requests`` is a stream of (task_name, global_step) of consumers that wait: a step that never
+    gets a row is answered, too, with 0 available. Time is processing time, so the query has to run
+    with a processing-time trigger.
     """
-    counts = ready.select("task_name", STEP).mapInPandas(_count_rows, "task_name string, global_step bigint, rows bigint")
+    schema = "task_name string, global_step bigint, rows bigint"
+    counts = ready.select("task_name", STEP).mapInPandas(_count_rows, schema)
+    if requests is not None:
+        counts = counts.union(requests.select("task_name", STEP).mapInPandas(_no_rows, schema))
     return counts.groupBy("task_name", STEP).transformWithStateInPandas(
         statefulProcessor=WaitForBatch(required, int(timeout_seconds * 1000)),
         outputStructType=WAIT_SCHEMA,

@@ -135,7 +135,15 @@ def test_reads_are_pruned(spark, folder, capsys):
         lines = {line.split(":")[0]: line for line in scan.split("\n") if ":" in line}
         assert "step_band" in lines["PartitionFilters"]
         assert "EqualTo(global_step,100)" in lines["PushedFilters"]
+        assert "GreaterThanOrEqual(global_index,600)" in lines["PushedFilters"]
+        assert "LessThanOrEqual(global_index,600)" in lines["PushedFilters"]
         assert "b:string" not in lines["ReadSchema"]
+    many = spark.range(3, 198, 5).select(F.lit(0).alias("batch_index"), F.col("id").alias(STEP), (F.col("id") * 6).alias(INDEX))
+    data = ex.get_data(many, ["a"])
+    assert rows(data, "a") == [(1,)] * 39
+    capsys.readouterr()
+    data.explain("formatted")
+    assert "GreaterThanOrEqual(global_index,18)" in capsys.readouterr().out
     assert ex.segments().count() == 200 and ex.segments([3, 100]).count() == 2
 
 
