@@ -30,11 +30,11 @@ remove each other's words. Text with fewer than 13 words stays whole.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 
 from rowrelay.llm.automata import SuffixAutomaton
@@ -53,13 +53,53 @@ def split_words(text: bytes | None) -> list[bytes]:
     return (text or b"").split()  # bytes: cut at ASCII white space only
 
 
-def seeds_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the 5-word runs, and for each window the place of its seed."""
-    if len(words) < LEAST:
-        return np.empty(0, U64), np.empty(0, np.int64)
-    runs = window_hashes(WORDS.of(words), SEED)
-    width = LEAST - SEED + 1
-    return runs, sliding_window_view(runs, width).argmin(axis=1) + np.arange(len(runs) - width + 1)
+@dataclass
+class SliceWords:
+    """The words of a slice's documents one after another, as far as they can have windows.
+
+    ``valid`` tells which of the windows (numbered by their first word) lie in one document, ``doc``
+    the document of each word.
+    """
+
+    ids: np.ndarray
+    texts: list[bytes]
+    words: list[bytes]
+    first: np.ndarray
+    hashes: np.ndarray
+    valid: np.ndarray
+    doc: np.ndarray
+
+    @classmethod
+    def of(cls, docs: pa.Table) -> SliceWords:
+        ids, texts, words, stops = [], [], [], []
+        for doc_id, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
+            own = split_words(text) if doc_id is not None else []
+            if len(own) >= LEAST:
+                ids.append(doc_id)
+                texts.append(text)
+                words += own
+                stops.append(len(words))
+        ends = np.array(stops, np.int64)
+        valid = np.ones(max(0, len(words) - LEAST + 1), bool)
+        over = (ends[:, None] + np.arange(1 - LEAST, 0)).ravel()
+        valid[over[over < len(valid)]] = False
+        first = np.append(0, ends[:-1]) if len(ends) else ends
+        doc = np.repeat(np.arange(len(ends)), ends - first)
+        return cls(np.array(ids, np.int64), texts, words, first, WORDS.of(words), valid, doc)
+
+    def seeds(self) -> np.ndarray:
+        """The least hash among the 5-word runs of every window."""
+        runs = window_hashes(self.hashes, SEED)
+        if not len(runs):
+            return runs
+        least, width = runs, 1
+        while 2 * width <= LEAST - SEED + 1:
+            least, width = np.minimum(least[:-width], least[width:]), 2 * width
+        rest = LEAST - SEED + 1 - width
+        return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
+
+    def windows(self) -> np.ndarray:
+        return window_hashes(self.hashes, LEAST, seed=2)
 
 
 def code_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
@@ -82,12 +122,6 @@ def rows_of(table: pa.Table, *columns: str):
     return zip(*[table.column(c).to_pylist() for c in columns], strict=True)
 
 
-def usable_rows(table: pa.Table):
-    for doc_id, text in rows_of(table, "doc_id", "text"):
-        if doc_id is not None and text is not None:
-            yield doc_id, text
-
-
 SEEDS = pa.schema([("slice", pa.int64()), ("range", pa.int64()), ("keys", pa.binary()), ("many", pa.binary())])
 WINDOWS = pa.schema([("slice", pa.int64()), ("range", pa.int64()), ("hashes", pa.binary()), ("owners", pa.binary()), ("counts", pa.binary())])
 TEXTS = pa.schema(
@@ -104,11 +138,12 @@ def ddl(schema: pa.Schema) -> str:
 
 def send_seeds(ranges: int):
     def run(key: tuple, docs: pa.Table) -> pa.Table:
-        found = []
-        for _, text in usable_rows(docs):
-            runs, at = seeds_of(split_words(text))
-            found.append(np.unique(code_of(runs[np.unique(at)], ranges)))
-        codes, counts = np.unique(np.concatenate([*found, np.empty(0, U64)]), return_counts=True)
+        part = SliceWords.of(docs)
+        seeds, doc = part.seeds()[part.valid], part.doc[: len(part.valid)][part.valid]
+        # Neighbouring windows mostly have one seed in common.
+        new = np.flatnonzero((np.diff(seeds) != 0) | (np.diff(doc) != 0)) + 1 if len(seeds) else np.empty(0, np.int64)
+        new = np.append(0, new) if len(seeds) else new
+        codes, _, counts = least_owner(code_of(seeds[new], ranges), doc[new], None)
         columns = {"keys": codes.astype("<u4"), "many": (counts > 1).astype(np.uint8)}
         return packed_by_range((codes >> U32).astype(np.int64), columns, key[0].as_py(), SEEDS)
 
@@ -136,24 +171,14 @@ def send_windows(ranges: int):
         known = [np.frombuffer(keys, "<u4").astype(U64) | U64(number) << U32 for number, keys in rows_of(seeds, "range", "keys")]
         if not known or not docs.num_rows:
             return WINDOWS.empty_table()
-        repeated, hashes, owners = np.unique(np.concatenate(known)), [], []
-        for doc_id, text in usable_rows(docs):
-            words = split_words(text)
-            runs, at = seeds_of(words)
-            if not len(at):
-                continue
-            # Seeds are few among the runs: look each up once.
-            places = np.unique(at)
-            hit = np.zeros(len(runs), bool)
-            hit[places] = member(code_of(runs[places], ranges), repeated)
-            hit = hit[at]
-            if hit.any():
-                own = np.unique(window_hashes(WORDS.of(words), LEAST, seed=2)[hit])
-                hashes.append(own)
-                owners.append(np.full(len(own), doc_id, np.int64))
-        if not hashes:
+        part = SliceWords.of(docs)
+        seeds = code_of(part.seeds(), ranges)
+        if not len(seeds):
             return WINDOWS.empty_table()
-        value, owner, count = least_owner(np.concatenate(hashes), np.concatenate(owners), None)
+        new = np.append(0, np.flatnonzero(np.diff(seeds)) + 1)
+        known_seed = member(seeds[new], np.unique(np.concatenate(known)))
+        hit = np.repeat(known_seed, np.diff(np.append(new, len(seeds)))) & part.valid
+        value, owner, count = least_owner(part.windows()[hit], part.ids[part.doc[: len(hit)][hit]], None)
         number = ((value >> U32) % U64(ranges)).astype(np.int64)
         order = np.argsort(number, kind="stable")
         columns = {"hashes": value[order], "owners": owner[order], "counts": count[order].astype("<i8")}
@@ -163,13 +188,23 @@ def send_windows(ranges: int):
 
 
 def member(values: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(sorted_values, values)
-    at[at == len(sorted_values)] = 0
-    return sorted_values[at] == values
+    """Which of the hashes are among the sorted ones; most that are not fail a look at their low bits."""
+    out = np.zeros(len(values), bool)
+    if len(sorted_values):
+        low = U64((1 << 20) - 1)
+        bits = np.zeros(1 << 20, bool)
+        bits[(sorted_values & low).astype(np.int64)] = True
+        maybe = np.flatnonzero(bits[(values & low).astype(np.int64)])
+        at = np.searchsorted(sorted_values, values[maybe])
+        at[at == len(sorted_values)] = 0
+        out[maybe] = sorted_values[at] == values[maybe]
+    return out
 
 
 def least_owner(hashes: np.ndarray, owners: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes with the smallest owner and the number of documents (pairs that repeat count once)."""
+    if not len(hashes):
+        return hashes, owners, np.empty(0, np.int64)
     order = np.lexsort((owners, hashes))
     hashes, owners = hashes[order], owners[order]
     first = np.append(True, hashes[1:] != hashes[:-1])
@@ -216,25 +251,24 @@ def send_texts(shards: int):
         value, owner, spread = value[order], owner[order], np.ceil(np.log2(np.maximum(1, count[order] / PER_SALT))).astype(np.int64)
         passages: dict[tuple[int, int, bytes], None] = {}
         runs: dict[tuple[int, int, bytes], list[int]] = {}
-        for doc_id, text in usable_rows(docs):
-            words = split_words(text)
-            if len(words) < LEAST:
-                continue
-            hashes = window_hashes(WORDS.of(words), LEAST, seed=2)
-            places = np.flatnonzero(member(hashes, value))
-            if not len(places):
-                continue
+        part = SliceWords.of(docs)
+        hashes = part.windows()
+        places = np.flatnonzero(member(hashes, value) & part.valid)
+        if len(places):
             at = np.searchsorted(value, hashes[places])
-            who, wide = owner[at], spread[at]
+            who, wide, doc = owner[at], spread[at], part.doc[places]
+            # Windows of two documents never are neighbours: the last ones of a document are not valid.
             breaks = np.flatnonzero((np.diff(places) != 1) | (np.diff(who) != 0) | (np.diff(wide) != 0)) + 1
-            mark = fingerprint(text)
-            for start, stop in zip([0, *breaks.tolist()], [*breaks.tolist(), len(places)], strict=True):
-                first, last = int(places[start]), int(places[stop - 1]) + LEAST
-                name = (int(who[start]), int(wide[start]), b" ".join(words[first:last]))
-                if name[0] == doc_id:
+            starts, stops = np.append(0, breaks), np.append(breaks, len(places)) - 1
+            marks: dict[int, int] = {}
+            for d, first, last, o, w in zip(doc[starts].tolist(), places[starts].tolist(), (places[stops] + LEAST).tolist(), who[starts].tolist(), wide[starts].tolist(), strict=True):
+                name = (o, w, b" ".join(part.words[first:last]))
+                if o == part.ids[d]:
                     passages[name] = None
                 else:
-                    runs.setdefault(name, []).extend((doc_id, mark, first))
+                    if d not in marks:
+                        marks[d] = fingerprint(part.texts[d])
+                    runs.setdefault(name, []).extend((int(part.ids[d]), marks[d], first - int(part.first[d])))
         columns: list[list] = [[] for _ in TEXTS]
 
         def add(name: tuple[int, int, bytes], salt: int, passage: bool, where: bytes) -> None:
