@@ -3,14 +3,14 @@
 A document is the mean of the embeddings of its byte n-grams (2 to 4 bytes of the lower-cased text,
 letters only, white space and all else as one separator), each hashed to one of ``BUCKETS`` rows. The
 embeddings and the softmax above them are trained together by stochastic gradient descent in numpy,
-on a bounded sample: at most ``per_language`` labelled documents of each language, the first in the
+on a bounded sample: about ``SAMPLE`` labelled documents, as many of each language, the first in the
 order of a hash of text. Temperature and rejection level are fitted on a part of the sample that
 training has not seen. Prediction is a narrow pass over whole texts; nothing is shuffled.
 
 Defined results: NULL text and text without a letter give ``und`` with score 0; documents with NULL
 language are predicted but never learned from; an empty training set predicts ``und`` everywhere.
-Equal texts get equal results, whatever their number. Languages beyond ``most_languages`` (by rows)
-are not learned.
+Equal texts get equal results, whatever their number. Languages beyond the
+``MOST_LANGUAGES`` most frequent are not learned.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from rowrelay.llm.common import map_batches, slices
 
 BUCKETS = 1 << 13
+SAMPLE = 1_024  # documents to learn from; the driver holds 4 * BUCKETS bytes for each
+MOST_LANGUAGES = 64
 SIZES = (2, 3, 4)
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -75,7 +77,7 @@ def train(counts: np.ndarray, labels: list[str], dim: int = 16, epochs: int = 60
     rng = np.random.default_rng(seed)
     calibrate = np.arange(len(y)) % 5 == 4 if len(y) >= 20 else np.zeros(len(y), bool)
     rows = np.flatnonzero(~calibrate)
-    embed = rng.normal(0, 1, (BUCKETS, dim)).astype(np.float64)
+    embed = rng.normal(0, 1, (BUCKETS, dim)).astype(np.float32)
     layer, bias = rng.normal(0, 0.1, (dim, len(languages))), np.zeros(len(languages))
     share = np.bincount(y[rows], minlength=len(languages)) / len(rows)
     weight = 1 / np.maximum(share, 1e-9)[y] / len(languages)  # languages count alike
@@ -112,10 +114,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(1), pa.array(packed, pa.binary())], names=["lang", "counts"])
 
 
-def fit(docs: DataFrame, usable: Column, per_language: int = 256, most_languages: int = 64) -> Model | None:
+def fit(docs: DataFrame, usable: Column, sample_rows: int = SAMPLE, most_languages: int = MOST_LANGUAGES) -> Model | None:
     """Learn from the rows where ``usable`` holds; None when there is nothing to learn from.
 
-    The driver gets at most ``per_language * most_languages`` rows of ``4 * BUCKETS`` bytes, 64 rows at a time.
+    The driver gets about ``sample_rows`` rows of ``4 * BUCKETS`` bytes.
     """
     labelled = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     order = F.xxhash64("text")
@@ -125,6 +127,7 @@ def fit(docs: DataFrame, usable: Column, per_language: int = 256, most_languages
     ]
     if not languages:
         return None
+    per_language = max(1, sample_rows // len(languages))
     # Narrow rows first: the sample is the hashes below each language's bound, then texts are read once.
     ranked = labelled.filter(F.col("lang").isin(languages)).select("lang", order.alias("_order"))
     # In two steps, so that the last one gets a bounded number of rows whatever the number of tasks.
@@ -138,7 +141,7 @@ def fit(docs: DataFrame, usable: Column, per_language: int = 256, most_languages
     sample = labelled.filter(inside).groupBy("lang", order.alias("_order")).agg(F.min("text").alias("text"))
     counted = map_batches(sample.select("text", "lang"), _counted, "lang string, counts binary")
     rows = sorted((r["lang"], bytes(r["counts"])) for r in counted.toLocalIterator())
-    counts = np.array([np.frombuffer(c, "<u4") for _, c in rows], np.float64)
+    counts = np.array([np.frombuffer(c, "<u4") for _, c in rows], np.float32)
     shuffled = np.random.default_rng(3).permutation(len(rows))
     return train(counts[shuffled], [rows[i][0] for i in shuffled])
 
