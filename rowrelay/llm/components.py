@@ -1,4 +1,4 @@
-"""Connected components of a link table, by label passing and pointer jumping."""
+"""Connected components of a link table, by hooking, pointer jumping and contraction."""
 
 from __future__ import annotations
 
@@ -10,23 +10,33 @@ from rowrelay.llm.common import written
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable from every node of ``links`` (a, b).
 
-    Each round takes the smallest label among a node and its neighbours, then the label of that
-    label. The number of rounds follows the logarithm of the longest chain for the stars that
-    candidate generation makes. Labels are written to the shared folder after each round; only the
-    number of changed labels reaches the driver. A node with very many links is a single minimum,
-    combined before the shuffle.
+    A round hooks every node to its smallest neighbour, follows these pointers to their roots (each
+    step doubles the distance), and contracts the links to those between different roots. At
+    least half of the nodes go in a round, all of a star in the first. Tables are written to the shared
+    folder after each step; the driver only learns whether something is left. A node with very many
+    links is a single minimum, combined before the shuffle.
     """
-    both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
+    edges = written(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct(), "links")
+    alone = links.select(F.col("a").alias("node"), F.col("a").alias("label")).filter(links["a"] == links["b"]).distinct()
+    labels = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("near")), "b")
-        least = near.groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        passed = labels.join(least, "node").select("node", "label", F.least("label", "near").alias("to"))
-        onward = labels.select(F.col("node").alias("to"), F.col("label").alias("beyond"))
-        stepped = written(
-            passed.join(onward, "to").select("node", F.col("beyond").alias("label"), (F.col("beyond") != F.col("label")).alias("moved")),
-            "labels",
-        )
-        labels = stepped.select("node", "label")
-        if not stepped.filter("moved").limit(1).count():
-            return labels
+        hooks = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "hooks")
+        while True:
+            onward = hooks.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
+            moved = (F.col("beyond") != F.col("label")).alias("moved")
+            jumped = hooks.join(onward, "label").select("node", F.col("beyond").alias("label"), moved)
+            jumped = written(jumped, "hooks")
+            hooks = jumped.select("node", "label")
+            if not jumped.filter("moved").limit(1).count():
+                break
+        if labels is None:
+            labels = hooks
+        else:
+            roots = hooks.select(F.col("node").alias("label"), F.col("label").alias("root"))
+            labels = written(labels.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+        left = hooks.select(F.col("node").alias("a"), F.col("label").alias("root_a"))
+        right = hooks.select(F.col("node").alias("b"), F.col("label").alias("root_b"))
+        crossing = edges.join(left, "a").join(right, "b").filter("root_a <> root_b")
+        edges = written(crossing.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "links")
+        if not edges.limit(1).count():
+            return labels.union(alone.join(labels.select("node"), "node", "left_anti"))

@@ -7,8 +7,8 @@ Bit counts of two signatures estimate the similarity, corrected for chance agree
 what the estimate leaves is confirmed on the full sets.
 
 Groups of any size stay linear. Equal sets are one class, found by their digest. In each band bucket
-classes are paired with one centre only, and with another centre in every band; the best pair of every
-class by the estimate is confirmed, and the links are joined to components. Buckets that then still hold
+classes are paired with one centre only, and with another centre in every band; of the centres that share
+most bands with a class the best by the estimate is confirmed, and the links are joined to components. Buckets that then still hold
 several components compare the classes outside their largest component with the others, on
 full sets, block by block, so that no link inside a bucket is lost. Nothing is capped.
 
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rowrelay.llm.common import WordHashes, map_batches, mixed, odd_numbers, slices, window_hashes, written
 from rowrelay.llm.components import components
@@ -36,6 +36,7 @@ BANDS, ROWS, BITS = 32, 4, 4
 HASHES = BANDS * ROWS
 PER_LONG = 64 // BITS
 CHANCE = 2.0**-BITS
+ESTIMATED = 3  # centres of a class whose similarity is estimated
 BLOCK = 512  # sets of a block that are compared at once
 # Six standard deviations of the estimate at similarity 0.75: lower estimates are no links.
 SLACK = 6 * (0.75 * 0.25 / HASHES) ** 0.5 / (1 - CHANCE)
@@ -144,8 +145,15 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _links_across(rest: pa.Table, others: pa.Table) -> pa.Table:
-    """Links between two blocks whose ends have different labels; one for each node and other label."""
+    """Links between two blocks that join different labels: as many as join what these blocks can join."""
     out: tuple[list[int], list[int]] = ([], [])
+    joined: dict[int, int] = {}
+
+    def root(label: int) -> int:
+        while (to := joined.get(label, label)) != label:
+            joined[label] = label = joined.get(to, to)
+        return label
+
     if rest.num_rows and others.num_rows:
         sets = [np.frombuffer(x, np.uint64) for x in others.column("shingles").to_pylist()]
         sizes = np.array([len(x) for x in sets])
@@ -161,8 +169,12 @@ def _links_across(rest: pa.Table, others: pa.Table) -> pa.Table:
             common = np.bincount(holder[at], minlength=len(sets))
             linked = np.flatnonzero(similar(common, len(own), sizes) & (labels != label))
             _, first = np.unique(labels[linked], return_index=True)
-            out[0].extend([node] * len(first))
-            out[1].extend(nodes[linked[first]].tolist())
+            for i in linked[first].tolist():
+                mine, other = root(label), root(int(labels[i]))
+                if mine != other:
+                    joined[mine] = other
+                    out[0].append(node)
+                    out[1].append(int(nodes[i]))
     return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
 
@@ -173,7 +185,10 @@ def across_components(mixed_up: DataFrame, sets: DataFrame) -> DataFrame:
     Buckets that share members form clusters. The nodes that are outside the largest component of some bucket
     are compared with all nodes of their cluster, exactly, in pairs of blocks; only links leave a block.
     """
-    reached = components(mixed_up.select(F.col("node").alias("a"), F.col("centre").alias("b")))
+    # The centres of a node belong together: the node is linked to the least of them, the others to that one.
+    least = mixed_up.groupBy("node").agg(F.min("centre").alias("least"))
+    centres = mixed_up.join(least, "node").select(F.col("least").alias("a"), F.col("centre").alias("b"))
+    reached = components(least.toDF("a", "b").union(centres).distinct())
     nodes = mixed_up.groupBy("node").agg(F.first("label").alias("label"), F.max("rest").alias("rest"))
     nodes = nodes.join(reached.select("node", F.col("label").alias("cluster")), "node")
     sizes = nodes.groupBy("cluster").agg(
@@ -212,7 +227,11 @@ def links(sketch: DataFrame, docs: DataFrame) -> DataFrame:
     texts = docs.join(needed.hint("shuffle_hash"), F.col("doc_id") == F.col("node")).select("node", "text").dropDuplicates(["node"])
     sets = written(map_batches(texts, _sets, "node bigint, shingles binary"), "sets")
     bits = nodes.select("node", "bits", "n_shingles")
-    stars = members.filter("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    # Of a node's centres those with most bands in common are estimated; what they miss is found below.
+    shared = members.filter("node <> centre").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("bands"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("bands"), "centre"))
+    stars = shared.withColumn("place", place).filter(F.col("place") <= ESTIMATED)
+    stars = stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     scored = (
         stars.join(bits.toDF("a", "bits_a", "n_a"), "a")
         .join(bits.toDF("b", "bits_b", "n_b"), "b")
