@@ -24,6 +24,14 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{shared_base(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
+def drop_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``shared_dir`` has named, once nothing reads it any more."""
+    if not path.startswith(f"{shared_base(spark)}/"):
+        raise ValueError(f"{path} is not below the shared folder")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point reliable checkpoints at the shared folder when the session has not done so."""
     sc = spark.sparkContext

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from rowrelay.functions.addressing import floor_div
 from rowrelay.schema import CLAIMS, CLEARS, FIELDS, INDEX, PRODUCTION, STEP
-from rowrelay.session import shared_dir
+from rowrelay.session import drop_dir, shared_dir
 
 _SEGMENT_HEAD = T.StructType(
     [
@@ -123,6 +123,7 @@ class Tables:
             folder = f"{folder}/{BAND}={step // STEPS_PER_BAND}"
             placed = placed.sortWithinPartitions(STEP, INDEX)
         placed.write.mode("overwrite").parquet(folder)
+        drop_dir(self.spark, aside)
 
     def tasks(self, step: int) -> list[str]:
         """Tasks with claims in the folder of a step (a few names)."""
