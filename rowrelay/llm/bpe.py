@@ -28,7 +28,8 @@ from rowrelay.llm.common import mixed, ship_package, slices
 
 NONE = np.int32(2**31 - 1)
 LONGEST = 512
-REMEMBERED = 250_000
+REMEMBERED = 150_000
+SLICE = 1 << 20  # bytes of text whose pieces are held at once
 ROWS = 8_192  # rows of one matrix
 
 
@@ -189,37 +190,48 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-def _with_binary(df: DataFrame, source: str, target: str, make) -> DataFrame:
-    """Add a binary column made from ``source`` by ``make``, a function of a list of values."""
+def _with_binary(df: DataFrame, source: str, targets: list[str], make) -> DataFrame:
+    """Add binary columns made from ``source`` by ``make``, a function of a list of values."""
     ship_package(df.sparkSession)
-    keep = [c for c in df.columns if c.lower() != target.lower()]
+    new = {t.lower() for t in targets}
+    keep = [c for c in df.columns if c.lower() not in new]
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{source}`").alias("value"))
     kind = packed.schema["row"].dataType.simpleString()
+    names = [f"made{i}" for i in range(len(targets))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "value"):
-            made = pa.array(make(part.column(1).to_pylist()), pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), made], names=["row", "made"])
+        for part in slices(batches, "value", SLICE):
+            made = [pa.array(x, pa.binary()) for x in make(part.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column(0), *made], names=["row", *names])
 
-    out = packed.mapInArrow(run, f"row {kind}, made binary")
-    return out.select("row.*", F.col("made").alias(target))
+    out = packed.mapInArrow(run, ", ".join([f"row {kind}", *[f"{n} binary" for n in names]]))
+    return out.select("row.*", *[F.col(n).alias(t) for n, t in zip(names, targets, strict=True)])
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """Add ``ids``: the tokens of the whole text as little-endian unsigned 32-bit integers."""
-    return _with_binary(df, text, ids, lambda texts: encoder(path, pattern).encode(texts))
+    return _with_binary(df, text, [ids], lambda texts: [encoder(path, pattern).encode(texts)])
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
     """Add ``decoded``: the bytes that the ids stand for."""
-    return _with_binary(df, ids, decoded, lambda rows: list(map(encoder(path, pattern).decode, rows)))
+    return _with_binary(df, ids, [decoded], lambda rows: [list(map(encoder(path, pattern).decode, rows))])
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
+    """Add ``ids`` and what they decode to, in one pass of the Python workers."""
+
+    def both(texts: list[str | None]) -> list[list[bytes]]:
+        code = encoder(path, pattern)
+        packed = code.encode(texts)
+        return [packed, list(map(code.decode, packed))]
+
+    return _with_binary(df, text, [ids, decoded], both)
 
 
 def digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of a round trip through both directions."""
-    ids = encode(df.select("doc_id", "text"), path, pattern).select("doc_id", "token_ids")
-    both = decode(ids, path, pattern)
-    return both.select(
+    return round_trip(df.select("doc_id", "text"), path, pattern).select(
         "doc_id",
         (F.octet_length("token_ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),

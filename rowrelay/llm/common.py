@@ -56,7 +56,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
 class WordHashes(dict):
     """64-bit hash of a word (bytes), remembered up to a bounded number of words."""
 
-    MOST = 400_000
+    MOST = 120_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:

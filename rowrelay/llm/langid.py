@@ -70,10 +70,11 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(counts: np.ndarray, labels: list[str], dim: int = 16, epochs: int = 60, rate: float = 2.0, seed: int = 7, rejected: float = 0.001) -> Model:
-    """Fit on rows of bucket counts. Every fifth row calibrates instead of training."""
+    """Fit on rows of bucket counts (float32 ones are used up). Every fifth row calibrates instead of training."""
     languages = tuple(sorted(set(labels)))
     y = np.array([languages.index(x) for x in labels])
-    x = counts / np.maximum(1, counts.sum(axis=1, keepdims=True))
+    x = np.asarray(counts, np.float32)
+    x /= np.maximum(1, x.sum(axis=1, keepdims=True))  # in place: the caller's copy is not needed again
     rng = np.random.default_rng(seed)
     calibrate = np.arange(len(y)) % 5 == 4 if len(y) >= 20 else np.zeros(len(y), bool)
     rows = np.flatnonzero(~calibrate)
@@ -141,9 +142,13 @@ def fit(docs: DataFrame, usable: Column, sample_rows: int = SAMPLE, most_languag
     sample = labelled.filter(inside).groupBy("lang", order.alias("_order")).agg(F.min("text").alias("text"))
     counted = map_batches(sample.select("text", "lang"), _counted, "lang string, counts binary")
     rows = sorted((r["lang"], bytes(r["counts"])) for r in counted.toLocalIterator())
-    counts = np.array([np.frombuffer(c, "<u4") for _, c in rows], np.float32)
-    shuffled = np.random.default_rng(3).permutation(len(rows))
-    return train(counts[shuffled], [rows[i][0] for i in shuffled])
+    shuffled = np.random.default_rng(3).permutation(len(rows)).tolist()
+    counts = np.empty((len(rows), BUCKETS), np.float32)
+    for place, i in enumerate(shuffled):
+        counts[place] = np.frombuffer(rows[i][1], "<u4")
+    labels = [rows[i][0] for i in shuffled]
+    rows.clear()
+    return train(counts, labels)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -52,7 +52,7 @@ def test_language_model_is_calibrated():
     counts = np.zeros((200, langid.BUCKETS))
     for i in range(200):
         counts[i, rng.integers(0, 50, 40) + 100 * (i % 2)] += 1
-    model = langid.train(counts, ["ab"[i % 2] for i in range(200)])
+    model = langid.train(counts.copy(), ["ab"[i % 2] for i in range(200)])
     assert model.languages == ("a", "b")
     assert all(model.languages[int(model.scores(c).argmax())] == "ab"[i % 2] for i, c in enumerate(counts))
     assert 0 < model.reject_below <= 0.75
