@@ -1,10 +1,15 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Each of ``TABLES`` tables has a pseudo-rotation: three rounds of random signs and a fast Hadamard
-transform. A vector falls into the bin of the signed axis that is nearest to its rotated direction. A
+Each table has a pseudo-rotation: three rounds of random signs and a fast Hadamard transform. A vector
+falls into the bin of the signed axis, among ``AXES`` axes at most, that is nearest to its rotated direction. A
 query looks into the ``PROBES`` nearest axes of each table, and what it finds is reranked by the exact
-inner product in double precision. For the largest inner product among vectors of any length, vectors
-get one more coordinate that makes their norms equal; queries have 0 there.
+inner product in double precision. The angles of neighbours grow with the dimension, so there are more tables for
+more dimensions (``tables_for``).
+
+For the largest inner product among vectors of any length, vectors are cut into ranges of norms, the longest
+of a range about 1.4 times the shortest, and each range is hashed and searched by itself: a long vector has no part in where
+others fall. In a range of few vectors the best need not be close in angle, so all queries meet all vectors of ranges
+of up to ``FEW``, block by block.
 
 Equal vectors are one class with its smallest ids (as many as a result may need), so a vector that
 fills a third of the table is searched and found once. A bin is cut into blocks of points and of
@@ -28,7 +33,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from rowrelay.llm.common import written
 from rowrelay.session import ship_package
 
-TABLES, PROBES = 8, 32
+TABLES, PROBES, AXES = 8, 32, 128
+FEW = 1_024  # vectors of a range that are met without hashing
 NEAREST = 20
 POINT_BLOCK, QUERY_BLOCK = 4_096, 1_024
 SPARE = 4  # more than asked for, kept by fast products before the final ones
@@ -59,6 +65,23 @@ def signed_axes(turned: np.ndarray, probes: int) -> np.ndarray:
     return np.argsort(-values, axis=1, kind="stable")[:, :probes]
 
 
+def padded(dim: int) -> int:
+    return 1 << dim.bit_length()
+
+
+def tables_for(dim: int) -> int:
+    """``TABLES`` up to 127 dimensions, three more each time the padded dimension doubles."""
+    return TABLES + 3 * max(0, padded(dim).bit_length() - AXES.bit_length())
+
+
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every row at length 1, and the number of its range of norms (norms around 1 share one)."""
+    most = np.abs(x).max(axis=1, keepdims=True)
+    unit = x / most
+    length = np.linalg.norm(unit, axis=1, keepdims=True)
+    return unit / length, np.floor(2 * (np.log2(most) + np.log2(length)) + 0.5).ravel().astype(np.int64)
+
+
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), dim)
 
@@ -76,14 +99,18 @@ def _packed(dim: int):
                 row = np.zeros(dim)
                 row[: len(vector)] = vector
                 rows.append((row + 0.0).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["vec_id", "vec"])
+            vectors = pa.array(rows, pa.binary())
+            norms = directions(matrix(vectors, dim))[1] if rows else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), vectors, pa.array(norms)], names=["vec_id", "vec", "range"])
 
     return run
 
 
-def _binned(dim: int, longest: float, probes: int):
-    """Rows (id, vec) to (bin, id, vec) for all tables; queries have several probes."""
-    size = 1 << dim.bit_length()  # room for the coordinate that evens out the norms
+def _binned(dim: int, ranges: list[int], asks: bool):
+    """Rows (id, vec, range) to (bin, id, vec) for all tables; queries have several probes, in each of ``ranges``."""
+    size, tables = padded(dim), tables_for(dim)
+    axes_used = min(size, AXES)
+    place = {number: i for i, number in enumerate(ranges)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -91,17 +118,17 @@ def _binned(dim: int, longest: float, probes: int):
                 batch = whole.slice(start, 1024)
                 if not batch.num_rows:
                     continue
-                x = matrix(batch.column(1), dim)
-                full = np.zeros((len(x), size))
-                full[:, :dim] = x / (longest if probes == 1 else np.linalg.norm(x, axis=1, keepdims=True))
-                if probes == 1:
-                    full[:, dim] = np.sqrt(np.maximum(0, 1 - (full[:, :dim] ** 2).sum(axis=1)))
-                for table in range(TABLES):
-                    axes = signed_axes(rotated(full, table), probes)
-                    at = np.repeat(np.arange(len(x)), axes.shape[1])
-                    bins = pa.array((axes.ravel() + table * 2 * size).astype(np.int64))
+                full = np.zeros((batch.num_rows, size))
+                full[:, :dim] = directions(matrix(batch.column(1), dim))[0]
+                own = None if asks else np.array([place[x] for x in batch.column(2).to_pylist()])
+                for table in range(tables):
+                    axes = signed_axes(rotated(full, table)[:, :axes_used], PROBES if asks else 1)
+                    at = np.repeat(np.arange(len(full)), axes.shape[1])
                     take = pa.array(at)
-                    yield pa.RecordBatch.from_arrays([bins, batch.column(0).take(take), batch.column(1).take(take)], names=["bin", "id", "vec"])
+                    ids, vectors = batch.column(0).take(take), batch.column(1).take(take)
+                    for i in range(len(ranges)) if asks else [own]:
+                        bins = pa.array((axes.ravel() + (table + i * tables) * 2 * axes_used).astype(np.int64))
+                        yield pa.RecordBatch.from_arrays([bins, ids, vectors], names=["bin", "id", "vec"])
 
     return run
 
@@ -151,24 +178,29 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST) -> DataFrame
     ship_package(spark)
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    shape = rows.agg(F.max(F.size("v")), F.max(norm)).first()
+    size = rows.agg(F.max(F.size("v"))).first()[0]
     schema = "query_id bigint, rank int, vec_id bigint, score double"
-    if shape[0] is None:
+    if size is None:
         return spark.createDataFrame([], schema)
-    dim, longest = int(shape[0]), float(shape[1])
-    members = rows.mapInArrow(_packed(dim), "vec_id bigint, vec binary").distinct()
+    dim = int(size)
+    members = rows.mapInArrow(_packed(dim), "vec_id bigint, vec binary, range bigint").distinct()
     members = written(members.withColumn("asks", is_query).withColumn("class", F.md5("vec")), "vectors")
     # Of a class: its smallest id, and as many of the smallest as one result may hold.
     place = F.row_number().over(Window.partitionBy("class").orderBy("vec_id"))
     lowest = members.select("class", "vec_id").withColumn("place", place).filter(F.col("place") <= k + 1)
     ids = lowest.groupBy("class").agg(F.min("vec_id").alias("vec_id"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    classes = written(members.join(ids, ["class", "vec_id"]).select("class", F.col("vec_id").alias("id"), "ids", "vec"), "classes")
+    classes = written(members.join(ids, ["class", "vec_id"]).select("class", F.col("vec_id").alias("id"), "ids", "vec", "range"), "classes")
     asking = members.filter("asks").select("class", F.col("vec_id").alias("query_id"))
     asked = classes.join(asking.select("class").distinct(), "class", "left_semi")
     binned = "bin bigint, id bigint, vec binary"
-    index = written(classes.select("id", "vec").mapInArrow(_binned(dim, longest, 1), binned), "index")
-    probes = written(asked.select("id", "vec").mapInArrow(_binned(dim, longest, PROBES), binned), "probes")
+    # A few thousand ranges at most, whatever the input: the exponents of doubles.
+    ranges = sorted(r["range"] for r in classes.groupBy("range").count().filter(F.col("count") > FEW).collect())
+    whole = F.lit(-1).cast("bigint").alias("bin")
+    hashed = F.col("range").isin(ranges)
+    few = classes.filter(~hashed).select(whole, "id", "vec")
+    index = classes.filter(hashed).select("id", "vec", "range").mapInArrow(_binned(dim, ranges, False), binned)
+    probes = asked.select("id", "vec", "range").mapInArrow(_binned(dim, ranges, True), binned)
+    index, probes = written(index.union(few), "index"), written(probes.union(asked.select(whole, "id", "vec")), "probes")
     most = k + 1
     found = written(in_blocks(index, probes, dim, most), "found")
     # Too few ids found: those queries meet every class, in blocks.
@@ -176,7 +208,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST) -> DataFrame
     reach = found.join(sizes, "id").groupBy(F.col("query").alias("id")).agg(F.sum("n").alias("reached"))
     enough = min(k + 1, classes.agg(F.sum(F.size("ids"))).first()[0])
     short = asked.select("id", "vec").join(reach, "id", "left").filter(F.coalesce("reached", F.lit(0)) < enough)
-    whole = F.lit(-1).cast("bigint").alias("bin")
     short = written(short.select(whole, "id", "vec"), "short")
     if short.limit(1).count():
         found = found.union(in_blocks(classes.select(whole, "id", "vec"), short, dim, most)).groupBy("query", "id").agg(F.max("score").alias("score"))

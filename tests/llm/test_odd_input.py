@@ -159,6 +159,32 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["one long", "two lengths", "mixed", "256 dimensions", "768 dimensions"])
+def test_nearest_for_norms_and_dimensions(spark, kind):
+    """Recall does not fall with the spread of norms or with the dimension."""
+    rng = np.random.default_rng(7)
+    dim, n = {"256 dimensions": 256, "768 dimensions": 768}.get(kind, 64), 2400
+    x = rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "one long":
+        x[7] *= 10
+    if kind == "two lengths":
+        x[1::2] *= 5
+    if kind == "mixed":
+        x *= rng.lognormal(0, 0.5, (n, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got: dict[int, set] = {}
+    for r in ann.nearest(df, F.col("vec_id") % 60 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert set(got) == set(range(0, n, 60))
+    hits = 0
+    for q, found in got.items():
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += len(found & set(np.argsort(-scores)[:20].tolist()))
+    assert hits >= 0.9 * 20 * len(got), hits / (20 * len(got))
+
+
 def test_licenses(spark, docs):
     own = [("A", "one two three"), ("B", dict(NAMED)[20]), ("C", ""), ("D", "word")]
     got = Counter((r["doc_id"], r["license_id"]) for r in licenses.matches(docs, own).collect())
