@@ -37,7 +37,6 @@ TABLES, PROBES, AXES = 8, 32, 128
 FEW = 1_024  # vectors of a range that are met without hashing
 NEAREST = 20
 POINT_BLOCK, QUERY_BLOCK = 4_096, 1_024
-SPARE = 4  # more than asked for, kept by fast products before the final ones
 
 
 def hadamard(y: np.ndarray) -> np.ndarray:
@@ -134,7 +133,10 @@ def _binned(dim: int, ranges: list[int], asks: bool):
 
 
 def _best(dim: int, most: int):
-    """The ``most`` largest inner products of each query of a group among the points of the group."""
+    """The ``most`` largest inner products of each query of a group among the points of the group, ties to the smaller id.
+
+    Fast products choose: all that rounding may leave among the best. Equal ones thus stay until the ids decide.
+    """
 
     def run(points: pa.Table, queries: pa.Table) -> pa.Table:
         if not points.num_rows or not queries.num_rows:
@@ -143,11 +145,17 @@ def _best(dim: int, most: int):
         order = np.argsort(ids)
         ids, x = ids[order], matrix(points.column("vec").combine_chunks(), dim)[order]
         asked, q = queries.column("id").to_numpy(), matrix(queries.column("vec").combine_chunks(), dim)
-        keep = min(len(ids), most + SPARE)
+        keep = min(len(ids), most)
         products = q @ x.T
-        picked = np.argpartition(-products, keep - 1, axis=1)[:, :keep]
-        scores = (q[:, None, :] * x[picked]).sum(axis=2)  # the same order of additions wherever a vector stands
-        return pa.table({"query": np.repeat(asked, keep), "id": ids[picked].ravel(), "score": scores.ravel()})
+        slack = 4 * dim * np.finfo(np.float64).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
+        least = np.partition(products, len(ids) - keep, axis=1)[:, len(ids) - keep] - slack
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for vector, row, bound in zip(q, products, least, strict=True):
+            picked = np.flatnonzero(~(row < bound))
+            scores = (vector * x[picked]).sum(axis=1)  # the same order of additions wherever a vector stands
+            best = np.argsort(-scores, kind="stable")[:keep]  # ids ascend
+            out.append((ids[picked[best]], scores[best]))
+        return pa.table({"query": np.repeat(asked, keep), "id": np.concatenate([i for i, _ in out]), "score": np.concatenate([x for _, x in out])})
 
     return run
 

@@ -185,6 +185,15 @@ def test_nearest_for_norms_and_dimensions(spark, kind):
     assert hits >= 0.9 * 20 * len(got), hits / (20 * len(got))
 
 
+def test_nearest_of_equal_scores(spark):
+    """One-hot vectors: nearly all products are 0, and the smallest ids of them are the answer."""
+    rows = [(i, [float(j == i) for j in range(120)]) for i in reversed(range(120))]
+    got: dict[int, list] = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 20 == 0).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {q: [i for i in range(21) if i != q][:20] for q in range(0, 120, 20)}
+
+
 def test_licenses(spark, docs):
     own = [("A", "one two three"), ("B", dict(NAMED)[20]), ("C", ""), ("D", "word")]
     got = Counter((r["doc_id"], r["license_id"]) for r in licenses.matches(docs, own).collect())
