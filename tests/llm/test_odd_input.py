@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names, for every operator."""
 
+import random
 import zlib
 from collections import Counter
 
@@ -12,7 +13,7 @@ from rowrelay.llm import ann, bpe, decontaminate, langid, licenses, lines, minha
 from rowrelay.llm.common import mixed
 from rowrelay.llm.queries import PATTERN, RANKS, VOCABULARY
 from tests.llm import brute
-from tests.llm.data import no_docs, odd_docs, odd_rows
+from tests.llm.data import no_docs, odd_docs, odd_rows, sentence
 
 ROWS = [r[:2] for r in odd_rows()]
 NAMED = [r for r in ROWS if r[0] is not None]
@@ -66,6 +67,25 @@ def test_simhash_index_finds_all_within_radius():
         assert any(x.bit_count() <= 1 for x in blocks)
 
 
+def test_decontamination_of_edited_items(spark):
+    """Items whose beginning or end is changed, as far as the similarity allows: their SimHash may be far."""
+    rnd = random.Random(11)
+    rows, items = [], []
+    for i in range(400):
+        own = sentence(rnd, 20 + i % 40).split()
+        items.append((i, " ".join(own)))
+        changed = (len(own) - 4) // 7  # of s shingles c change: (s - c) / (s + c) >= 0.75
+        other = sentence(rnd, changed, "stuvwxyz").split()
+        near = own[:-changed] + other if i % 2 else other + own[changed:]
+        rows.append((i, " ".join([sentence(rnd, 10, "ijklmn"), *near, sentence(rnd, 10, "ijklmn")])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.leaks(docs, bench(spark, items)).collect()}
+    want = {}
+    for (i, text), (_, own) in zip(rows, items, strict=True):
+        want |= {(i, i): score for score in brute.leaks([(i, text)], [(i, own)]).values()}
+    assert len(want) == 400 and found == want
+
+
 def test_shards(spark, docs):
     got = shards.assignment(docs).collect()
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter(
