@@ -3,19 +3,18 @@
 A document is the mean of the embeddings of its byte n-grams (2 to 4 bytes of the lower-cased text,
 letters only, white space and all else as one separator), each hashed to one of ``BUCKETS`` rows. The
 embeddings and the softmax above them are trained together by stochastic gradient descent in numpy,
-on a bounded sample: about ``SAMPLE`` labelled documents, as many of each language, the first in the
-order of a hash of text. Temperature and rejection level are fitted on a part of the sample that
+on a bounded sample: about ``SAMPLE`` labelled documents, as many of each language and ``LEAST_OF_EACH`` at
+least where there are as many, the first in the order of a hash of text. Temperature and rejection level are fitted on a part of the sample that
 training has not seen. Prediction is a narrow pass over whole texts; nothing is shuffled.
 
 Defined results: NULL text and text without a letter give ``und`` with score 0; documents with NULL
 language are predicted but never learned from; an empty training set predicts ``und`` everywhere.
-Equal texts get equal results, whatever their number. Languages beyond the
-``MOST_LANGUAGES`` most frequent are not learned.
+Equal texts get equal results, whatever their number. Every language is learned; more than
+``MOST_LANGUAGES`` values of ``lang`` are refused, as the sample cannot hold them.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +27,8 @@ from rowrelay.llm.common import map_batches, slices
 
 BUCKETS = 1 << 13
 SAMPLE = 1_024  # documents to learn from; the driver holds 4 * BUCKETS bytes for each
-MOST_LANGUAGES = 64
+LEAST_OF_EACH = 4
+MOST_LANGUAGES = 1_024
 SIZES = (2, 3, 4)
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -77,6 +77,7 @@ def train(counts: np.ndarray, labels: list[str], dim: int = 16, epochs: int = 60
     x /= np.maximum(1, x.sum(axis=1, keepdims=True))  # in place: the caller's copy is not needed again
     rng = np.random.default_rng(seed)
     calibrate = np.arange(len(y)) % 5 == 4 if len(y) >= 20 else np.zeros(len(y), bool)
+    calibrate &= np.isin(y, y[~calibrate])  # every language has a row to learn from
     rows = np.flatnonzero(~calibrate)
     embed = rng.normal(0, 1, (BUCKETS, dim)).astype(np.float32)
     layer, bias = rng.normal(0, 0.1, (dim, len(languages))), np.zeros(len(languages))
@@ -118,28 +119,28 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, usable: Column, sample_rows: int = SAMPLE, most_languages: int = MOST_LANGUAGES) -> Model | None:
     """Learn from the rows where ``usable`` holds; None when there is nothing to learn from.
 
-    The driver gets about ``sample_rows`` rows of ``4 * BUCKETS`` bytes.
+    The driver gets about ``sample_rows`` rows of ``4 * BUCKETS`` bytes, or ``LEAST_OF_EACH`` for each language if that is more.
     """
     labelled = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     order = F.xxhash64("text")
-    languages = [
-        r[0]
-        for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
-    ]
-    if not languages:
+    n_languages = labelled.select("lang").distinct().limit(most_languages + 1).count()
+    if not n_languages:
         return None
-    per_language = max(1, sample_rows // len(languages))
+    if n_languages > most_languages:
+        raise ValueError(f"lang has more than {most_languages} values, too many for a sample on the driver")
+    per_language = max(LEAST_OF_EACH, sample_rows // n_languages)
     # Narrow rows first: the sample is the hashes below each language's bound, then texts are read once.
-    ranked = labelled.filter(F.col("lang").isin(languages)).select("lang", order.alias("_order"))
+    ranked = labelled.select("lang", order.alias("_order"))
     # In two steps, so that the last one gets a bounded number of rows whatever the number of tasks.
     for parts in (["lang", F.pmod("_order", F.lit(16))], ["lang"]):
         place = F.row_number().over(Window.partitionBy(*parts).orderBy("_order"))
         ranked = ranked.withColumn("_place", place).filter(F.col("_place") <= per_language).drop("_place")
     bounds = ranked.groupBy("lang").agg(F.max("_order").alias("_bound"))
-    limits = {r["lang"]: r["_bound"] for r in bounds.collect()}
-    inside = functools.reduce(lambda a, b: a | b, [(F.col("lang") == k) & (order <= v) for k, v in limits.items()])
+    # A table of one row for each language.
+    limits = docs.sparkSession.createDataFrame([tuple(r) for r in bounds.collect()], "lang string, _bound bigint")
+    inside = labelled.join(F.broadcast(limits), "lang").filter(order <= F.col("_bound"))
     # Equal texts have equal order and count once, so a bound admits about per_language distinct texts.
-    sample = labelled.filter(inside).groupBy("lang", order.alias("_order")).agg(F.min("text").alias("text"))
+    sample = inside.groupBy("lang", order.alias("_order")).agg(F.min("text").alias("text"))
     counted = map_batches(sample.select("text", "lang"), _counted, "lang string, counts binary")
     rows = sorted((r["lang"], bytes(r["counts"])) for r in counted.toLocalIterator())
     shuffled = np.random.default_rng(3).permutation(len(rows)).tolist()

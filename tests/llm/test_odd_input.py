@@ -150,6 +150,23 @@ def test_languages(spark, docs):
     assert {r["lang_pred"] for r in langid.languages(unlabelled).collect()} == {"und"}
 
 
+def test_all_languages_are_learned(spark):
+    """More labels than the 64 most frequent, one of them on a single document."""
+    rnd = random.Random(4)
+    rows = []
+    for n in range(80):
+        letters = "".join(chr(0x4E00 + 3 * n + i) for i in range(3))
+        rows += [(len(rows) + i, sentence(rnd, 30, letters), f"l{n:02}") for i in range(1 if n == 79 else 6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(docs, F.lit(True))
+    assert model.languages == tuple(sorted({r[2] for r in rows}))
+    found = {r["row"]["doc_id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()}
+    assert {lang for i, _, lang in rows if found[i] == lang} == set(model.languages)
+    assert sum(found[i] == lang for i, _, lang in rows) >= 0.95 * len(rows)
+    with pytest.raises(ValueError, match="more than 79"):
+        langid.fit(docs, F.lit(True), most_languages=79)
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=12) * (1 + i % 5)]) for i in range(200)]
