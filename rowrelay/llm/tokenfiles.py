@@ -97,7 +97,7 @@ def scan(spark: SparkSession, path: str, vocabulary: int, block: int = BLOCK) ->
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names=["file", "block", "ends", "ids", "marks"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").load(path)  # without names that begin with _ or .
     blocks = map_batches(files.select("path", "content"), run, "file string, block bigint, ends array<bigint>, ids array<bigint>, marks array<boolean>")
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     stitched = blocks.select(

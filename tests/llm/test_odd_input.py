@@ -265,6 +265,14 @@ def test_plain_token_file(spark, tmp_path):
     assert got == [(0, 0, 2, None), (1, 3, 0, None), (2, 4, 1, None), (3, 6, 3, None)]
 
 
+def test_token_files_of_any_name(spark, tmp_path):
+    """All but hidden files are read."""
+    for name in ("tokens.bin", "part-0", "0001", "_SUCCESS", ".tokens.bin.crc"):
+        (tmp_path / name).write_bytes(np.array([5, 6, VOCABULARY], "<u2").tobytes())
+    got = {(r["file"].rsplit("/", 1)[1], r["n_tokens"]) for r in tokenfiles.scan(spark, str(tmp_path), VOCABULARY).collect()}
+    assert got == {("tokens.bin", 2), ("part-0", 2), ("0001", 2)}
+
+
 def test_substrings(spark, docs):
     got = substrings.without_repeats(docs).collect()
     want = brute.substrings(list(dict.fromkeys(NAMED)))
