@@ -13,7 +13,7 @@ import math
 
 import numpy as np
 
-FAN, LEAF = 16, 64
+FAN, LEAF = 16, 256
 BASE = 2.0  # a node's children cover its points within its radius / BASE, as far as FAN children can
 NONE = -(2**63)
 SLACK = 1e-9  # of the bounds, as a share of |q|^2 + M^2: rounding may not hide a point
@@ -110,26 +110,48 @@ class CoverTree:
             upper[:, nodes] = np.minimum(most, high[:, None])
         at = np.array([node for node, _ in self.leaves])
         left = np.where(alive[:, at], upper[:, at], -math.inf)  # of each query and leaf it has not seen
+        # Of leaves that reach the top of a window, first the one whose centre is nearest to it.
+        to_top = np.abs(q @ centres[at][:, :-1].T - high[:, None].astype(np.float64))
+        turn = np.where(left > -math.inf, left - SLACK * to_top, -math.inf)
         first_id = np.array([self.ids[rows[0]] for _, rows in self.leaves])
         waiting = np.flatnonzero((left > -math.inf).any(axis=1))
         while len(waiting):
             # Every query goes to its best leaf; queries of one leaf are answered together.
-            best = left[waiting].argmax(axis=1)
-            for leaf in np.unique(best).tolist():
-                who = waiting[best == leaf]
-                left[who, leaf] = -math.inf
-                rows = self.leaves[leaf][1]
-                found_here = products(q[who], self.x[rows])
-                fits = (found_here >= low[who, None]) & (found_here <= high[who, None]) & (self.ids[rows] != own[who, None])
+            leaf = turn[waiting].argmax(axis=1)
+            turn[waiting, leaf] = -math.inf
+            order = np.argsort(leaf, kind="stable")
+            new_scores, new_ids = np.full((len(waiting), k), NONE, np.int64), np.full((len(waiting), k), 2**63 - 1, np.int64)
+            for group in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
+                who, rows = waiting[group], self.leaves[leaf[group[0]]][1]
+                here = products(q[who], self.x[rows])
+                fits = (here >= np.maximum(low[who], scores[who, -1])[:, None]) & (here <= high[who, None])
                 fits &= (self.labels[rows] == labels[who, None]) == same
-                both = np.hstack([scores[who], np.where(fits, found_here, NONE)])
-                ids = np.hstack([found[who], np.where(fits, self.ids[rows], 2**63 - 1)])
-                order = np.lexsort((ids, -np.maximum(both, NONE + 1)), axis=-1)[:, :k]
-                scores[who], found[who] = np.take_along_axis(both, order, 1), np.take_along_axis(ids, order, 1)
+                fits &= self.ids[rows] != own[who, None]
+                some = np.flatnonzero(fits.any(axis=1))
+                if len(some):
+                    top_scores, top_rows = top(np.where(fits[some], here[some], NONE), k)
+                    new_scores[group[some]] = top_scores
+                    new_ids[group[some]] = np.where(top_scores > NONE, self.ids[rows][top_rows], 2**63 - 1)
+            got = np.flatnonzero(new_scores[:, 0] > NONE)
+            who = waiting[got]
+            both, ids = np.hstack([scores[who], new_scores[got]]), np.hstack([found[who], new_ids[got]])
+            best = np.lexsort((ids, -np.maximum(both, NONE + 1)), axis=-1)[:, :k]
+            scores[who], found[who] = np.take_along_axis(both, best, 1), np.take_along_axis(ids, best, 1)
             # What cannot beat a query's k-th answer is left out; ties go on while an id may be smaller.
             last, last_id = scores[waiting, -1, None], found[waiting, -1, None]
-            rest = left[waiting]
-            rest[(last > NONE) & ((rest < last) | ((rest < last + 1) & (first_id > last_id)))] = -math.inf
-            left[waiting] = rest
-            waiting = waiting[(rest > -math.inf).any(axis=1)]
+            rest, next_turn = left[waiting], turn[waiting]
+            next_turn[(last > NONE) & ((rest < last) | ((rest < last + 1) & (first_id > last_id)))] = -math.inf
+            turn[waiting] = next_turn
+            waiting = waiting[(next_turn > -math.inf).any(axis=1)]
         return scores, found
+
+
+def top(values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` largest values of every row, the leftmost of equal ones first, and their columns; ``values`` is used up."""
+    line = np.arange(len(values))
+    scores, columns = np.full((len(values), k), NONE, np.int64), np.zeros((len(values), k), np.int64)
+    for i in range(min(k, values.shape[1])):
+        columns[:, i] = values.argmax(axis=1)
+        scores[:, i] = values[line, columns[:, i]]
+        values[line, columns[:, i]] = NONE
+    return scores, columns

@@ -83,10 +83,10 @@ def test_numbers_beyond_doubles(spark):
 def test_tree_covers_and_leaves_out():
     rng = np.random.default_rng(1)
     centres = 400 * rng.normal(size=(40, 16))
-    x = np.floor(centres[rng.integers(0, 40, 4000)] + 20 * rng.normal(size=(4000, 16)))
-    ids, labels = rng.permutation(4000), rng.integers(0, 5, 4000)
+    x = np.floor(centres[rng.integers(0, 40, 12000)] + 20 * rng.normal(size=(12000, 16)))
+    ids, labels = rng.permutation(12000), rng.integers(0, 5, 12000)
     tree = CoverTree(x, ids, labels, float((x**2).sum(axis=1).max()) * 1.001)
-    assert sorted(np.concatenate([rows for _, rows in tree.leaves]).tolist()) == list(range(4000))
+    assert sorted(np.concatenate([rows for _, rows in tree.leaves]).tolist()) == list(range(12000))
     for level, parents in zip(tree.levels[1:], tree.parents[1:], strict=True):
         for node, parent in zip(level, parents, strict=True):
             assert np.linalg.norm(tree.centres[node] - tree.centres[parent]) <= tree.radii[parent] * (1 + 1e-9)
@@ -106,7 +106,7 @@ def test_tree_covers_and_leaves_out():
         scores, got = tree.best(x[asked], ids[asked], labels[asked], True, *everything, 5)
     finally:
         covertree.products = products
-    assert sum(seen) < 0.4 * 50 * 4000  # most points are never scored
+    assert sum(seen) < 0.4 * 50 * 12000  # most points are never scored
     for row, i in enumerate(asked):
-        want = sorted((-int(x[i] @ x[j]), int(ids[j])) for j in range(4000) if j != i and labels[j] == labels[i])[:5]
+        want = sorted((-int(x[i] @ x[j]), int(ids[j])) for j in range(12000) if j != i and labels[j] == labels[i])[:5]
         assert [(-int(s), int(n)) for s, n in zip(scores[row], got[row], strict=True)] == want
