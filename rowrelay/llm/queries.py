@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowrelay.llm import ann, bpe, decontaminate, langid, licenses, lines, minhash, negatives, shards, substrings, tokenfiles
+from rowrelay.llm import ann, bpe, decontaminate, langid, licenses, lines, minhash, negatives, phrases, shards, substrings, tokenfiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -88,3 +88,8 @@ def mined_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec_id, label = F.col("vec_id"), F.col("label")
     shifted = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), vec_id % 100 == 0, shifted)
+
+
+@query("op13_collocations", phrases.SQL)
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))

@@ -146,3 +146,29 @@ def tiktoken_encoding(ranks: str, pattern: str) -> tiktoken.Encoding:
 def digests(ids: list[int], text: str | None) -> tuple[str, str]:
     packed = b"".join(i.to_bytes(4, "little") for i in ids)
     return hashlib.sha256(packed).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()
+
+
+def collocations(docs: list[tuple[str | None, str | None]], least: int = 30, kept: int = 2000) -> list[tuple]:
+    """(lang, rank, phrase, a, l, r, n, score) for rows (lang, text)."""
+    f: dict[str, Counter] = defaultdict(Counter)
+    for lang, text in docs:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(UPPER)):
+            own = [w for w in re.split(r"[\x20\x09]+", piece) if w]
+            for size in range(1, 5):
+                f["und" if lang is None else lang].update(tuple(own[i : i + size]) for i in range(len(own) - size + 1))
+    out = []
+    for lang, count in f.items():
+        n = sum(a for p, a in count.items() if len(p) == 1)
+        found = {p: a for p, a in count.items() if len(p) > 1 and a >= least}
+        around = Counter()
+        for p, a in found.items():
+            for size in range(2, len(p)):
+                for i in range(len(p) - size + 1):
+                    around[p[i : i + size]] = max(a, around[p[i : i + size]])
+        ranked = []
+        for p, a in found.items():
+            score, k = min((2_000_000 * a // (count[p[:k]] + count[p[k:]]), k) for k in range(1, len(p)))
+            if not (around[p] and 100 * around[p] >= 80 * a):
+                ranked.append((-score, -a, " ".join(p).encode(), count[p[:k]], count[p[k:]]))
+        out += [(lang, i + 1, p.decode(), -a, left, right, n, -score) for i, (score, a, p, left, right) in enumerate(sorted(ranked)[:kept])]
+    return sorted(out)
