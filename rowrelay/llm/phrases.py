@@ -5,16 +5,16 @@ words. Only these longest windows are counted; Spark's ROLLUP over (lang, w1, w2
 counts of all shorter prefixes, down to the number of words of a language. A phrase of k words is a prefix of
 exactly the windows that its occurrences lead, so nothing is counted twice.
 
-Before that, windows are cut where no phrase can reach ``LEAST`` occurrences, without loss:
+Windows go to Spark as far as their prefixes are frequent only; what is cut off is padding, and no loss:
 
 1. Equal texts of a batch become one with a number, and go to slices of about ``SLICE_BYTES`` by their hash;
    Spark deals them once and reuses that exchange.
-2. A slice sends the hashes of its words and neighbouring pairs, with counts (up to ``LEAST``, more is not
+2. A slice sends the hashes of the prefixes of its windows, with counts (up to ``LEAST``, more is not
    needed), packed by range of hashes. Back come those that reach ``LEAST`` over all slices.
-3. A window ends before the first pair that did not come back: a phrase through it cannot be frequent. A word
-   that did not come back is padding, too. Hashes that collide keep a window longer, never shorter.
+3. A window ends before the first word whose prefix did not come back. Hashes that collide keep a
+   window longer, never shorter.
 
-A slice sends each word, pair and window once, however often it stands there, so very frequent ones are
+A slice sends each prefix and window once, however often it stands there, so very frequent ones are
 small everywhere. Counts, cuts and scores are exact (the product of a score has 38 digits).
 
 Defined results: NULL text is empty, NULL lang is ``und``; rows without words give nothing; repeated rows count
@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rowrelay.llm.common import LOWER, UPPER, mixed, odd_numbers, slices, written
+from rowrelay.llm.common import LOWER, UPPER, slices, window_hashes, written
 from rowrelay.llm.substrings import code_of, member
 from rowrelay.session import ship_package
 
@@ -41,12 +41,11 @@ LEAST = 30  # occurrences of a candidate
 SHARE = (80, 100)  # a candidate goes when a longer one around it has 100 * f >= 80 * a
 SCALE = 2_000_000
 KEPT = 2_000  # phrases of a language in the report
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 8 << 20
 
 MARK = b"\xff"  # ends a piece; no byte of UTF-8 text
 CUTS = b".,;:!?\x0a\x0b\x0c\x0d"
 TABLE = bytes.maketrans(UPPER.encode() + CUTS, LOWER.encode() + MARK * len(CUTS))
-LEFT, RIGHT, ALONE = odd_numbers(3, 21)
 
 DEALT = "slice bigint, lang string, text binary, n bigint"
 KEYS = pa.schema([("slice", pa.int64()), ("range", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -86,11 +85,15 @@ class Tokens:
         self.weights = np.repeat(np.array(numbers, np.int64), lengths)
         self.words = list(numbered)
         seed = xxhash.xxh64_intdigest(lang.encode())
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed=seed) for w in self.words), np.uint64, len(self.words))
-        self.alone = mixed(hashes * ALONE)
-        self.paired = (self.codes[:-1] > 0) & (self.codes[1:] > 0)
-        left, right = hashes * LEFT, hashes * RIGHT
-        self.pairs = mixed(left[self.codes[:-1]] + right[self.codes[1:]])
+        self.hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed=seed) for w in self.words), np.uint64, len(self.words))
+
+    def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where windows of ``size`` words begin that lie in one piece, and their hashes."""
+        whole = np.ones(max(0, len(self.codes) - size + 1), bool)
+        for i in range(size):
+            whole &= self.codes[i : i + len(whole)] > 0
+        start = np.flatnonzero(whole)
+        return start, window_hashes(self.hashes[self.codes], size, seed=size)[start]
 
 
 def by_lang(docs: pa.Table) -> Iterator[tuple[str, Tokens]]:
@@ -114,13 +117,14 @@ def totals(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def send_keys(ranges: int):
-    """Words and pairs of a slice, packed by range of hashes."""
+    """The prefixes of a slice's windows, packed by range of hashes."""
 
     def run(key: tuple, docs: pa.Table) -> pa.Table:
         parts = []
         for _, t in by_lang(docs):
-            used = np.bincount(t.codes, t.weights, len(t.words)).astype(np.int64)
-            parts += [(t.alone[1:], used[1:]), totals(t.pairs[t.paired], t.weights[:-1][t.paired])]
+            for size in range(1, ORDER + 1):
+                start, hashes = t.prefixes(size)
+                parts.append(totals(hashes, t.weights[start]))
         codes = code_of(np.concatenate([np.empty(0, np.uint64), *[k for k, _ in parts]]), ranges)
         codes, counts = totals(codes, np.concatenate([np.empty(0, np.int64), *[n for _, n in parts]]))
         counts = np.minimum(counts, LEAST).astype(np.uint8)
@@ -151,7 +155,7 @@ def meet_keys(key: tuple, rows: pa.Table) -> pa.Table:
 
 
 def send_windows(ranges: int):
-    """The padded windows of a slice with their numbers, cut before what is not frequent."""
+    """The padded windows of a slice with their numbers, as far as their prefixes are frequent."""
 
     def run(key: tuple, docs: pa.Table, frequent: pa.Table) -> pa.Table:
         pairs = zip(frequent.column("range").to_pylist(), frequent.column("keys").to_pylist(), strict=True)
@@ -163,28 +167,24 @@ def send_windows(ranges: int):
 
 
 def cut_windows(lang: str, t: Tokens, known: np.ndarray, ranges: int) -> pa.Table:
-    often = member(code_of(t.alone, ranges), known)
-    often[0] = False
-    code = np.where(often, np.cumsum(often), 0)  # of the words that may stand in a candidate
-    names = pa.array(["", *[w.decode("utf-8", "replace") for w, kept in zip(t.words, often.tolist(), strict=True) if kept]])
-    goes_on = np.append(t.paired & member(code_of(t.pairs, ranges), known), False)
-    lead = t.codes > 0
-    single = np.bincount(code[t.codes[lead & ~goes_on]], t.weights[lead & ~goes_on], len(names)).astype(np.int64)
-    used = np.flatnonzero(single)
-    start = np.flatnonzero(goes_on)
-    columns = [code[t.codes[start]], code[t.codes[start + 1]]]
-    whole = np.ones(len(start), bool)
-    for i in range(2, ORDER):
-        whole &= goes_on[np.minimum(start + i - 1, len(goes_on) - 1)]
-        columns.append(np.where(whole, code[t.codes[np.minimum(start + i, len(t.codes) - 1)]], 0))
-    # Windows as pairs of pairs: every step keeps the numbers below 64 bits.
-    first, first_of = np.unique(columns[0] * len(names) + columns[1], return_inverse=True)
-    last, last_of = np.unique(columns[2] * len(names) + columns[3], return_inverse=True)
-    window, n = totals(first_of * max(1, len(last)) + last_of, t.weights[start])
+    lead, _ = t.prefixes(1)
+    goes_on, columns = np.ones(len(t.codes), bool), []
+    for size in range(1, ORDER + 1):
+        start, hashes = t.prefixes(size)
+        often = np.zeros(len(t.codes), bool)
+        often[start[member(code_of(hashes, ranges), known)]] = True
+        goes_on &= often
+        columns.append(np.where(goes_on, np.append(t.codes[size - 1 :], np.zeros(size - 1, np.int64)), 0))
+    # Code 0 ends a piece and is the padding now. Windows as pairs of pairs: every step keeps the numbers below 64 bits.
+    columns, n_words = [c[lead] for c in columns], len(t.words)
+    first, first_of = np.unique(columns[0] * n_words + columns[1], return_inverse=True)
+    last, last_of = np.unique(columns[2] * n_words + columns[3], return_inverse=True)
+    window, n = totals(first_of * max(1, len(last)) + last_of, t.weights[lead])
     a, b = first[window // max(1, len(last))], last[window % max(1, len(last))]
-    made = [np.concatenate([one, more]) for one, more in zip((used, 0 * used, 0 * used, 0 * used), (a // len(names), a % len(names), b // len(names), b % len(names)), strict=True)]
-    n = np.concatenate([single[used], n])
-    return pa.table([pa.array([lang] * len(n), pa.string()), *[names.take(pa.array(c)) for c in made], pa.array(n)], schema=WINDOWS)
+    made = [a // n_words, a % n_words, b // n_words, b % n_words]
+    used, at = np.unique(np.concatenate(made), return_inverse=True)
+    names = pa.array([t.words[i].decode("utf-8", "replace") if i else "" for i in used.tolist()], pa.string())
+    return pa.table([pa.array([lang] * len(n), pa.string()), *[names.take(pa.array(c)) for c in np.split(at, ORDER)], pa.array(n, pa.int64())], schema=WINDOWS)
 
 
 def windows(docs: DataFrame) -> DataFrame:
