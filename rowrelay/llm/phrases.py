@@ -169,12 +169,13 @@ def send_windows(ranges: int):
 def cut_windows(lang: str, t: Tokens, known: np.ndarray, ranges: int) -> pa.Table:
     lead, _ = t.prefixes(1)
     goes_on, columns = np.ones(len(t.codes), bool), []
+    padded = np.append(t.codes, np.zeros(ORDER, np.int64))
     for size in range(1, ORDER + 1):
         start, hashes = t.prefixes(size)
         often = np.zeros(len(t.codes), bool)
         often[start[member(code_of(hashes, ranges), known)]] = True
         goes_on &= often
-        columns.append(np.where(goes_on, np.append(t.codes[size - 1 :], np.zeros(size - 1, np.int64)), 0))
+        columns.append(np.where(goes_on, padded[size - 1 : size - 1 + len(t.codes)], 0))
     # Code 0 ends a piece and is the padding now. Windows as pairs of pairs: every step keeps the numbers below 64 bits.
     columns, n_words = [c[lead] for c in columns], len(t.words)
     first, first_of = np.unique(columns[0] * n_words + columns[1], return_inverse=True)
