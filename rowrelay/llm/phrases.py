@@ -203,7 +203,9 @@ def windows(docs: DataFrame) -> DataFrame:
 def counts(docs: DataFrame) -> DataFrame:
     """(lang, size, phrase, f): frequent phrases up to ``ORDER`` words; size 0 has the number of all words."""
     level = F.grouping_id()
-    summed = windows(docs).rollup("lang", *WORDS).agg(F.sum("n").alias("f"), level.alias("_level"))
+    # The rows of slices are summed first: ROLLUP writes every window once for each level.
+    whole = windows(docs).groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
+    summed = whole.rollup("lang", *WORDS).agg(F.sum("n").alias("f"), level.alias("_level"))
     # The bits of the level are the columns that are summed over, the last column lowest.
     size = F.lit(ORDER) - F.bit_count("_level").cast("int")
     last = F.element_at(F.array(*WORDS), F.greatest(size, F.lit(1)))
