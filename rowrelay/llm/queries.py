@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowrelay.llm import ann, bpe, decontaminate, langid, licenses, lines, minhash, negatives, phrases, shards, substrings, tokenfiles
+from rowrelay.llm import ann, bpe, decontaminate, langid, licenses, lines, minhash, negatives, phrases, setjoin, shards, substrings, tokenfiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,6 +90,11 @@ def mined_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), vec_id % 100 == 0, shifted)
 
 
+@query("op12_jaccard_join", setjoin.SQL)
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.joined(table(spark, sf_dir, "documents"))
+
+
 @query("op13_collocations", phrases.SQL)
 def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))

@@ -37,13 +37,13 @@ def roots(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-def near_duplicates(docs: list[tuple[int | None, str | None]]) -> dict[int, tuple]:
+def near_duplicates(docs: list[tuple[int | None, str | None]], k: int = 5, share: int = 75) -> dict[int, tuple]:
     """doc_id -> (doc_id, n_shingles, component_id, kept); rows of one id must have one text."""
-    sets = {i: set(grams(words((t or "").translate(UPPER)), 5)) for i, t in docs if i is not None}
+    sets = {i: set(grams(words((t or "").translate(UPPER)), k)) for i, t in docs if i is not None}
     holders, links = defaultdict(list), []
     for i in sorted(sets):
         common = Counter(j for g in sets[i] for j in holders[g])
-        links += [(i, j) for j, n in common.items() if 100 * n >= 75 * (len(sets[i]) + len(sets[j]) - n)]
+        links += [(i, j) for j, n in common.items() if 100 * n >= share * (len(sets[i]) + len(sets[j]) - n)]
         for g in sets[i]:
             holders[g].append(i)
     root = roots(sets, links)
