@@ -15,6 +15,7 @@ Equal texts get equal results, whatever their number. Every language is learned;
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from rowrelay.llm.common import map_batches, slices
 
 BUCKETS = 1 << 13
-SAMPLE = 1_024  # documents to learn from; the driver holds 4 * BUCKETS bytes for each
+SAMPLE = 1_024  # documents to learn from; one task holds 4 * BUCKETS bytes for each
 LEAST_OF_EACH = 4
 MOST_LANGUAGES = 1_024
 SIZES = (2, 3, 4)
@@ -116,10 +117,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(1), pa.array(packed, pa.binary())], names=["lang", "counts"])
 
 
+def _trained(sample: pa.Table) -> pa.Table:
+    rows = sorted(zip(sample.column("lang").to_pylist(), sample.column("counts").to_pylist(), strict=True))
+    shuffled = np.random.default_rng(3).permutation(len(rows)).tolist()
+    counts = np.empty((len(rows), BUCKETS), np.float32)
+    for place, i in enumerate(shuffled):
+        counts[place] = np.frombuffer(rows[i][1], "<u4")
+    return pa.table({"model": pa.array([pickle.dumps(train(counts, [rows[i][0] for i in shuffled]))], pa.binary())})
+
+
 def fit(docs: DataFrame, usable: Column, sample_rows: int = SAMPLE, most_languages: int = MOST_LANGUAGES) -> Model | None:
     """Learn from the rows where ``usable`` holds; None when there is nothing to learn from.
 
-    The driver gets about ``sample_rows`` rows of ``4 * BUCKETS`` bytes, or ``LEAST_OF_EACH`` for each language if that is more.
+    A task gets about ``sample_rows`` rows of ``4 * BUCKETS`` bytes, or ``LEAST_OF_EACH`` for each language if that is more.
     """
     labelled = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     order = F.xxhash64("text")
@@ -142,14 +152,8 @@ def fit(docs: DataFrame, usable: Column, sample_rows: int = SAMPLE, most_languag
     # Equal texts have equal order and count once, so a bound admits about per_language distinct texts.
     sample = inside.groupBy("lang", order.alias("_order")).agg(F.min("text").alias("text"))
     counted = map_batches(sample.select("text", "lang"), _counted, "lang string, counts binary")
-    rows = sorted((r["lang"], bytes(r["counts"])) for r in counted.toLocalIterator())
-    shuffled = np.random.default_rng(3).permutation(len(rows)).tolist()
-    counts = np.empty((len(rows), BUCKETS), np.float32)
-    for place, i in enumerate(shuffled):
-        counts[place] = np.frombuffer(rows[i][1], "<u4")
-    labels = [rows[i][0] for i in shuffled]
-    rows.clear()
-    return train(counts, labels)
+    # One task has the sample, which is bounded; the driver gets the model only.
+    return pickle.loads(counted.groupBy().applyInArrow(_trained, "model binary").first()["model"])
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
