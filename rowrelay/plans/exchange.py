@@ -7,7 +7,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowrelay.layout import Layout
-from rowrelay.operators import fetch as FE, ingest as IN, read as RD, status as ST
+from rowrelay.operators import bitmaps as BM, fetch as FE, ingest as IN, read as RD, status as ST
 from rowrelay.schema import INDEX, KEY, STEP
 from rowrelay.sources.tables import STEPS_PER_BAND, Tables
 
@@ -39,6 +39,10 @@ class Exchange:
         live = self._live("claims", "claim_seq", _some(global_step))
         return live if task_name is None else live.filter(F.col("task_name") == task_name)
 
+    def status_index(self, global_step: int | None = None) -> DataFrame:
+        """Bitmaps of what was produced and claimed, cleared steps left out."""
+        return self._live("bitmaps", "seq", _some(global_step))
+
     def segments(self, steps: list[int] | None = None, fields: list[str] | None = None) -> DataFrame:
         """Written cells, of some steps or all; with ``fields`` only those columns."""
         return self._live("segments", "put_seq", steps, self._types(fields))
@@ -127,6 +131,8 @@ class Exchange:
         # appended last, so a row becomes ready only when its data is there.
         stored = self.tables.read("segments", _some(global_step), types).filter(F.col("put_seq") == seq)
         self.tables.append("production", IN.production_rows(stored, fields), one_folder=one)
+        log = self.tables.read("production", _some(global_step)).filter(F.col("put_seq") == seq)
+        self.tables.append("bitmaps", BM.production_bitmaps(log), one_folder=one)
         return seq
 
     # --- get -----------------------------------------------------------------------
@@ -167,6 +173,10 @@ class Exchange:
                 if not batch.isEmpty():
                     break
             if time.monotonic() >= deadline:
+                # A writer that was lost between its log and its bitmaps is seen here.
+                if available < batch_size <= self._available_in_log(data_fields, global_step, mode, get_n_samples, task_name):
+                    self.rebuild_status_index(global_step)
+                    continue
                 raise TimeoutError(f"task {task_name} asked for {batch_size} rows of step {global_step}, {available} could be taken")
             time.sleep(check_interval)
         return FE.batch_meta(batch, self.production(global_step), data_fields, real_status=mode == "force_fetch")
@@ -180,15 +190,33 @@ class Exchange:
             rows = FE.force_fetch_rows(self._steps(step), taken, self.layout, k, task, grouped)
         self.tables.append("claims", FE.claim(rows, task, seq), one_folder=True)
         # Evaluating the selection again would pick other rows: the batch is what was written.
-        return self.claims(task, step).filter(F.col("claim_seq") == seq).select("batch_index", *KEY)
+        written = self.claims(task, step).filter(F.col("claim_seq") == seq)
+        self.tables.append("bitmaps", BM.claim_bitmaps(written), one_folder=True)
+        return written.select("batch_index", *KEY)
 
     def _available(self, fields, step, mode, grouped, task) -> int:
-        samples = self.layout.samples if grouped else 1
+        """Rows that a fetch could take, from the bitmaps alone: polls read no log."""
+        index = self.status_index(step)
+        if mode != "fetch":
+            taken = BM.check_consumption(index, self._steps(step), self.layout, [task]).first()
+            return self.layout.rows_per_step - taken["consumed"]
+        if grouped:
+            return BM.ready_group_rows(index, fields, task, self.layout.samples).count()
+        counted = BM.ready_count(index, fields, task).first()
+        return counted["available"] if counted else 0
+
+    def _available_in_log(self, fields, step, mode, grouped, task) -> int:
         taken = self.claims(task, step)
-        if mode == "fetch":
-            return FE.scan_ready_units(self.production(step), taken, fields, task, samples).count() * samples
-        space = RD.step_space(self.spark, self.layout, step)
-        return space.join(taken, KEY, "left_anti").count()
+        if mode != "fetch":
+            return self.layout.rows_per_step - taken.count()
+        samples = self.layout.samples if grouped else 1
+        return FE.scan_ready_units(self.production(step), taken, fields, task, samples).count() * samples
+
+    def rebuild_status_index(self, global_step: int) -> None:
+        """Write the bitmaps around a step again from the logs. Covers the run of steps that share a folder with this one."""
+        steps = self._neighbours(global_step)
+        made = BM.production_bitmaps(self._live("production", "put_seq", steps)).unionByName(BM.claim_bitmaps(self._live("claims", "claim_seq", steps)))
+        self.tables.replace("bitmaps", global_step, made)
 
     def get_data(self, metadata: DataFrame, fields: list[str] | None = None, ordered: bool = False) -> DataFrame:
         """Values of the batch's rows; without ``fields`` those of the batch's first row."""
@@ -235,6 +263,7 @@ class Exchange:
         for task in self.tables.tasks(global_step):
             live = self._live("claims", "claim_seq", steps).filter(F.col("task_name") == task)
             self.tables.replace("claims", global_step, live, task)
+        self.tables.replace("bitmaps", global_step, self._live("bitmaps", "seq", steps))
         last = self.tables.read("clears").groupBy(STEP).agg(F.max("clear_seq").alias("clear_seq"))
         self.tables.replace("clears", global_step, last)
 

@@ -45,6 +45,18 @@ CLAIMS = T.StructType(
     ]
 )
 
+# One row per put (claim) and block of addresses, for each field (task): the block's rows as a bitmap.
+BITMAPS = T.StructType(
+    [
+        T.StructField("kind", T.StringType()),
+        T.StructField("name", T.StringType()),
+        T.StructField(STEP, T.LongType()),
+        T.StructField(INDEX, T.LongType()),
+        T.StructField("seq", T.LongType()),
+        T.StructField("bits", T.BinaryType()),
+    ]
+)
+
 # One row per cleared step and clear.
 CLEARS = T.StructType([T.StructField(STEP, T.LongType()), T.StructField("clear_seq", T.LongType())])
 

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rowrelay.functions.addressing import floor_div
-from rowrelay.schema import CLAIMS, CLEARS, FIELDS, INDEX, PRODUCTION, STEP
+from rowrelay.schema import BITMAPS, CLAIMS, CLEARS, FIELDS, INDEX, PRODUCTION, STEP
 from rowrelay.session import drop_dir, shared_dir
 
 _SEGMENT_HEAD = T.StructType(
@@ -25,6 +25,7 @@ _SCHEMAS = {
     "segments": _SEGMENT_HEAD,
     "production": PRODUCTION,
     "claims": CLAIMS,
+    "bitmaps": BITMAPS,
     "clears": CLEARS,
     "fields": FIELDS,
 }
@@ -34,7 +35,7 @@ _SCHEMAS = {
 BAND = "step_band"
 STEPS_PER_BAND = 64
 
-_PARTITIONS = {"segments": [BAND], "production": [BAND], "claims": ["task_name", BAND]}
+_PARTITIONS = {"segments": [BAND], "production": [BAND], "bitmaps": [BAND], "claims": ["task_name", BAND]}
 
 
 # Characters that Spark escapes in folder names (fixed values).
