@@ -267,6 +267,10 @@ class Exchange:
         last = self.tables.read("clears").groupBy(STEP).agg(F.max("clear_seq").alias("clear_seq"))
         self.tables.replace("clears", global_step, last)
 
+    def recover(self) -> int:
+        """Finish what a crash has cut off in ``compact`` or ``purge``; returns the number of folders."""
+        return self.tables.recover()
+
     def stored_rows(self) -> dict[str, int]:
         """Rows that each table holds, dead or alive."""
         return {name: self.tables.read(name).count() for name in ("segments", "production", "claims", "clears")}

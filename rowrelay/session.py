@@ -32,6 +32,46 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+class Files:
+    """Small files and folders in any file system that Spark can reach."""
+
+    def __init__(self, spark: SparkSession):
+        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _at(self, path: str):
+        place = self._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self._conf), place
+
+    def exists(self, path: str) -> bool:
+        system, place = self._at(path)
+        return system.exists(place)
+
+    def children(self, path: str) -> list[str]:
+        system, place = self._at(path)
+        return [x.getPath().toString() for x in system.listStatus(place)] if system.exists(place) else []
+
+    def delete(self, path: str) -> None:
+        system, place = self._at(path)
+        system.delete(place, True)
+
+    def record(self, path: str, text: str) -> None:
+        """Write a file that is either whole or not there: it gets its name when it is closed."""
+        system, unnamed = self._at(f"{path}.part")
+        out = system.create(unnamed, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if not system.rename(unnamed, self._at(path)[1]):
+            raise OSError(f"{path} cannot be written")
+
+    def text(self, path: str) -> str:
+        system, place = self._at(path)
+        given = system.open(place)
+        try:
+            return bytes(given.readAllBytes()).decode()
+        finally:
+            given.close()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point reliable checkpoints at the shared folder when the session has not done so."""
     sc = spark.sparkContext

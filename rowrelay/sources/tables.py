@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rowrelay.functions.addressing import floor_div
 from rowrelay.schema import BITMAPS, CLAIMS, CLEARS, FIELDS, INDEX, PRODUCTION, STEP
-from rowrelay.session import drop_dir, shared_dir
+from rowrelay.session import Files
 
 _SEGMENT_HEAD = T.StructType(
     [
@@ -46,6 +47,9 @@ def band_of(step: Column) -> Column:
     return floor_div(step, STEPS_PER_BAND)
 
 
+_REPLACING = "_replacing"
+
+
 class Tables:
     """Append-only tables below ``path``. One writer per task; any number of readers."""
 
@@ -111,20 +115,43 @@ class Tables:
     def replace(self, name: str, step: int, rows: DataFrame, task: str | None = None) -> None:
         """Overwrite the folder of a step (of a task's claims) with ``rows``, which may be none.
 
-        ``rows`` may read the table itself: they are written aside first.
+        ``rows`` may read the table itself: they are written aside first. A crash loses nothing: once the rows
+        are whole a record names the folder they replace, and whoever opens the tables next does what is left.
         """
-        aside = shared_dir(self.spark, "replace")
-        rows.write.parquet(aside)
-        placed = self.spark.read.schema(rows.schema).parquet(aside)
         folder = self.location(name)
         by = _PARTITIONS.get(name, [])
         if "task_name" in by:
-            folder, placed = f"{folder}/task_name={_folder_name(task)}", placed.drop("task_name")
+            folder, rows = f"{folder}/task_name={_folder_name(task)}", rows.drop("task_name")
         if by:
             folder = f"{folder}/{BAND}={step // STEPS_PER_BAND}"
+        aside = f"{self.path}/{_REPLACING}/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{aside}/rows")
+        self._files().record(f"{aside}/folder", folder)
+        self._take_over(aside)
+
+    def _take_over(self, aside: str) -> None:
+        """Put the rows that were written aside into the folder they replace; may be repeated."""
+        files = self._files()
+        placed = self.spark.read.parquet(f"{aside}/rows")
+        if INDEX in placed.columns:
             placed = placed.sortWithinPartitions(STEP, INDEX)
-        placed.write.mode("overwrite").parquet(folder)
-        drop_dir(self.spark, aside)
+        placed.write.mode("overwrite").parquet(files.text(f"{aside}/folder"))
+        files.delete(f"{aside}/folder")
+        files.delete(aside)
+
+    def recover(self) -> int:
+        """Finish replacements that were cut off; those whose rows were not whole are dropped. Nobody may replace meanwhile."""
+        files, finished = self._files(), 0
+        for aside in files.children(f"{self.path}/{_REPLACING}"):
+            if files.exists(f"{aside}/folder"):
+                self._take_over(aside)
+                finished += 1
+            else:
+                files.delete(aside)
+        return finished
+
+    def _files(self) -> Files:
+        return Files(self.spark)
 
     def tasks(self, step: int) -> list[str]:
         """Tasks with claims in the folder of a step (a few names)."""

@@ -391,3 +391,27 @@ def test_purge_frees_rows(spark, folder):
     assert ex.stored_rows() == {"segments": 0, "production": 0, "claims": 0, "clears": 2}
     ex.put(spark.range(4).select(F.col("id").alias("batch_index"), F.lit("z").alias("a")), global_step=0)
     assert ex.get_meta(["a"], 4, 0, task_name="a/b: c").count() == 4
+
+
+@pytest.mark.parametrize("lost", ["before", "between", "after"])
+def test_crash_while_a_folder_is_replaced(spark, folder, monkeypatch, lost):
+    """The cells are the same wherever ``compact`` was cut off, once the tables are recovered."""
+    ex = Exchange(spark, folder, Layout(prompts=2, samples=2, slots=2))
+    for value in ("a", "b"):
+        ex.put_rows(address_rows(spark, 0, [(i, (value + str(i),)) for i in range(4)], "x string"))
+    tables = type(ex.tables)
+    if lost == "before":  # rows aside, no record yet
+        monkeypatch.setattr("rowrelay.session.Files.record", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    elif lost == "between":  # the folder is gone, its rows are aside
+        monkeypatch.setattr(tables, "_take_over", lambda self, aside: (self._files().delete(self._files().text(f"{aside}/folder")), 1 / 0))
+    else:  # all written, the record is still there
+        delete = lambda self, path: (_ for _ in ()).throw(RuntimeError("lost"))
+        monkeypatch.setattr("rowrelay.session.Files.delete", delete)
+    with pytest.raises((RuntimeError, ZeroDivisionError)):
+        ex.compact(0)
+    monkeypatch.undo()
+    again = Exchange(spark, folder, ex.layout)
+    assert again.recover() == (lost != "before") and again.recover() == 0
+    meta = again.get_meta(["x"], 4, 0, mode="insert")
+    assert rows(again.get_data(meta, ["x"]), "x") == [("b0",), ("b1",), ("b2",), ("b3",)]
+    assert again.stored_rows()["segments"] == (8 if lost == "before" else 4)
