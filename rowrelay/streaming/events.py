@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from rowrelay.functions import addressing as A
 from rowrelay.functions.blocks import BLOCK
 from rowrelay.layout import Layout
+from rowrelay.operators.bitmaps import production_bitmaps
 from rowrelay.schema import INDEX, STEP
 from rowrelay.sources.tables import Tables
 
@@ -56,6 +57,7 @@ def append_production(stream: DataFrame, tables: Tables, checkpoint: str, **trig
 
     def append(rows: DataFrame, _epoch: int) -> None:
         tables.append("production", rows)
+        tables.append("bitmaps", production_bitmaps(rows))
 
     return (
         stream.writeStream.foreachBatch(append)

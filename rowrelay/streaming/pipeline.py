@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from rowrelay.operators.bitmaps import claim_bitmaps
 from rowrelay.operators.fetch import claim
 from rowrelay.plans.exchange import Exchange
 from rowrelay.schema import KEY
@@ -52,7 +53,9 @@ def start_stage(exchange: Exchange, stage: Stage, folder: str, **trigger):
     def work(handed: DataFrame, _epoch: int) -> None:
         if handed.isEmpty():
             return
-        tables.append("claims", claim(handed, stage.task, F.col("ready_seq")))
+        taken = claim(handed, stage.task, F.col("ready_seq"))
+        tables.append("claims", taken)
+        tables.append("bitmaps", claim_bitmaps(taken))
         places = handed.select(*KEY, "batch_no", "batch_index")
         data = exchange.get_data(places.select(*KEY), stage.inputs).join(places, KEY)
         exchange.put_rows(stage.compute(data).select(*KEY, *stage.outputs))
