@@ -35,6 +35,11 @@ class Exchange:
     def production(self, global_step: int | None = None) -> DataFrame:
         return self._live("production", "put_seq", _some(global_step))
 
+    def batch_production(self, metadata: DataFrame) -> DataFrame:
+        """The log around a batch: folders that hold none of its steps are left out."""
+        near = self.tables.read("production", steps_of=metadata)
+        return RD.live_rows(near, self.tables.read("clears"), "put_seq")
+
     def claims(self, task_name: str | None = None, global_step: int | None = None) -> DataFrame:
         live = self._live("claims", "claim_seq", _some(global_step))
         return live if task_name is None else live.filter(F.col("task_name") == task_name)
@@ -236,6 +241,13 @@ class Exchange:
         self.tables.append_record("clears", global_step, seq)
         return seq
 
+    def clear_all(self, steps: DataFrame) -> int:
+        """Drop the cells, production and claims of every step in ``steps`` at once."""
+        seq = self.tables.next_seq()
+        marks = steps.select(F.col(STEP).cast("bigint").alias(STEP)).distinct()
+        self.tables.append("clears", marks.withColumn("clear_seq", F.lit(seq).cast("bigint")))
+        return seq
+
     def clear_rows(self, rows: DataFrame) -> int:
         """Unset every field of the given rows; their status stays."""
         seq = self.tables.next_seq()

@@ -130,6 +130,56 @@ def g5_task_pipeline(spark, sf_dir):
     return rows.join(data, KEY).select(*KEY, "n_words", "score", "batch_no")
 
 
+@query(
+    "g5_parallel_pipeline",
+    f"""WITH {DOC_CTE},
+q AS (SELECT global_step, count(*) // 10 AS b FROM doc WHERE quality IS NOT NULL AND text IS NOT NULL GROUP BY 1)
+SELECT global_step, CAST(b AS BIGINT) AS batches, CAST(10 * b AS BIGINT) AS scored, CAST(10 * b AS BIGINT) AS as_computed,
+       CAST(45 * b AS BIGINT) AS positions, 'quality,score,words' AS fields, CAST(0 AS BIGINT) AS rows_left
+FROM q WHERE b > 0""",
+)
+def g5_parallel_pipeline(spark, sf_dir):
+    """Two stages at once, batches of 10 dealt to three workers; then every step is cleared.
+
+    A step's row tells, by the united metadata, how many rows were scored, how many of them with the score that the
+    tables give, the sum of their positions, and how many rows still hold a cell after the clear. Which rows share
+    a batch depends on when a stream sees them.
+    """
+    use_rocksdb_state(spark)
+    exchange, folder = Exchange(spark, shared_dir(spark, "exchange"), B.DOC), shared_dir(spark, "pipeline")
+    docs = B.doc_rows(spark, sf_dir).filter("text IS NOT NULL")
+    exchange.put_rows(docs.select(*KEY, "text"))
+    labels = B.table(spark, sf_dir, "labels").filter("quality IS NOT NULL")
+    exchange.put_rows(labels.select(*B.address(F.col("doc_id"), B.DOC), "quality"))
+    words = F.size(F.split("text", " "))
+    score = (F.col("words") * F.col("quality")).cast("bigint")
+    stages = [
+        PL.Stage("measure", ["text"], ["words"], lambda d: d.withColumn("words", words), 1),
+        PL.Stage("score", ["words", "quality"], ["score"], lambda d: d.withColumn("score", score), 10, workers=3),
+    ]
+    PL.run_together(exchange, stages, folder)
+    meta = PL.united_metadata(exchange, "score", folder)
+    data = exchange.get_data(meta.select(*KEY), ["score"])
+    names = F.array_join(F.array_sort(F.map_keys("fields")), ",").alias("fields")
+    inputs = docs.select(*KEY, "doc_id", words.alias("words")).join(labels.select("doc_id", "quality"), "doc_id")
+    expected = inputs.select(*KEY, score.alias("expected"))
+    done = meta.select("epoch", "batch_no", "batch_index", *KEY, names).join(data, KEY).join(expected, KEY)
+    scored = done.groupBy(STEP).agg(
+        F.count(F.lit(1)).alias("scored"),
+        F.count_distinct("epoch", "batch_no").alias("batches"),
+        F.count_if(F.col("score") == F.col("expected")).alias("as_computed"),
+        F.sum("batch_index").alias("positions"),
+        F.max("fields").alias("fields"),
+    )
+    # What the report tells is read before the clear, which leaves nothing to read.
+    report = shared_dir(spark, "report")
+    scored.write.parquet(report)
+    steps = docs.select(STEP).distinct()
+    exchange.clear_all(steps)
+    left = exchange.segments().select(*KEY).distinct().groupBy(STEP).agg(F.count(F.lit(1)).alias("rows_left"))
+    return spark.read.schema(scored.schema).parquet(report).join(left, STEP, "left").fillna(0, ["rows_left"])
+
+
 _EVT_SMALL = f"""evt AS (SELECT event_id, event_type, {place('user_id', 2, 128)} FROM events)"""
 
 

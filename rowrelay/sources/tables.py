@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 import uuid
 
@@ -58,6 +59,9 @@ class Tables:
         self.path = path.rstrip("/")
         self._types: dict[str, T.DataType] = {}
         self._last_seq = 0
+        # Streams of one session append at once: a job that commits clears away what another has pending in the same table.
+        self._writing = {name: threading.Lock() for name in _SCHEMAS}
+        self._counting = threading.Lock()
 
     def location(self, name: str) -> str:
         return f"{self.path}/{name}"
@@ -110,7 +114,8 @@ class Tables:
 
     def append(self, name: str, rows: DataFrame, one_folder: bool = False) -> None:
         """Add rows; ``one_folder`` tells that they all belong to one step."""
-        self._write(name, rows, one_folder).mode("append").parquet(self.location(name))
+        with self._writing[name]:
+            self._write(name, rows, one_folder).mode("append").parquet(self.location(name))
 
     def replace(self, name: str, step: int, rows: DataFrame, task: str | None = None) -> None:
         """Overwrite the folder of a step (of a task's claims) with ``rows``, which may be none.
@@ -185,8 +190,9 @@ class Tables:
 
         Writers on several machines are ordered by their clocks.
         """
-        self._last_seq = max(self._last_seq + 1, time.time_ns() // 1000)
-        return self._last_seq
+        with self._counting:
+            self._last_seq = max(self._last_seq + 1, time.time_ns() // 1000)
+            return self._last_seq
 
     def append_record(self, name: str, *values) -> None:
         """Append one row given by its values."""

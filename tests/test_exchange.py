@@ -3,7 +3,7 @@
 import time
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from rowrelay import Exchange, Layout
 from rowrelay.functions.fieldmaps import render_fields
@@ -168,6 +168,48 @@ def test_stages_follow_the_log(spark, folder):
     assert rows(ex.get_data(meta, ["total"]), "total") == want
 
 
+def test_stages_run_together(spark, folder):
+    """Two streams at once; batches are cut into chunks, put together in order, united, and cleared at the end."""
+    from rowrelay.session import use_rocksdb_state
+    from rowrelay.streaming.pipeline import Stage, run_together, united_metadata
+
+    use_rocksdb_state(spark)
+    ex = Exchange(spark, folder, Layout(prompts=6, samples=2, slots=2))
+    ex.put_rows(spark.range(24).select(F.floor(F.col("id") / 12).alias(STEP), F.col("id").alias(INDEX), (F.col("id") * 10).alias("x")))
+    seen = F.size(F.collect_set("chunk_id").over(Window.partitionBy("batch_id"))).cast("bigint")
+    stages = [
+        Stage("double", ["x"], ["y", "chunks"], lambda d: d.withColumn("chunks", seen).withColumn("y", F.col("x") * 2), 12, workers=5),
+        Stage("add", ["x", "y"], ["z"], lambda d: d.withColumn("z", F.col("x") + F.col("y")), 4, workers=3),
+    ]
+    handed = run_together(ex, stages, folder + "-streams")
+    assert {t: b.count() for t, b in handed.items()} == {"double": 24, "add": 24}
+    assert not [q for q in spark.streams.active if q.isActive] and spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+    whole = united_metadata(ex, "double", folder + "-streams").orderBy(STEP, "batch_index").collect()
+    assert [(r["batch_index"], r[INDEX]) for r in whole] == [(i % 12, i) for i in range(24)]
+    assert len({r["batch_id"] for r in whole}) == 2 and all(set(r["fields"]) == {"x", "y", "chunks"} for r in whole)
+    data = ex.get_data(spark.range(24).select(F.col("id").alias("batch_index"), F.floor(F.col("id") / 12).alias(STEP), F.col("id").alias(INDEX)), ["z", "chunks"])
+    assert rows(data, "z", "chunks") == [(30 * i, 5) for i in range(24)]
+    parts = united_metadata(ex, "add", folder + "-streams").groupBy("epoch", "batch_id").agg(F.array_sort(F.collect_list("batch_index")).alias("p"))
+    assert [r["p"] for r in parts.collect()] == [[0, 1, 2, 3]] * 6
+    ex.clear_all(united_metadata(ex, "add", folder + "-streams"))
+    assert ex.segments().isEmpty() and ex.production().isEmpty() and ex.claims().isEmpty()
+
+
+def test_writers_of_one_session_at_once(spark, folder):
+    """No append loses rows to another one, and sequence numbers differ."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    ex = Exchange(spark, folder, Layout(prompts=40))
+
+    def put(i):
+        return ex.put_rows(spark.range(5).select(F.lit(0).alias(STEP), (F.col("id") + 5 * i).alias(INDEX), F.lit(i).alias("a")))
+
+    put(0)
+    with ThreadPoolExecutor(4) as pool:
+        assert len(set(pool.map(put, range(1, 8)))) == 7
+    assert ex.segments().count() == ex.production().count() == 40
+
+
 def test_put_needs_a_row_for_every_position(spark, folder):
     ex = Exchange(spark, folder, Layout(prompts=3))
     meta = ex.get_meta([], 3, 0, mode="insert")
