@@ -6,7 +6,8 @@ work on it is array arithmetic. A step of any size spreads over its blocks.
 
 A micro-batch is one poll: readiness is judged after all its events. A clear drops every
 cell whose latest put is not newer, whenever it arrives, and lets rows that lost a cell become
-ready again. A block that holds nothing any more keeps its last clear only.
+ready again. A block that holds nothing any more keeps its last clear only, and that for a
+limited time where one is set.
 """
 
 from __future__ import annotations
@@ -52,20 +53,27 @@ _STATE = T.StructType(
     ]
 )
 
+_CLEARED = T.StructType([T.StructField("cleared", T.LongType())])
+
 DEFAULT_WIDTH = 4096
 
 
 class BlockReadiness(StatefulProcessor):
     """Cells produced and rows announced in one block of one step."""
 
-    def __init__(self, tasks: list[list[int]], n_fields: int, width: int, samples: int):
+    def __init__(self, tasks: list[list[int]], n_fields: int, width: int, samples: int, forget_ms: int | None = None):
         self.tasks = tasks
         self.n_fields = n_fields
         self.width = width
         self.samples = samples
+        self.forget_ms = forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("block", _STATE)
+        # Clears of empty blocks are a variable of their own: only these expire, never what is produced.
+        self.emptied = None
+        if self.forget_ms is not None:
+            self.emptied = handle.getValueState("emptied", _CLEARED, self.forget_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         step, block = int(key[0]), int(key[1])
@@ -121,16 +129,22 @@ class BlockReadiness(StatefulProcessor):
     def _store(self, latest: np.ndarray, announced: np.ndarray, cleared: int) -> None:
         if (latest >= 0).any():
             self.state.update((zlib.compress(latest.tobytes(), 1), np.packbits(announced).tobytes(), cleared))
-        elif cleared >= 0:
+            if self.emptied is not None:
+                self.emptied.clear()
+        elif cleared < 0:
+            self.state.clear()
+        elif self.emptied is None:
             self.state.update((b"", b"", cleared))
         else:
             self.state.clear()
+            self.emptied.update((cleared,))
 
     def _load(self) -> tuple[np.ndarray, np.ndarray, int]:
         latest = np.full(self.width * self.n_fields, -1, dtype=np.int64)
         announced = np.zeros((self.width, len(self.tasks)), dtype=bool)
         if not self.state.exists():
-            return latest, announced, -1
+            gone = self.emptied is not None and self.emptied.exists()
+            return latest, announced, int(self.emptied.get()[0]) if gone else -1
         packed, told, cleared = self.state.get()
         if packed:
             latest = np.frombuffer(zlib.decompress(packed), dtype=np.int64).copy()
@@ -155,11 +169,17 @@ def ready_stream(
     grouped: bool = False,
     clears: DataFrame | None = None,
     width: int = DEFAULT_WIDTH,
+    forget_ms: int | None = None,
 ) -> DataFrame:
     """(task_name, global_step, global_index, group_id, ready_seq), each row once per task.
 
     With ``grouped`` the rows of a prompt group appear together, once all are complete.
     ``clears`` is a stream of (global_step, put_seq).
+
+    With ``forget_ms`` the clear of a block without cells is forgotten that long after the block's last
+    event (processing time), so that the state follows the live steps. A put older than the clear
+    must arrive before; later it would count again. A checkpoint stays with the choice it began with, and such a
+    stream wants a trigger by processing time: expiry needs micro-batches without input.
     """
     tasks = {t: list(dict.fromkeys(f)) for t, f in tasks.items() if f}
     names = sorted({f for fields in tasks.values() for f in fields})
@@ -181,10 +201,10 @@ def ready_stream(
     events = events.mapInPandas(_latest_per_cell, events.schema)
     wanted = [[names.index(f) for f in fields] for fields in tasks.values()]
     fresh = events.groupBy(STEP, "_block").transformWithStateInPandas(
-        statefulProcessor=BlockReadiness(wanted, len(names), width, samples),
+        statefulProcessor=BlockReadiness(wanted, len(names), width, samples, forget_ms),
         outputStructType=_FRESH,
         outputMode="Append",
-        timeMode="None",
+        timeMode="None" if forget_ms is None else "ProcessingTime",
     )
     labels = F.array(*[F.lit(t) for t in tasks])
     return fresh.select(F.element_at(labels, F.col("task") + 1).alias("task_name"), *READY_SCHEMA.names[1:])

@@ -1,6 +1,7 @@
 """Streams over several micro-batches against the batch operators and brute force."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F, types as T
@@ -196,3 +197,54 @@ def test_late_clear_keeps_newer_cells():
     assert _fed(block, (-1, 20)) == []
     assert block.state.value == (b"", b"", 20)
     assert _fed(block, (0, 21), (1, 21)) == [0]
+
+
+def test_clears_of_empty_blocks_expire(spark, folder):
+    """The state of a cleared step falls to nothing; until then late puts stay dropped, and produced cells never expire."""
+    use_rocksdb_state(spark)
+    spark.createDataFrame([], "global_step bigint, put_seq bigint").write.parquet(f"{folder}/clears")
+    schema = f"{STEP} bigint, {INDEX} bigint, field string, put_seq bigint"
+    spark.createDataFrame([], schema).write.parquet(f"{folder}/log")
+
+    def put(step, seq):
+        spark.createDataFrame([(step, step * 4 + i, "a", seq) for i in range(4)], schema).write.mode("append").parquet(f"{folder}/log")
+
+    def clear(step, seq):
+        spark.createDataFrame([(step, seq)], "global_step bigint, put_seq bigint").write.mode("append").parquet(f"{folder}/clears")
+
+    def until(what):
+        end = time.monotonic() + 100
+        while not what():
+            assert running.isActive and time.monotonic() < end
+            time.sleep(0.3)
+
+    def told(step):
+        return spark.read.schema(RY.READY_SCHEMA).parquet(f"{folder}/out").filter(F.col(STEP) == step).count()
+
+    def state_rows():
+        last = running.lastProgress
+        return last.stateOperators[0].numRowsTotal if last and last.stateOperators else -1
+
+    log = spark.readStream.schema(schema).parquet(f"{folder}/log")
+    clears = spark.readStream.schema("global_step bigint, put_seq bigint").parquet(f"{folder}/clears")
+    ready = RY.ready_stream(log, Layout(prompts=4, slots=4), {"t": ["a"]}, clears=clears, forget_ms=12_000)
+    spark.createDataFrame([], RY.READY_SCHEMA).write.parquet(f"{folder}/out")
+    put(0, 10)
+    put(1, 10)
+    running = ready.writeStream.format("parquet").option("checkpointLocation", f"{folder}/cp").trigger(processingTime="500 milliseconds").start(f"{folder}/out")
+    try:
+        until(lambda: told(0) == told(1) == 4)
+        clear(0, 20)
+        put(0, 15)
+        put(2, 30)
+        until(lambda: told(2) == 4)
+        until(lambda: state_rows() == 2)
+        assert told(0) == 4 and told(1) == 4
+        clear(1, 40)
+        clear(2, 40)
+        until(lambda: state_rows() == 0)
+        put(0, 50)
+        until(lambda: told(0) == 8)
+        assert told(1) == told(2) == 4
+    finally:
+        running.stop()
