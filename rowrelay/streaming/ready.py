@@ -67,11 +67,11 @@ class BlockReadiness(StatefulProcessor):
         self.width = width
         self.samples = samples
         self.forget_ms = forget_ms
+        # Clears of empty blocks are a variable of their own: only these expire, never what is produced.
+        self.emptied = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("block", _STATE)
-        # Clears of empty blocks are a variable of their own: only these expire, never what is produced.
-        self.emptied = None
         if self.forget_ms is not None:
             self.emptied = handle.getValueState("emptied", _CLEARED, self.forget_ms)
 
