@@ -15,6 +15,8 @@ from rowrelay.session import ensure_checkpoint_dir
 
 BLOCK = 1 << 16
 FAN = 1 << 16  # children of a node in the tree of blocks
+FEW = 1_000  # up to so many lowest rows are cut out of each task before the shuffle (Spark's limit for it)
+SPREAD = 64  # parts of a group that are cut on their own
 
 
 def block_of(index: str, width: int = BLOCK) -> Column:
@@ -102,10 +104,22 @@ def rank_by_block(
 def lowest(df: DataFrame, keys: list[str], index: str, k: int, rank: str, exact: bool = False) -> DataFrame:
     """The ``k`` rows with the lowest index of every group, with their 0-based rank.
 
-    With ``exact`` a group with fewer than ``k`` rows gives no rows at all.
+    With ``exact`` a group with fewer than ``k`` rows gives no rows at all. A small ``k`` needs no
+    tree of blocks: ``SPREAD`` parts of a group send ``k`` rows each at most.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
+    if k <= FEW:
+
+        def cut(rows: DataFrame, parts: list[str]) -> DataFrame:
+            place = F.row_number().over(Window.partitionBy(*parts).orderBy(index))
+            return rows.withColumn(rank, place.cast("bigint") - 1).withColumn("_place", place).filter(F.col("_place") <= k).drop("_place")
+
+        parted = with_keys(df, keys, index).withColumn("_spread", F.pmod(F.xxhash64(index), F.lit(SPREAD)))
+        picked = cut(cut(parted, [*keys, "_spread"]).drop(rank, "_spread"), keys)
+        if not exact:
+            return picked
+        return picked.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter(F.col("_size") == k).drop("_size")
     picked = rank_by_block(df, keys, index, rank, size="_size", limit=k)
     return (picked.filter(F.col("_size") >= k) if exact else picked).drop("_size")
 

@@ -170,11 +170,11 @@ class Exchange:
             raise ValueError("a fetch needs a task name")
         deadline = time.monotonic() + wait_seconds
         while True:
-            # Rows are only counted until there are enough; the claims get a sequence of that moment, so
+            # Rows are only counted until there are enough; the claims get a sequence of a later moment, so
             # that a clear during the wait is older than they are.
             available = self._available(data_fields, global_step, mode, get_n_samples, task_name)
             if available >= batch_size:
-                batch = self._claim(data_fields, batch_size, global_step, mode, get_n_samples, task_name, self.tables.next_seq())
+                batch = self._claim(data_fields, batch_size, global_step, mode, get_n_samples, task_name)
                 if not batch.isEmpty():
                     break
             if time.monotonic() >= deadline:
@@ -186,17 +186,22 @@ class Exchange:
             time.sleep(check_interval)
         return FE.batch_meta(batch, self.production(global_step), data_fields, real_status=mode == "force_fetch")
 
-    def _claim(self, fields, k, step, mode, grouped, task, seq) -> DataFrame:
+    def _claim(self, fields, k, step, mode, grouped, task) -> DataFrame:
         samples = self.layout.samples if grouped else 1
-        taken = self.claims(task, step)
-        if mode == "fetch":
-            rows = FE.fetch_rows(self.production(step), taken, fields, k, task, samples)
-        else:
-            rows = FE.force_fetch_rows(self._steps(step), taken, self.layout, k, task, grouped)
-        self.tables.append("claims", FE.claim(rows, task, seq), one_folder=True)
+
+        def pick(seq: int) -> DataFrame:
+            taken = self.claims(task, step)
+            if mode == "fetch":
+                rows = FE.fetch_rows(self.production(step), taken, fields, k, task, samples)
+            else:
+                rows = FE.force_fetch_rows(self._steps(step), taken, self.layout, k, task, grouped)
+            return FE.claim(rows, task, seq)
+
+        seq = self.tables.claim(task, str(step), pick)
         # Evaluating the selection again would pick other rows: the batch is what was written.
-        written = self.claims(task, step).filter(F.col("claim_seq") == seq)
-        self.tables.append("bitmaps", BM.claim_bitmaps(written), one_folder=True)
+        written = self.claims(task, step).filter(F.col("claim_seq") == F.lit(seq))
+        if seq is not None:
+            self.tables.append("bitmaps", BM.claim_bitmaps(written), one_folder=True)
         return written.select("batch_index", *KEY)
 
     def _available(self, fields, step, mode, grouped, task) -> int:

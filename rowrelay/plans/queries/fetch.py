@@ -1,11 +1,13 @@
 """Readiness, sampling and fetch."""
 
-from pyspark.sql import functions as F
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.sql import Window, functions as F
 
 from rowrelay.functions.fieldmaps import render_fields
 from rowrelay.operators import fetch as FE, read as RD
 from rowrelay.plans.queries.registry import DOC_CTE, ORD_CTE, place, query
-from rowrelay.schema import KEY
+from rowrelay.schema import KEY, STEP
 from rowrelay.session import shared_dir
 from rowrelay.sources import bindings as B
 from rowrelay.sources.tables import Tables
@@ -196,6 +198,35 @@ def d8_claim(spark, sf_dir):
     return taken.select("task_name", *KEY, "claim_seq", "batch_index")
 
 
+@query(
+    "d8_claim_consumers",
+    f"""WITH {_LINE_READY}, q AS (SELECT *, CAST(row_number() OVER (PARTITION BY global_step ORDER BY global_index) - 1 AS BIGINT) AS bi,
+count(*) OVER (PARTITION BY global_step) AS c FROM ready)
+SELECT global_step, global_index, CAST(bi // 60 AS INTEGER) AS turn, bi % 60 AS batch_index FROM q WHERE bi < c // 60 * 60""",
+)
+def d8_claim_consumers(spark, sf_dir):
+    """Two consumers of one task at the same time, each with its own session, until nothing is left for a batch."""
+    path = shared_dir(spark, "exchange")
+
+    def consume(session):
+        tables = Tables(session, path)
+        production, before = _lines(session, sf_dir)
+
+        def pick(seq):
+            taken = before.unionByName(tables.read("claims"))
+            return FE.claim(FE.fetch_rows(production, taken, ["l1", "l2"], 60, "ship"), "ship", seq)
+
+        while tables.claim("ship", "all", pick) is not None:
+            pass
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(consume, [spark.newSession(), spark.newSession()]))
+    taken = Tables(spark, path).read("claims")
+    batches = taken.select(STEP, "claim_seq").distinct()
+    turns = batches.withColumn("turn", F.row_number().over(Window.partitionBy(STEP).orderBy("claim_seq")) - 1)
+    return taken.join(turns, [STEP, "claim_seq"]).select(*KEY, "turn", "batch_index")
+
+
 @query(
     "d9_batch_meta",
     f"""WITH {_READY} SELECT global_step, global_index, bi AS batch_index,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -37,6 +38,7 @@ class Files:
 
     def __init__(self, spark: SparkSession):
         self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._gateway = spark.sparkContext._gateway
 
     def _at(self, path: str):
         place = self._jvm.org.apache.hadoop.fs.Path(path)
@@ -63,6 +65,65 @@ class Files:
         if not system.rename(unnamed, self._at(path)[1]):
             raise OSError(f"{path} cannot be written")
 
+    def take(self, path: str, text: str) -> bool:
+        """Write a file under a name that only one of several writers gets; tells whether it was this one.
+
+        Whoever sees the name sees the whole text. Needs a file system whose rename does not replace (HDFS and its like).
+        """
+        system, unnamed = self._at(f"{path}.{uuid.uuid4().hex}.part")
+        out = system.create(unnamed, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        try:
+            if system.getUri().getScheme() == "file":
+                # A local rename replaces what has the name; a link does not.
+                os.link(unnamed.toUri().getPath(), self._at(path)[1].toUri().getPath())
+            else:
+                self._rename_once(system, unnamed, self._at(path)[1])
+        except FileExistsError:
+            return False
+        finally:
+            system.delete(unnamed, False)
+        return True
+
+    def _rename_once(self, system, source, target) -> None:
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), self._conf)
+        options = self._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            context.rename(source, target, options)
+        except Py4JJavaError as failed:
+            if "FileAlreadyExistsException" not in failed.java_exception.getClass().getName():
+                raise
+            raise FileExistsError(str(target)) from failed
+
+    def below(self, path: str) -> list[str]:
+        """Data files in a folder and all folders in it, named from there; none of a folder that another writer is deleting."""
+        system, place = self._at(path)
+        found, root = [], system.makeQualified(place).toString()
+        try:
+            listed = system.listStatus(place)
+        except Py4JJavaError:
+            if system.exists(place):
+                raise
+            return []
+        for x in listed:
+            name = x.getPath().getName()
+            if name.startswith(("_", ".")):
+                continue
+            found += [f"{name}/{rest}" for rest in self.below(f"{root}/{name}")] if x.isDirectory() else [name]
+        return found
+
+    def move(self, source: str, target: str) -> None:
+        """Move a file that others may be moving to the same place."""
+        (system, old), (_, new) = self._at(source), self._at(target)
+        system.mkdirs(new.getParent())
+        try:
+            moved = system.rename(old, new)
+        except Py4JJavaError:
+            moved = False
+        if not moved and not system.exists(new):
+            raise OSError(f"{source} cannot be moved")
+
     def text(self, path: str) -> str:
         system, place = self._at(path)
         given = system.open(place)

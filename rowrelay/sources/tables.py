@@ -5,6 +5,7 @@ from __future__ import annotations
 import threading
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -52,15 +53,13 @@ _REPLACING = "_replacing"
 
 
 class Tables:
-    """Append-only tables below ``path``. One writer per task; any number of readers."""
+    """Append-only tables below ``path``, for any number of writers and readers."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
         self._types: dict[str, T.DataType] = {}
         self._last_seq = 0
-        # Streams of one session append at once: a job that commits clears away what another has pending in the same table.
-        self._writing = {name: threading.Lock() for name in _SCHEMAS}
         self._counting = threading.Lock()
 
     def location(self, name: str) -> str:
@@ -113,9 +112,57 @@ class Tables:
         return self.spark.readStream.schema(_with_band(name, schema)).parquet(self.location(name)).select(*schema.names)
 
     def append(self, name: str, rows: DataFrame, one_folder: bool = False) -> None:
-        """Add rows; ``one_folder`` tells that they all belong to one step."""
-        with self._writing[name]:
-            self._write(name, rows, one_folder).mode("append").parquet(self.location(name))
+        """Add rows; ``one_folder`` tells that they all belong to one step.
+
+        Jobs of several sessions may append to a table at once: each keeps its pending files in a folder of its own.
+        """
+        attempt = uuid.uuid4().int % (1 << 31)
+        own = {
+            "mapreduce.job.application.attempt.id": attempt,
+            "mapreduce.fileoutputcommitter.cleanup.skipped": True,
+            "mapreduce.fileoutputcommitter.marksuccessfuljobs": False,
+        }
+        try:
+            self._write(name, rows, one_folder).options(**own).mode("append").parquet(self.location(name))
+        finally:
+            self._files().delete(f"{self.location(name)}/_temporary/{attempt}")
+
+    def claim(self, task: str, scope: str, pick: Callable[[int], DataFrame]) -> int | None:
+        """Append the claims that ``pick`` chooses; returns their sequence number, or None where it chooses none.
+
+        Any number of consumers of one task may claim at once. ``pick`` gets a sequence number and chooses rows by the
+        claims as they are when it is called. What it chose is written aside, as an offer for the next turn of the
+        task (in ``scope``, which all of them name alike). One of them gets the turn's name; the others drop their offers
+        and pick again. Offers that have their turn belong to the table: whoever comes next moves what the owner has
+        not moved yet, so a lost consumer holds nobody up.
+        """
+        turns, files = f"{self.path}/_turns/{_folder_name(task)}/{_folder_name(scope)}", self._files()
+        while True:
+            turn, last = self._settle(turns)
+            seq, name = max(self.next_seq(), last + 1), f"{turn + 1}-{uuid.uuid4().hex}"
+            offer = f"{turns}/offers/{name}"
+            self._write("claims", pick(seq), one_folder=True).parquet(offer)
+            if not files.below(offer):
+                files.delete(offer)
+                return None
+            if files.take(f"{turns}/taken/{turn + 1}", f"{seq} {name}"):
+                self._settle(turns)
+                return seq
+            files.delete(offer)
+
+    def _settle(self, turns: str) -> tuple[int, int]:
+        """Move offers that have their turn into the claims; returns the last turn and its sequence number."""
+        files = self._files()
+        numbers = {int(n) for n in (c.rsplit("/", 1)[1] for c in files.children(f"{turns}/taken")) if n.isdigit()}
+        for offer in files.children(f"{turns}/offers"):
+            name = offer.rsplit("/", 1)[1]
+            turn = int(name.split("-")[0])
+            if turn in numbers and files.text(f"{turns}/taken/{turn}").split()[1] == name:
+                for file in files.below(offer):
+                    files.move(f"{offer}/{file}", f"{self.location('claims')}/{file}")
+                files.delete(offer)
+        last = max(numbers, default=0)
+        return last, int(files.text(f"{turns}/taken/{last}").split()[0]) if last else 0
 
     def replace(self, name: str, step: int, rows: DataFrame, task: str | None = None) -> None:
         """Overwrite the folder of a step (of a task's claims) with ``rows``, which may be none.

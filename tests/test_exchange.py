@@ -210,6 +210,85 @@ def test_writers_of_one_session_at_once(spark, folder):
     assert ex.segments().count() == ex.production().count() == 40
 
 
+def test_writers_of_several_sessions_at_once(spark, folder):
+    from concurrent.futures import ThreadPoolExecutor
+
+    layout = Layout(prompts=40)
+    Exchange(spark, folder, layout).put_rows(address_rows(spark, 0, [(0, (0,))], "a int"))
+
+    def put(i):
+        own = spark.newSession()
+        Exchange(own, folder, layout).put_rows(own.range(5).select(F.lit(0).alias(STEP), (F.col("id") + 5 * i).alias(INDEX), F.lit(i).alias("a")))
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(put, range(8)))
+    ex = Exchange(spark, folder, layout)
+    assert ex.segments().count() == ex.production().count() == 41 and ex.check_production(["a"], 0)
+
+
+@pytest.mark.parametrize("mode", ["fetch", "force_fetch"])
+def test_consumers_of_one_task_at_once(spark, folder, mode):
+    """They share no row and leave none, whether they fetch in turn or at once."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    layout = Layout(prompts=40)
+    Exchange(spark, folder, layout).put(spark.range(40).select(F.col("id").alias("batch_index"), F.lit("x").alias("a")), global_step=0)
+
+    def consume(_):
+        ex = Exchange(spark.newSession(), folder, layout)
+        return [r[0] for r in rows(ex.get_meta(["a"], 10, 0, mode=mode, task_name="t", wait_seconds=60), INDEX)]
+
+    with ThreadPoolExecutor(3) as pool:
+        batches = list(pool.map(consume, range(3)))
+    batches.append(consume(0))
+    assert sorted(batches) == [list(range(i, i + 10)) for i in range(0, 40, 10)]
+    ex = Exchange(spark, folder, layout)
+    assert ex.check_consumption("t", 0) and ex.claims("t", 0).count() == 40
+    with pytest.raises(TimeoutError):
+        ex.get_meta(["a"], 1, 0, mode=mode, task_name="t")
+
+
+def test_offer_of_a_lost_consumer(spark, folder, monkeypatch):
+    """One that is lost after it got its turn, and before its claims are in the table, holds nobody up."""
+    from rowrelay.sources.tables import Tables
+
+    tables = Tables(spark, folder)
+
+    def pick(i):
+        return lambda seq: spark.createDataFrame([("t", 0, i, seq, 0)], tables.schema("claims"))
+
+    settle = Tables._settle
+    with monkeypatch.context() as lost:
+        calls = iter([settle, None])
+        lost.setattr(Tables, "_settle", lambda self, turns: next(calls)(self, turns))
+        with pytest.raises(TypeError):
+            tables.claim("t", "0", pick(1))
+    assert tables.read("claims").isEmpty()
+    seen = []
+
+    def late(seq):
+        seen.append(tables.read("claims").count())
+        return pick(2)(seq)
+
+    assert tables.claim("t", "0", late) is not None and seen == [1]
+    assert sorted(r[INDEX] for r in tables.read("claims").collect()) == [1, 2]
+    assert tables.claim("t", "0", lambda seq: pick(3)(seq).limit(0)) is None
+
+
+def test_only_one_gets_a_name(spark, tmp_path, monkeypatch):
+    from rowrelay.session import Files
+
+    files = Files(spark)
+    assert files.take(f"{tmp_path}/a/1", "x") and not files.take(f"{tmp_path}/a/1", "y")
+    assert files.text(f"{tmp_path}/a/1") == "x" and [c.rsplit("/", 1)[1] for c in files.children(f"{tmp_path}/a")] == ["1"]
+    system, target = files._at(f"{tmp_path}/a/1")
+    files.record(f"{tmp_path}/a/2", "z")
+    with pytest.raises(FileExistsError):
+        files._rename_once(system, files._at(f"{tmp_path}/a/2")[1], target)
+    files._rename_once(system, files._at(f"{tmp_path}/a/2")[1], files._at(f"{tmp_path}/a/3")[1])
+    assert files.text(f"{tmp_path}/a/3") == "z"
+
+
 def test_put_needs_a_row_for_every_position(spark, folder):
     ex = Exchange(spark, folder, Layout(prompts=3))
     meta = ex.get_meta([], 3, 0, mode="insert")
