@@ -86,6 +86,40 @@ def test_decontamination_of_edited_items(spark):
     assert len(want) == 400 and found == want
 
 
+def test_decontamination_of_every_window(spark):
+    """Words put in, left out and changed: the best window may start where no shingle of the item points to."""
+    rnd = random.Random(12)
+    rows, items = [], []
+    for i in range(300):
+        own = sentence(rnd, 20 + i % 40).split()
+        near, middle = list(own), len(own) // 2
+        if i % 3 == 0:
+            near[0], near[-1] = "xx", "yy"
+        if i % 4 == 0:
+            near[middle:middle] = ["uu", "vv"][: 1 + i % 2]
+        elif i % 4 == 1:
+            del near[middle : middle + 1 + i % 2]
+        elif i % 4 == 2:
+            near = near[: middle + 3] + near[middle:]
+        items.append((i, " ".join(own)))
+        rows.append((i, " ".join(near if i % 5 == 0 else [sentence(rnd, i % 9, "ijklmn"), *near, sentence(rnd, i % 7, "ijklmn")])))
+    # Two items that overlap in one document, and one whose first and last word are changed and that has two more in the middle.
+    own = [f"w{i}" for i in range(46)]
+    items += [(1000, " ".join(own)), (1001, " ".join(own[5:40]))]
+    rows.append((1000, " ".join(["a b c", "x", *own[1:23], "y", "z", *own[23:45], "x", "d e f"])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+
+    def found(some):
+        return {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.leaks(docs, bench(spark, some)).collect()}
+
+    want = {}
+    for i, text in rows:
+        want |= brute.leaks([(i, text)], [x for x in items if x[0] // 1000 == i // 1000 and (i >= 1000 or x[0] == i)])
+    got = found(items)
+    assert got == want and len(want) > 150
+    assert (1000, 1000) in got and found(items[-2:-1]) == {(1000, 1000): got[1000, 1000]}
+
+
 def test_shards(spark, docs):
     got = shards.assignment(docs).collect()
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter(
