@@ -57,15 +57,12 @@ def get_data(meta: DataFrame, segments: DataFrame, fields: list[str], ordered: b
 def live_rows(log: DataFrame, clears: DataFrame, seq: str) -> DataFrame:
     """Rows of a log written after the last clear of their step.
 
-    The clears are at most one row per step after aggregation. Spark broadcasts them when
-    their size allows; beyond that a step with most of the rows must not end in one task,
-    so both sides also join on spread numbers derived from the index, one for each shuffle partition.
+    The clears are one row per step after aggregation, whatever the number of tasks. Spark broadcasts them
+    when their size allows; beyond that a step with most of the rows must not end in one task, so both sides also join
+    on a hash of the step: what follows cannot build on that order of the rows, and Spark is free to split the partition of such a step.
     """
-    ways = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    last = clears.groupBy(STEP).agg(F.max("clear_seq").alias("_cleared"))
-    last = last.withColumn("_way", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(ways - 1).cast("bigint"))))
-    spread = log.withColumn("_way", F.pmod(F.xxhash64(INDEX), F.lit(ways).cast("bigint")))
-    kept = spread.join(last, [STEP, "_way"], "left")
+    last = clears.groupBy(STEP).agg(F.max("clear_seq").alias("_cleared")).withColumn("_place", F.xxhash64(STEP))
+    kept = log.withColumn("_place", F.xxhash64(STEP)).join(last, [STEP, "_place"], "left")
     kept = kept.filter(F.col("_cleared").isNull() | (F.col(seq) > F.col("_cleared")))
     return kept.select(*log.columns)
 

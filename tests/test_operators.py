@@ -318,3 +318,17 @@ def test_positions_must_be_whole(spark, positions):
             IN.insert_positions(good.unionByName(df), layout).collect()
     else:
         assert IN.insert_positions(df, layout).count() == 0
+
+
+def test_live_rows_keeps_one_row_a_cleared_step(spark):
+    """A broadcast of clears must not grow with the number of tasks (plan only: 500 partitions of 3 steps)."""
+    log = spark.range(60).select((F.col("id") % 3).alias(STEP), F.col("id").alias(INDEX), F.col("id").alias("put_seq"))
+    clears = spark.range(3).select(F.col("id").alias(STEP), F.lit(30).cast("bigint").alias("clear_seq"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "500")
+    try:
+        plan = RD.live_rows(log, clears, "put_seq")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert "Generate" not in plan and "explode" not in plan
+    assert pairs(RD.live_rows(log, clears, "put_seq"), "put_seq") == [(i,) for i in range(31, 60)]
