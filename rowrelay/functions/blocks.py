@@ -136,7 +136,7 @@ def distinct_per_group(df: DataFrame, keys: list[str], index: str, out: str) ->
     return bitmaps.groupBy(*keys).agg(F.sum(F.bitmap_count("_bits")).cast("bigint").alias(out))
 
 
-def dense_position(df: DataFrame, order_by: list[str], position: str) -> DataFrame:
+def dense_position(df: DataFrame, order_by: list[str | Column], position: str) -> DataFrame:
     """0-based position of every row in the order of ``order_by`` (a unique key).
 
     For input without a usable integer index. Rows are range partitioned and sorted once
@@ -145,7 +145,7 @@ def dense_position(df: DataFrame, order_by: list[str], position: str) -> DataFra
     """
     ensure_checkpoint_dir(df.sparkSession)
     ranged = (
-        df.repartitionByRange(*[F.col(c) for c in order_by])
+        df.repartitionByRange(*[F.col(c) if isinstance(c, str) else c for c in order_by])
         .sortWithinPartitions(*order_by)
         .withColumn("_mid", F.monotonically_increasing_id())
         .checkpoint()

@@ -19,12 +19,12 @@ def repeat_interleave(prompts: DataFrame, samples: int, position: str, out: str
     return copies.withColumn(out, (F.col(position) * samples + F.col("_rep")).cast("bigint")).drop("_rep")
 
 
-def number_rows(df: DataFrame, order_by: list[str], position: str = "batch_index") -> DataFrame:
+def number_rows(df: DataFrame, order_by: list[str | Column], position: str = "batch_index") -> DataFrame:
     """Dense 0-based position of unnumbered input rows in the order of ``order_by``, within each step if they name one."""
     if STEP not in df.columns:
         return dense_position(df, order_by, position)
     # In the order of (step, keys) the rows of a step are neighbours: count from its first one.
-    placed = dense_position(df, [STEP, *[c for c in order_by if c != STEP]], "_all")
+    placed = dense_position(df, [STEP, *[c for c in order_by if isinstance(c, Column) or c != STEP]], "_all")
     first = placed.groupBy(STEP).agg(F.min("_all").alias("_first"))
     return placed.join(first, STEP).withColumn(position, F.col("_all") - F.col("_first")).drop("_all", "_first")
 
@@ -51,12 +51,14 @@ def insert_rows(df: DataFrame, layout: Layout, index: str, strict: bool = True)
     return out.drop("_size") if strict else out.withColumn("is_full", full).drop("_size")
 
 
-def insert_positions(df: DataFrame, layout: Layout, position: str = "batch_index") -> DataFrame:
+def insert_positions(df: DataFrame, layout: Layout, position: str = "batch_index", whole: bool = True) -> DataFrame:
     """Address rows of whole steps that already know their position in the step.
 
     The positions of every step must be exactly 0 .. ``rows_per_step`` - 1, else the job
     fails before anything is written. They are checked in a pass over the positions alone
     whose result is one value, so the rows themselves are not moved.
+
+    Without ``whole`` a step may bring fewer rows, such as the last one of a table: each position of it once at most.
     """
     narrow = df.select(STEP, F.col(position).cast("bigint").alias("_p"))
     buckets = narrow.groupBy(STEP, F.bitmap_bucket_number("_p").alias("_bucket")).agg(
@@ -72,14 +74,17 @@ def insert_positions(df: DataFrame, layout: Layout, position: str = "batch_index
         F.max("_high").alias("_high"),
     )
     size = layout.rows_per_step
-    whole = (F.col("_distinct") == size) & (F.col("_rows") == size) & (F.col("_low") == 0) & (F.col("_high") == size - 1)
+    right = (F.col("_distinct") == F.col("_rows")) & (F.col("_low") >= 0) & (F.col("_high") <= size - 1)
+    if whole:
+        right &= F.col("_rows") == size
+    needed = f"{size} rows" if whole else f"at most {size} rows"
     wrong = F.concat(
-        F.lit(f"a step needs {size} rows at positions 0 to {size - 1}, step "),
+        F.lit(f"a step needs {needed} at positions 0 to {size - 1}, step "),
         F.col(STEP).cast("string"), F.lit(" has "), F.col("_rows").cast("string"),
         F.lit(" from "), F.col("_low").cast("string"), F.lit(" to "), F.col("_high").cast("string"),
     )
     empty = F.when(F.count(F.lit(1)) == 0, F.lit(f"a step needs {size} rows, there are none"))
-    found = per_step.agg(F.coalesce(F.min(F.when(~F.coalesce(whole, F.lit(False)), wrong)), empty).alias("m")).scalar()
+    found = per_step.agg(F.coalesce(F.min(F.when(~F.coalesce(right, F.lit(False)), wrong)), empty).alias("m")).scalar()
     address = A.step_start(F.col(STEP), layout) + F.col(position)
     return df.withColumn(INDEX, F.when(found.isNull(), address).otherwise(F.raise_error(found).cast("bigint")))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rowrelay.layout import Layout
 from rowrelay.operators import bitmaps as BM, fetch as FE, ingest as IN, read as RD, status as ST
@@ -90,13 +90,15 @@ class Exchange:
         data: DataFrame,
         metadata: DataFrame | None = None,
         global_step: int | None = None,
-        order_by: list[str] | None = None,
+        order_by: list[str | Column] | None = None,
+        whole: bool = True,
     ) -> int:
         """Write columns onto rows; returns the put's sequence number.
 
         Without ``metadata`` the rows fill a whole step in the order of ``batch_index`` (or
         of the unique columns ``order_by``); a column ``global_step`` fills many steps at
-        once. With it, the row at each position goes to the address the batch holds there.
+        once, and without ``whole`` they may bring fewer rows than a step has. With metadata, the row
+        at each position goes to the address the batch holds there.
         """
         fields = [c for c in data.columns if c not in _POSITION]
         if metadata is None:
@@ -108,7 +110,7 @@ class Exchange:
                 data = IN.number_rows(data, order_by)
             if global_step is not None:
                 data = data.withColumn(STEP, F.lit(global_step).cast("bigint"))
-            rows = IN.insert_positions(data, self.layout)
+            rows = IN.insert_positions(data, self.layout, whole=whole)
         else:
             if metadata.isEmpty():
                 raise ValueError("a batch without rows takes no data")

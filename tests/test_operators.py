@@ -332,3 +332,17 @@ def test_live_rows_keeps_one_row_a_cleared_step(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert "Generate" not in plan and "explode" not in plan
     assert pairs(RD.live_rows(log, clears, "put_seq"), "put_seq") == [(i,) for i in range(31, 60)]
+
+
+@pytest.mark.parametrize("positions", [[0, 1, 2], [3, 1], [0, 1, 2, 3]])
+def test_positions_of_a_part_of_a_step(spark, positions):
+    df = spark.createDataFrame([(4, p) for p in positions], f"{STEP} bigint, batch_index bigint")
+    layout = Layout(prompts=4, slots=8)
+    assert pairs(IN.insert_positions(df, layout, whole=False)) == [(4, 16 + p) for p in sorted(positions)]
+
+
+@pytest.mark.parametrize("positions", [[0, 2, 2], [0, 4], [-1, 0], [0, 1, 2, 3, 3]])
+def test_positions_of_a_part_are_checked(spark, positions):
+    df = spark.createDataFrame([(4, p) for p in positions], f"{STEP} bigint, batch_index bigint")
+    with pytest.raises(Exception, match="a step needs at most 4 rows"):
+        IN.insert_positions(df, Layout(prompts=4, slots=8), whole=False).collect()
