@@ -8,6 +8,8 @@ from pyspark.sql import functions as F, types as T
 
 from rowrelay import Layout
 from rowrelay.operators import fetch as FE, read as RD
+from rowrelay.plans.queries import QUERIES
+from rowrelay.plans.queries.streams import _stream
 from rowrelay.schema import CLAIMS, INDEX, KEY, PRODUCTION, STEP
 from rowrelay.session import use_rocksdb_state
 from rowrelay.streaming import batches as BT, events as EV, ready as RY
@@ -248,3 +250,26 @@ def test_clears_of_empty_blocks_expire(spark, folder):
         assert told(1) == told(2) == 4
     finally:
         running.stop()
+
+
+def test_pipeline_of_a_step_that_is_not_full(spark, tmp_path):
+    """47 documents are one step of 40 and 7 rows of the next; all labelled."""
+    docs = spark.range(47).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.col("id").alias("n_chars"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(47).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    rows = QUERIES["g5_task_pipeline"](spark, str(tmp_path)).collect()
+    assert sorted((r[STEP], r["batch_no"]) for r in rows) == sorted([(0, i // 4) for i in range(40)] + [(1, 0)] * 4)
+    assert {(r["n_words"], r["score"]) for r in rows} == {(3, 3)}
+
+
+def test_driver_tables_in_folders_are_streams_too(spark, tmp_path):
+    """Spark writes a table as a folder of files, all of which a stream has to find."""
+    spark.range(20).repartition(3).write.parquet(f"{tmp_path}/rows.parquet")
+    single = tmp_path / "single"
+    single.mkdir()
+    spark.range(20).toPandas().to_parquet(single / "rows.parquet")
+    for place in (tmp_path, single):
+        out = f"{tmp_path}/out-{place.name}"
+        query = _stream(spark, str(place), "rows").writeStream.format("parquet").option("checkpointLocation", f"{out}-c").trigger(availableNow=True).start(out)
+        query.awaitTermination()
+        assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(20))
