@@ -7,16 +7,19 @@ from pyspark.sql import functions as F
 from rowrelay.plans.exchange import Exchange
 from rowrelay.plans.queries.registry import DOC_CTE, ORD_CTE, place, query
 from rowrelay.schema import KEY, STEP
-from rowrelay.session import shared_dir, use_rocksdb_state
+from rowrelay.session import Files, shared_dir, use_rocksdb_state
 from rowrelay.sources import bindings as B
 from rowrelay.sources.tables import Tables
 from rowrelay.streaming import batches as BT, events as EV, pipeline as PL, ready as RY, waits as WT
 
 
 def _stream(spark, sf_dir, name):
-    """A driver table as a stream of its file."""
-    schema = B.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """A driver table as a stream of its file, or of the files of its folder."""
+    path, rows = f"{sf_dir}/{name}.parquet", spark.readStream.schema(B.table(spark, sf_dir, name).schema)
+    if Files(spark).is_folder(path):
+        return rows.parquet(path)
+    # A file stream cannot begin at a file.
+    return rows.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def _line_stream(spark, sf_dir):
@@ -115,7 +118,7 @@ def g5_task_pipeline(spark, sf_dir):
     exchange = Exchange(spark, shared_dir(spark, "exchange"), B.DOC)
     docs = B.doc_rows(spark, sf_dir)
     place = (F.col("doc_id") - F.col(STEP) * B.DOC.rows_per_step).alias("batch_index")
-    exchange.put(docs.select(STEP, place, "text", "n_chars"))
+    exchange.put(docs.select(STEP, place, "text", "n_chars"), whole=False)
     labels = B.table(spark, sf_dir, "labels")
     exchange.put_rows(labels.select(*B.address(F.col("doc_id"), B.DOC), "quality"))
     words = F.size(F.split("text", " "))
