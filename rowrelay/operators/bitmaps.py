@@ -1,21 +1,23 @@
 """Status as mergeable bitmaps, so that a poll reads no log.
 
 A put adds one row for each (step, field, block of addresses), a claim one for each (task, step, block):
-a bitmap of the block's rows. Bitmaps of several puts are merged by OR; a row is ready when the bitmaps of
+the block's rows as the bits of one number. Bitmaps of several puts are merged by OR; a row is ready when the bitmaps of
 all fields have it (AND) and the task's has not (AND NOT). Counting needs the bitmaps only, and
-rows are written out of the words that hold any. Clears leave out bitmaps as they leave out log records.
+rows are written out of the blocks that hold any. Clears leave out bitmaps as they leave out log records.
+
+A block is as wide as a number: memory and files follow the rows that are there, however small or sparse the
+steps are, and sums of any number of blocks are kept in hash tables of fixed-size values.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from rowrelay.functions import addressing as A
 from rowrelay.layout import Layout
 from rowrelay.schema import INDEX, STEP
 
-BLOCK = 32_768  # addresses of a bitmap, as Spark's bitmap functions have it
-WORDS, WORD_BITS = BLOCK // 64, 64
+BLOCK = 64  # addresses of a bitmap: the bits of a BIGINT
 FIELD, TASK = "field", "task"
 PLACE = (STEP, INDEX)  # the index of a bitmap is its block's first address
 
@@ -23,8 +25,9 @@ PLACE = (STEP, INDEX)  # the index of a bitmap is its block's first address
 def bitmaps(log: DataFrame, kind: str, name: str, seq: str) -> DataFrame:
     """(kind, name, global_step, global_index, seq, bits) of log records, combined before the only shuffle."""
     first = A.floor_div(F.col(INDEX), BLOCK) * BLOCK
-    placed = log.select(F.lit(kind).alias("kind"), F.col(name).alias("name"), STEP, first.alias("_first"), F.col(seq).alias("seq"), (F.col(INDEX) - first).alias("_bit"))
-    made = placed.groupBy("kind", "name", STEP, "_first", "seq").agg(F.bitmap_construct_agg("_bit").alias("bits"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col(INDEX) - first).cast("int"))
+    placed = log.select(F.lit(kind).alias("kind"), F.col(name).alias("name"), STEP, first.alias("_first"), F.col(seq).alias("seq"), bit.alias("_bit"))
+    made = placed.groupBy("kind", "name", STEP, "_first", "seq").agg(F.coalesce(F.bit_or("_bit"), F.lit(0)).alias("bits"))
     return made.select("kind", "name", STEP, F.col("_first").alias(INDEX), "seq", "bits")
 
 
@@ -39,7 +42,7 @@ def claim_bitmaps(claims: DataFrame) -> DataFrame:
 def merged(index: DataFrame, kind: str, names: list[str]) -> DataFrame:
     """(name, global_step, global_index, bits): one bitmap for each name and block."""
     some = index.filter((F.col("kind") == kind) & F.col("name").isin(names))
-    return some.groupBy("name", *PLACE).agg(F.bitmap_or_agg("bits").alias("bits"))
+    return some.groupBy("name", *PLACE).agg(F.bit_or("bits").alias("bits"))
 
 
 def ready_blocks(index: DataFrame, fields: list[str], task: str) -> DataFrame:
@@ -50,12 +53,12 @@ def ready_blocks(index: DataFrame, fields: list[str], task: str) -> DataFrame:
     names = list(dict.fromkeys(fields))
     if not names:
         return index.select(*PLACE, F.col("bits").alias("taken"), F.col("bits").alias("either"), F.lit(0).cast("bigint").alias("n")).filter(F.lit(False))
-    whole = merged(index, FIELD, names).groupBy(*PLACE).agg(F.bitmap_and_agg("bits").alias("bits"), F.count(F.lit(1)).alias("_names"))
+    whole = merged(index, FIELD, names).groupBy(*PLACE).agg(F.bit_and("bits").alias("bits"), F.count(F.lit(1)).alias("_names"))
     whole = whole.filter(F.col("_names") == len(names)).select(*PLACE, "bits", F.lit(False).alias("_taken"))
     both = whole.unionByName(merged(index, TASK, [task]).select(*PLACE, "bits", F.lit(True).alias("_taken")))
-    taken = F.bitmap_or_agg(F.when(F.col("_taken"), F.col("bits")))
-    met = both.groupBy(*PLACE).agg(taken.alias("taken"), F.bitmap_or_agg("bits").alias("either"))
-    return met.withColumn("n", F.bitmap_count("either") - F.bitmap_count("taken")).filter("n > 0")
+    taken = F.coalesce(F.bit_or(F.when(F.col("_taken"), F.col("bits"))), F.lit(0))
+    met = both.groupBy(*PLACE).agg(taken.alias("taken"), F.bit_or("bits").alias("either"))
+    return met.withColumn("n", (F.bit_count("either") - F.bit_count("taken")).cast("bigint")).filter("n > 0")
 
 
 def ready_count(index: DataFrame, fields: list[str], task: str) -> DataFrame:
@@ -63,20 +66,12 @@ def ready_count(index: DataFrame, fields: list[str], task: str) -> DataFrame:
     return ready_blocks(index, fields, task).groupBy(STEP).agg(F.sum("n").alias("available"))
 
 
-def word(bits: str, i: Column) -> Column:
-    """The ``i``-th 64 bits of a bitmap, first byte highest."""
-    return F.conv(F.hex(F.substring(F.col(bits), i * 8 + 1, 8)), 16, -10).cast("bigint")
-
-
 def ready_rows(index: DataFrame, fields: list[str], task: str) -> DataFrame:
     """(global_step, global_index) of the rows that are ready for the task."""
-    words = ready_blocks(index, fields, task).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(WORDS - 1))))
-    free = word("either", F.col("_i")).bitwiseAND(F.bitwise_not(word("taken", F.col("_i"))))
-    words = words.select(STEP, (F.col(INDEX) + F.col("_i") * WORD_BITS).alias("_first"), free.alias("_free")).filter("_free <> 0")
-    bit = F.explode(F.sequence(F.lit(0), F.lit(WORD_BITS - 1)))
-    rows = words.select(STEP, "_first", "_free", bit.alias("_bit")).filter(F.getbit("_free", F.col("_bit")) == 1)
-    # Bit 0 of a word belongs to its last byte, which holds the last eight addresses.
-    return rows.select(STEP, (F.col("_first") + 8 * (7 - F.floor(F.col("_bit") / 8)) + F.col("_bit") % 8).alias(INDEX))
+    free = F.col("either").bitwiseAND(F.bitwise_not(F.col("taken")))
+    bit = F.explode(F.sequence(F.lit(0), F.lit(BLOCK - 1)))
+    bits = ready_blocks(index, fields, task).select(*PLACE, free.alias("_free"), bit.alias("_bit"))
+    return bits.filter(F.getbit("_free", F.col("_bit")) == 1).select(STEP, (F.col(INDEX) + F.col("_bit")).alias(INDEX))
 
 
 def ready_group_rows(index: DataFrame, fields: list[str], task: str, samples: int) -> DataFrame:
@@ -90,12 +85,12 @@ def ready_group_rows(index: DataFrame, fields: list[str], task: str, samples: in
 def produced_count(index: DataFrame, fields: list[str]) -> DataFrame:
     """Rows produced for each step and field."""
     counted = merged(index, FIELD, fields).groupBy(STEP, F.col("name").alias("field"))
-    return counted.agg(F.sum(F.bitmap_count("bits")).alias("produced"))
+    return counted.agg(F.sum(F.bit_count("bits")).alias("produced"))
 
 
 def check_consumption(index: DataFrame, steps: DataFrame, layout: Layout, tasks: list[str]) -> DataFrame:
     """Per task and step: how many rows it has taken and whether that is all of them."""
-    counts = merged(index, TASK, tasks).groupBy(F.col("name").alias("task_name"), STEP).agg(F.sum(F.bitmap_count("bits")).alias("n"))
+    counts = merged(index, TASK, tasks).groupBy(F.col("name").alias("task_name"), STEP).agg(F.sum(F.bit_count("bits")).alias("n"))
     asked = steps.select(STEP, F.explode(F.array(*[F.lit(t) for t in dict.fromkeys(tasks)])).alias("task_name"))
     consumed = F.coalesce(F.col("n"), F.lit(0).cast("bigint"))
     return asked.join(counts, ["task_name", STEP], "left").select("task_name", STEP, consumed.alias("consumed"), (consumed == layout.rows_per_step).alias("all_consumed"))

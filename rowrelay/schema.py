@@ -53,7 +53,7 @@ BITMAPS = T.StructType(
         T.StructField(STEP, T.LongType()),
         T.StructField(INDEX, T.LongType()),
         T.StructField("seq", T.LongType()),
-        T.StructField("bits", T.BinaryType()),
+        T.StructField("bits", T.LongType()),
     ]
 )
 

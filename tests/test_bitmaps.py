@@ -80,3 +80,15 @@ def test_exchange_polls_bitmaps(spark, folder):
     assert ex._available(["x"], 0, "fetch", False, "t") == 0
     assert ex.get_meta(["x"], 3, 0, task_name="t").count() == 3
     assert BM.check_consumption(ex.status_index(0), ex._steps(0), ex.layout, ["t"]).first()["consumed"] == 3
+
+
+def test_small_steps_take_little_memory(spark):
+    """Buffers of a fixed small size in hash tables: no 4 KB for each step, field and put."""
+    log = spark.range(3_000).select((F.col("id") % 300).alias(STEP), (F.col("id") % 300 % 8 * 10 + F.floor(F.col("id") / 300)).alias(INDEX), F.lit("a").alias("field"), F.lit(1).cast("bigint").alias("put_seq"))
+    index = BM.production_bitmaps(log)
+    for made in (index, BM.produced_count(index, ["a"]), BM.ready_count(index, ["a"], "t")):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    assert index.count() <= 2 * 300 and dict(index.dtypes)["bits"] == "bigint"
+    assert {r["produced"] for r in BM.produced_count(index, ["a"]).collect()} == {10}
+    assert BM.ready_rows(index, ["a"], "t").count() == 3_000
