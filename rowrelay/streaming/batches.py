@@ -29,7 +29,8 @@ _PAIR = ["task_name", STEP]
 class BatchCutter:
     """Cuts batches of exactly ``k`` rows per task and step, lowest indices first.
 
-    Every micro-batch writes one folder: the rows handed out and the rows left over. The
+    Every micro-batch writes its ready rows aside once: a state is read and kept by one job, however often
+    the rows are used. Then it writes one folder: the rows handed out and the rows left over. The
     next one reads the left-overs back from there, so the work follows the new rows and at
     most ``k - 1`` old ones per task and step. A repeated micro-batch reads the same
     left-overs and overwrites its own folder: no row is handed out twice.
@@ -49,9 +50,14 @@ class BatchCutter:
         stored = T.StructType([f for f in HANDED if f.name != "epoch"])
         return self.spark.read.schema(stored).parquet(self._part(epoch))
 
+    def _kept(self, ready: DataFrame) -> DataFrame:
+        """The ready rows of a micro-batch as a table, which the next one replaces."""
+        ready.write.mode("overwrite").parquet(f"{self.folder}/_ready")
+        return self.spark.read.schema(ready.schema).parquet(f"{self.folder}/_ready")
+
     def cut(self, ready: DataFrame, epoch: int) -> DataFrame:
         """Write the micro-batch's folder; returns the rows handed out in it."""
-        rows = ready.select(*_PAIR, INDEX, "ready_seq")
+        rows = self._kept(ready.select(*_PAIR, INDEX, "ready_seq"))
         if epoch > 0:
             rows = rows.unionByName(self._read(epoch - 1).filter("waiting").select(*rows.columns))
         if self.clears is not None:

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -57,6 +58,10 @@ _CLEARED = T.StructType([T.StructField("cleared", T.LongType())])
 
 DEFAULT_WIDTH = 4096
 
+# Cells of a task that are brought together by block before the shuffle (some 32 bytes each).
+TOGETHER = 1 << 19
+_PACKED = pa.schema([(STEP, pa.int64()), ("_block", pa.int64()), ("cells", pa.binary())])
+
 
 class BlockReadiness(StatefulProcessor):
     """Cells produced and rows announced in one block of one step."""
@@ -82,8 +87,7 @@ class BlockReadiness(StatefulProcessor):
         known = latest.copy()
         before = cleared
         for chunk in rows:
-            bit = chunk["bit"].to_numpy()
-            seq = chunk["put_seq"].to_numpy(dtype=np.int64)
+            bit, seq = np.frombuffer(b"".join(chunk["cells"]), np.int64).reshape(-1, 2).T
             is_clear = bit < 0
             if is_clear.any():
                 cleared = max(cleared, int(seq[is_clear].max()))
@@ -156,10 +160,35 @@ class BlockReadiness(StatefulProcessor):
         pass
 
 
-def _latest_per_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Fewer rows before the shuffle: of the puts of a cell only the last one counts."""
+def _latest_per_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for a block instead of one for a cell, as far as a task sees its cells together.
+
+    A row holds pairs (bit, put_seq) of 64-bit numbers. Of the puts of a cell only the last one counts.
+    """
+    held, n = [], 0
     for batch in batches:
-        yield batch.sort_values("put_seq").drop_duplicates([STEP, "_block", "bit"], keep="last")
+        held.append(batch)
+        n += batch.num_rows
+        if n >= TOGETHER:
+            yield _pack(held)
+            held, n = [], 0
+    if n:
+        yield _pack(held)
+
+
+def _pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    rows = pa.Table.from_batches(held)
+    if any(c.null_count for c in rows.columns):
+        raise ValueError("events without an address or a sequence cannot be placed")
+    step, block, bit, seq = (rows[c].to_numpy() for c in (STEP, "_block", "bit", "put_seq"))
+    order = np.lexsort((seq, bit, block, step))
+    step, block, bit, seq = step[order], block[order], bit[order], seq[order]
+    new_block = np.append(True, (np.diff(step) != 0) | (np.diff(block) != 0))
+    last = np.append(new_block[1:] | (np.diff(bit) != 0), True)
+    cells, first = np.stack((bit[last], seq[last]), axis=1), np.flatnonzero(new_block)
+    cuts = np.append(np.cumsum(last)[first] - last[first], len(cells)).tolist()
+    packed = [cells[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+    return pa.RecordBatch.from_arrays([pa.array(step[first]), pa.array(block[first]), pa.array(packed, pa.binary())], schema=_PACKED)
 
 
 def ready_stream(
@@ -184,7 +213,8 @@ def ready_stream(
     tasks = {t: list(dict.fromkeys(f)) for t, f in tasks.items() if f}
     names = sorted({f for fields in tasks.values() for f in fields})
     samples = layout.samples if grouped else 1
-    width = -(-width // samples) * samples
+    # A step is a block of its own where it is smaller: nothing is kept for addresses that it has not.
+    width = -(-min(width, layout.rows_per_step) // samples) * samples
     if not names:
         raise ValueError("no task asks for any field")
     index = F.col(INDEX)
@@ -198,7 +228,7 @@ def ready_stream(
     if clears is not None:
         marks = spread_clears(clears, layout, width).select(STEP, "_block", F.lit(-1).cast("bigint").alias("bit"), "put_seq")
         events = events.unionByName(marks)
-    events = events.mapInPandas(_latest_per_cell, events.schema)
+    events = events.mapInArrow(_latest_per_cell, f"{STEP} bigint, _block bigint, cells binary")
     wanted = [[names.index(f) for f in fields] for fields in tasks.values()]
     fresh = events.groupBy(STEP, "_block").transformWithStateInPandas(
         statefulProcessor=BlockReadiness(wanted, len(names), width, samples, forget_ms),
