@@ -197,5 +197,5 @@ def a1_put_unnumbered(spark, sf_dir):
     """Rows without positions fill many steps at once, each in the order of its rows' keys; the last step may have fewer."""
     exchange = Exchange(spark, shared_dir(spark, "exchange"), B.DOC)
     docs = B.doc_rows(spark, sf_dir).select(STEP, "n_chars", "doc_id")
-    exchange.put(docs, order_by=[F.col("n_chars").asc_nulls_last(), "doc_id"], whole=False)
+    exchange.put(docs, order_by=["n_chars", "doc_id"], whole=False)
     return RD.resolve_cells(exchange.segments(), ["doc_id"])
