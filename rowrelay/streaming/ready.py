@@ -87,7 +87,8 @@ class BlockReadiness(StatefulProcessor):
         known = latest.copy()
         before = cleared
         for chunk in rows:
-            bit, seq = np.frombuffer(b"".join(chunk["cells"]), np.int64).reshape(-1, 2).T
+            bit = chunk["bit"].to_numpy()
+            seq = chunk["put_seq"].to_numpy(dtype=np.int64)
             is_clear = bit < 0
             if is_clear.any():
                 cleared = max(cleared, int(seq[is_clear].max()))
@@ -160,6 +161,14 @@ class BlockReadiness(StatefulProcessor):
         pass
 
 
+class PackedReadiness(BlockReadiness):
+    """The same on rows that hold many cells each, as ``_latest_per_cell`` makes them."""
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        cells = (np.frombuffer(b"".join(chunk["cells"]), np.int64).reshape(-1, 2) for chunk in rows)
+        return super().handleInputRows(key, (pd.DataFrame(c, columns=["bit", "put_seq"]) for c in cells), timerValues)
+
+
 def _latest_per_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for a block instead of one for a cell, as far as a task sees its cells together.
 
@@ -231,7 +240,7 @@ def ready_stream(
     events = events.mapInArrow(_latest_per_cell, f"{STEP} bigint, _block bigint, cells binary")
     wanted = [[names.index(f) for f in fields] for fields in tasks.values()]
     fresh = events.groupBy(STEP, "_block").transformWithStateInPandas(
-        statefulProcessor=BlockReadiness(wanted, len(names), width, samples, forget_ms),
+        statefulProcessor=PackedReadiness(wanted, len(names), width, samples, forget_ms),
         outputStructType=_FRESH,
         outputMode="Append",
         timeMode="None" if forget_ms is None else "ProcessingTime",

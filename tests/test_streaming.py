@@ -273,3 +273,15 @@ def test_driver_tables_in_folders_are_streams_too(spark, tmp_path):
         query = _stream(spark, str(place), "rows").writeStream.format("parquet").option("checkpointLocation", f"{out}-c").trigger(availableNow=True).start(out)
         query.awaitTermination()
         assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(20))
+
+
+def test_cells_are_packed_by_block():
+    """One row for a block and task; of the puts of a cell the last one is left, clears are kept."""
+    import numpy as np
+    import pyarrow as pa
+
+    cells = [(0, 0, 3, 5), (0, 1, 0, 9), (0, 0, 3, 7), (-2, 0, -1, 4), (0, 0, 1, 2), (-2, 0, -1, 6)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*cells, strict=True)], names=[STEP, "_block", "bit", "put_seq"])
+    (packed,) = RY._latest_per_cell(iter([batch.slice(0, 2), batch.slice(2)]))
+    got = {(r[STEP], r["_block"]): np.frombuffer(r["cells"], np.int64).reshape(-1, 2).tolist() for r in packed.to_pylist()}
+    assert got == {(-2, 0): [[-1, 6]], (0, 0): [[1, 2], [3, 7]], (0, 1): [[0, 9]]}
