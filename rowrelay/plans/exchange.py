@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rowrelay.layout import Layout
 from rowrelay.operators import bitmaps as BM, fetch as FE, ingest as IN, read as RD, status as ST
 from rowrelay.schema import INDEX, KEY, STEP
-from rowrelay.sources.tables import STEPS_PER_BAND, Tables
+from rowrelay.sources.tables import Tables
 
 _POSITION = ("batch_id", "batch_index", STEP, INDEX)
 
@@ -28,7 +28,7 @@ class Exchange:
     def __init__(self, spark: SparkSession, path: str, layout: Layout):
         self.spark = spark
         self.layout = layout
-        self.tables = Tables(spark, path)
+        self.tables = Tables(spark, path, layout)
 
     # --- tables of one step, cleared rows left out ---------------------------------
 
@@ -48,9 +48,11 @@ class Exchange:
         """Bitmaps of what was produced and claimed, cleared steps left out."""
         return self._live("bitmaps", "seq", _some(global_step))
 
-    def segments(self, steps: list[int] | None = None, fields: list[str] | None = None) -> DataFrame:
-        """Written cells, of some steps or all; with ``fields`` only those columns."""
-        return self._live("segments", "put_seq", steps, self._types(fields))
+    def segments(
+        self, steps: list[int] | None = None, fields: list[str] | None = None, span: tuple[int, int] | None = None
+    ) -> DataFrame:
+        """Written cells, of some steps, a range of steps or all; with ``fields`` only those columns."""
+        return self._live("segments", "put_seq", steps, self._types(fields), span)
 
     def batch_segments(self, metadata: DataFrame, fields: list[str]) -> DataFrame:
         """Written cells around a batch, whatever the number of its steps.
@@ -72,8 +74,10 @@ class Exchange:
         known = self.tables.field_types(fields)
         return known if fields is None else {f: known[f] for f in fields if f in known}
 
-    def _live(self, name: str, seq: str, steps: list[int] | None, types: dict | None = None) -> DataFrame:
-        log, clears = self.tables.read(name, steps, types), self.tables.read("clears", steps)
+    def _live(
+        self, name: str, seq: str, steps: list[int] | None, types: dict | None = None, span: tuple[int, int] | None = None
+    ) -> DataFrame:
+        log, clears = self.tables.read(name, steps, types, span), self.tables.read("clears", steps, span=span)
         if steps is None or len(steps) != 1:
             return RD.live_rows(log, clears, seq)
         # One step: its last clear is a single number, no join is needed.
@@ -226,8 +230,9 @@ class Exchange:
 
     def rebuild_status_index(self, global_step: int) -> None:
         """Write the bitmaps around a step again from the logs. Covers the run of steps that share a folder with this one."""
-        steps = self._neighbours(global_step)
-        made = BM.production_bitmaps(self._live("production", "put_seq", steps)).unionByName(BM.claim_bitmaps(self._live("claims", "claim_seq", steps)))
+        span = self.tables.neighbours(global_step)
+        made = BM.production_bitmaps(self._live("production", "put_seq", None, span=span))
+        made = made.unionByName(BM.claim_bitmaps(self._live("claims", "claim_seq", None, span=span)))
         self.tables.replace("bitmaps", global_step, made)
 
     def get_data(self, metadata: DataFrame, fields: list[str] | None = None, ordered: bool = False) -> DataFrame:
@@ -267,7 +272,7 @@ class Exchange:
         Reads then no longer pay for earlier puts. Covers the run of steps that share a
         folder with this one; nobody may put into them meanwhile.
         """
-        old = self.segments(self._neighbours(global_step))
+        old = self.segments(span=self.tables.neighbours(global_step))
         self.tables.replace("segments", global_step, RD.compact(old, list(self.tables.field_types())))
 
     def purge(self, global_step: int) -> None:
@@ -276,13 +281,13 @@ class Exchange:
         Covers the same run of steps as ``compact``, under the same condition. The clears
         themselves stay, one for each step, for records that land late.
         """
-        steps = self._neighbours(global_step)
-        self.tables.replace("segments", global_step, self.segments(steps))
-        self.tables.replace("production", global_step, self._live("production", "put_seq", steps))
+        span = self.tables.neighbours(global_step)
+        self.tables.replace("segments", global_step, self.segments(span=span))
+        self.tables.replace("production", global_step, self._live("production", "put_seq", None, span=span))
         for task in self.tables.tasks(global_step):
-            live = self._live("claims", "claim_seq", steps).filter(F.col("task_name") == task)
+            live = self._live("claims", "claim_seq", None, span=span).filter(F.col("task_name") == task)
             self.tables.replace("claims", global_step, live, task)
-        self.tables.replace("bitmaps", global_step, self._live("bitmaps", "seq", steps))
+        self.tables.replace("bitmaps", global_step, self._live("bitmaps", "seq", None, span=span))
         last = self.tables.read("clears").groupBy(STEP).agg(F.max("clear_seq").alias("clear_seq"))
         self.tables.replace("clears", global_step, last)
 
@@ -294,10 +299,6 @@ class Exchange:
         """Rows that each table holds, dead or alive."""
         return {name: self.tables.read(name).count() for name in ("segments", "production", "claims", "clears")}
 
-    def _neighbours(self, global_step: int) -> list[int]:
-        first = global_step // STEPS_PER_BAND * STEPS_PER_BAND
-        return list(range(first, first + STEPS_PER_BAND))
-
     # --- status --------------------------------------------------------------------
 
     def production_status(self, global_step: int, fields: list[str] | None = None) -> DataFrame:

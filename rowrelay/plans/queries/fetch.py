@@ -189,7 +189,7 @@ CAST(bi % 4 AS BIGINT) AS batch_index FROM numbered WHERE (bi < 4 AND c >= 4) OR
 def d8_claim(spark, sf_dir):
     """Two batches in a row: the second is picked after the first has been recorded."""
     production, claims = _docs(spark, sf_dir)
-    tables = Tables(spark, shared_dir(spark, "exchange"))
+    tables = Tables(spark, shared_dir(spark, "exchange"), B.DOC)
     for claim_seq in (2, 3):
         rows = FE.fetch_rows(production, claims, ["text", "quality"], 4, "train")
         tables.append("claims", FE.claim(rows, "train", claim_seq))
@@ -209,7 +209,7 @@ def d8_claim_consumers(spark, sf_dir):
     path = shared_dir(spark, "exchange")
 
     def consume(session):
-        tables = Tables(session, path)
+        tables = Tables(session, path, B.ORD)
         production, before = _lines(session, sf_dir)
 
         def pick(seq):

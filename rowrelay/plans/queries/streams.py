@@ -49,7 +49,7 @@ def g1_production_stream(spark, sf_dir):
     fields = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(docs.schema[f].dataType.simpleString()).alias("dtype"), shape) for f in B.DOC_FIELDS])
     ranges = F.array(F.struct(index.alias("first"), index.alias("last")))
     notices = docs.select(step, ranges.alias("ranges"), fields.alias("fields"), F.col("doc_id").alias("put_seq"))
-    tables = Tables(spark, shared_dir(spark, "exchange"))
+    tables = Tables(spark, shared_dir(spark, "exchange"), B.DOC)
     EV.append_production(EV.explode_notifications(notices), tables, shared_dir(spark, "stream")).awaitTermination()
     shape = F.concat(F.lit("["), F.array_join("shape", ","), F.lit("]")).alias("shape")
     return tables.read("production").select(*KEY, "field", "field_pos", "dtype", shape, "put_seq")

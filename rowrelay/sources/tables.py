@@ -11,6 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rowrelay.functions.addressing import floor_div
+from rowrelay.layout import Layout
 from rowrelay.schema import BITMAPS, CLAIMS, CLEARS, FIELDS, INDEX, PRODUCTION, STEP
 from rowrelay.session import Files
 
@@ -35,8 +36,10 @@ _SCHEMAS = {
 
 # Folders are cut by runs of steps: a folder per step would leave a bulk put with a file
 # per step, while inside a run the row-group statistics of the sorted files tell steps apart.
+# Small steps share a folder until it has this many addresses: every folder costs each put a file and each read a listing.
 BAND = "step_band"
 STEPS_PER_BAND = 64
+ROWS_PER_BAND = 1 << 18
 
 _PARTITIONS = {"segments": [BAND], "production": [BAND], "bitmaps": [BAND], "claims": ["task_name", BAND]}
 
@@ -45,19 +48,21 @@ _PARTITIONS = {"segments": [BAND], "production": [BAND], "bitmaps": [BAND], "cla
 _ESCAPED = set("\"#%'*/:=?\\\x7f{[]^")
 
 
-def band_of(step: Column) -> Column:
-    return floor_div(step, STEPS_PER_BAND)
-
-
 _REPLACING = "_replacing"
+_STEPS_PER_FOLDER = "_steps_per_folder"
 
 
 class Tables:
-    """Append-only tables below ``path``, for any number of writers and readers."""
+    """Append-only tables below ``path``, for any number of writers and readers.
+
+    The first writer fixes how many steps a folder holds, by its ``layout`` where it names one.
+    """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, layout: Layout | None = None):
         self.spark = spark
         self.path = path.rstrip("/")
+        self._wanted = STEPS_PER_BAND if layout is None else max(STEPS_PER_BAND, ROWS_PER_BAND // layout.rows_per_step)
+        self._steps_per_band: int | None = None
         self._types: dict[str, T.DataType] = {}
         self._last_seq = 0
         self._counting = threading.Lock()
@@ -65,6 +70,25 @@ class Tables:
     def location(self, name: str) -> str:
         return f"{self.path}/{name}"
 
+    def steps_per_band(self, writes: bool = False) -> int:
+        """Steps of a folder, as recorded by the first writer; tables that an earlier version has begun have no record."""
+        if self._steps_per_band is None:
+            files, record = self._files(), f"{self.path}/{_STEPS_PER_FOLDER}"
+            if not files.exists(record):
+                begun = any(files.exists(self.location(name)) for name in _PARTITIONS)
+                steps = STEPS_PER_BAND if begun else self._wanted
+                if not writes:
+                    return steps
+                files.take(record, str(steps))
+            self._steps_per_band = int(files.text(record))
+        return self._steps_per_band
+
+    def neighbours(self, step: int) -> tuple[int, int]:
+        """First and last step of the folder that holds ``step``."""
+        steps = self.steps_per_band()
+        first = step // steps * steps
+        return first, first + steps - 1
+
     def schema(self, name: str, types: dict[str, T.DataType] | None = None) -> T.StructType:
         fields = list(_SCHEMAS[name].fields)
         if name == "segments":
@@ -96,12 +120,14 @@ class Tables:
             rows = self.spark.createDataFrame([], _with_band(name, schema))
         if steps is not None:
             if name in _PARTITIONS:
-                rows = rows.filter(F.col(BAND).isin(sorted({s // STEPS_PER_BAND for s in steps})))
+                rows = rows.filter(F.col(BAND).isin(sorted({s // self.steps_per_band() for s in steps})))
             rows = rows.filter(F.col(STEP).isin(steps))
         if span is not None:
-            rows = rows.filter(F.col(STEP).between(*span)).filter(F.col(BAND).between(*[s // STEPS_PER_BAND for s in span]))
+            rows = rows.filter(F.col(STEP).between(*span))
+            if name in _PARTITIONS:
+                rows = rows.filter(F.col(BAND).between(*[s // self.steps_per_band() for s in span]))
         if steps_of is not None:
-            rows = rows.join(steps_of.select(band_of(F.col(STEP)).alias(BAND)).distinct(), BAND, "left_semi")
+            rows = rows.join(steps_of.select(floor_div(F.col(STEP), self.steps_per_band()).alias(BAND)).distinct(), BAND, "left_semi")
         return rows.select(*schema.names)
 
     def read_stream(self, name: str) -> DataFrame:
@@ -175,7 +201,7 @@ class Tables:
         if "task_name" in by:
             folder, rows = f"{folder}/task_name={_folder_name(task)}", rows.drop("task_name")
         if by:
-            folder = f"{folder}/{BAND}={step // STEPS_PER_BAND}"
+            folder = f"{folder}/{BAND}={step // self.steps_per_band(writes=True)}"
         aside = f"{self.path}/{_REPLACING}/{uuid.uuid4().hex}"
         rows.write.parquet(f"{aside}/rows")
         self._files().record(f"{aside}/folder", folder)
@@ -207,8 +233,7 @@ class Tables:
 
     def tasks(self, step: int) -> list[str]:
         """Tasks with claims in the folder of a step (a few names)."""
-        first = step // STEPS_PER_BAND * STEPS_PER_BAND
-        return sorted(r[0] for r in self.read("claims", list(range(first, first + STEPS_PER_BAND))).select("task_name").distinct().collect())
+        return sorted(r[0] for r in self.read("claims", span=self.neighbours(step)).select("task_name").distinct().collect())
 
     def _write(self, name: str, rows: DataFrame, one_folder: bool = False):
         """Few files per folder: rows of several folders are brought together by folder, and a
@@ -217,7 +242,7 @@ class Tables:
         by = _PARTITIONS.get(name)
         if not by:
             return rows.write
-        placed = rows.withColumn(BAND, band_of(F.col(STEP)))
+        placed = rows.withColumn(BAND, floor_div(F.col(STEP), self.steps_per_band(writes=True)))
         if not one_folder:
             placed = placed.hint("rebalance", *by)
         return placed.sortWithinPartitions(*by, STEP, INDEX).write.partitionBy(*by)

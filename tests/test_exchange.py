@@ -1,5 +1,6 @@
 """The exchange end to end on small literal inputs."""
 
+import os
 import time
 
 import pytest
@@ -555,3 +556,21 @@ def test_unnumbered_rows_of_a_step_that_is_not_full(spark, folder):
     got = {r["doc_id"]: (r[STEP], r[INDEX]) for r in QUERIES["a1_put_unnumbered"](spark, folder).collect()}
     order = sorted(range(47), key=lambda i: (i // 40, 100 - i % 11, i))
     assert got == {i: (i // 40, p) for p, i in enumerate(order)}
+
+
+def test_small_steps_share_a_folder(spark, tmp_path):
+    """300 steps of 4 rows are one folder for each put, whose steps are still told apart; folders begun without a record keep 64."""
+    layout = Layout(prompts=4, slots=512)
+    rows = spark.range(1200).select(F.expr("id div 4").alias(STEP), F.col("id").alias(INDEX), F.col("id").alias("a"))
+    for path, folders in ((f"{tmp_path}/new", 1), (f"{tmp_path}/old", 5)):
+        if folders > 1:
+            spark.range(0).write.parquet(f"{path}/production")
+        Exchange(spark, path, layout).put_rows(rows)
+        for name in ("segments", "bitmaps"):
+            assert len([p for p in os.listdir(f"{path}/{name}") if p.startswith("step_band=")]) == folders
+        again = Exchange(spark, path, Layout(prompts=1 << 20))  # what was recorded counts, not the reader's own layout
+        assert sorted(r["a"] for r in again.segments([299]).collect()) == [1196, 1197, 1198, 1199]
+    again.clear(299)
+    again.tables.replace("segments", 299, again.segments(span=again.tables.neighbours(299)))
+    assert again.tables.neighbours(299) == (256, 319)
+    assert again.tables.read("segments").count() == 299 * 4
