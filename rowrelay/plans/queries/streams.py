@@ -113,7 +113,10 @@ SELECT global_step, global_index, CAST(words AS INTEGER) AS n_words, CAST(words
 CAST(p // 4 AS BIGINT) AS batch_no FROM q WHERE p < c // 4 * 4""",
 )
 def g5_task_pipeline(spark, sf_dir):
-    """Documents are measured in batches of 8, measured and labelled ones are scored in batches of 4."""
+    """Documents are measured in batches of 8, measured and labelled ones are scored in batches of 4.
+
+    Every document is measured, the rest of a step that is not full in a smaller batch; only full batches are scored.
+    """
     use_rocksdb_state(spark)
     exchange = Exchange(spark, shared_dir(spark, "exchange"), B.DOC)
     docs = B.doc_rows(spark, sf_dir)
@@ -124,7 +127,7 @@ def g5_task_pipeline(spark, sf_dir):
     words = F.size(F.split("text", " "))
     score = (F.col("n_words") * F.col("quality")).cast("bigint")
     stages = [
-        PL.Stage("measure", ["text"], ["n_words"], lambda d: d.withColumn("n_words", words), 8),
+        PL.Stage("measure", ["text"], ["n_words"], lambda d: d.withColumn("n_words", words), 8, whole=False),
         PL.Stage("score", ["n_words", "quality"], ["score"], lambda d: d.withColumn("score", score), 4),
     ]
     handed = PL.run_available(exchange, stages, shared_dir(spark, "pipeline"))

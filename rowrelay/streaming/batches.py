@@ -34,14 +34,22 @@ class BatchCutter:
     next one reads the left-overs back from there, so the work follows the new rows and at
     most ``k - 1`` old ones per task and step. A repeated micro-batch reads the same
     left-overs and overwrites its own folder: no row is handed out twice.
+
+    Without ``whole`` nothing waits: the rows of a task and step that fill no batch come as a smaller last one.
     """
 
     def __init__(
-        self, spark: SparkSession, folder: str, k: int, samples: int = 1, clears: Callable[[], DataFrame] | None = None
+        self,
+        spark: SparkSession,
+        folder: str,
+        k: int,
+        samples: int = 1,
+        clears: Callable[[], DataFrame] | None = None,
+        whole: bool = True,
     ):
         if k < 1 or k % samples:
             raise ValueError(f"batch size {k} is not a positive multiple of {samples}")
-        self.spark, self.folder, self.k, self.clears = spark, folder.rstrip("/"), k, clears
+        self.spark, self.folder, self.k, self.clears, self.whole = spark, folder.rstrip("/"), k, clears, whole
 
     def _part(self, epoch: int) -> str:
         return f"{self.folder}/epoch={epoch}"
@@ -65,7 +73,7 @@ class BatchCutter:
         ranked = rank_by_block(rows, _PAIR, INDEX, "_pos", size="_size")
         k = F.lit(self.k).cast("bigint")
         number = F.call_function("div", F.col("_pos"), k)
-        waits = number >= F.call_function("div", F.col("_size"), k)
+        waits = number >= F.call_function("div", F.col("_size"), k) if self.whole else F.lit(False)
         placed = ranked.select(
             *_PAIR,
             INDEX,

@@ -262,6 +262,29 @@ def test_pipeline_of_a_step_that_is_not_full(spark, tmp_path):
     assert {(r["n_words"], r["score"]) for r in rows} == {(3, 3)}
 
 
+def test_pipeline_measures_the_rest_of_a_step_that_is_not_full(spark, tmp_path):
+    """50 documents are a step of 40 and one of 10: two of those fill no batch of 8, but are measured, too; 48 and 49 are labelled."""
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.col("id").alias("n_chars"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labelled = spark.range(50).filter("id NOT IN (40, 41)")
+    labelled.select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    rows = QUERIES["g5_task_pipeline"](spark, str(tmp_path)).collect()
+    last = {r[INDEX]: (r["batch_no"], r["n_words"], r["score"]) for r in rows if r[STEP] == 1}
+    assert last == {40 + i: ((i - 2) // 4, 3, 3) for i in range(2, 10)}
+    assert len(rows) == 48
+
+
+def test_rows_that_fill_no_batch_come_in_a_smaller_one(spark, tmp_path):
+    schema = f"task_name string, {STEP} bigint, {INDEX} bigint, ready_seq bigint"
+    cutter = BT.BatchCutter(spark, str(tmp_path / "batches"), 3, whole=False)
+    for _ in range(2):
+        handed = cutter.cut(spark.createDataFrame([("t", 0, i, 1) for i in range(4)] + [("t", 1, 9, 1)], schema), 0)
+        assert keyed(handed, "batch_no", "batch_index") == [("t", 0, 0, 0, 0), ("t", 0, 1, 0, 1), ("t", 0, 2, 0, 2), ("t", 0, 3, 1, 0), ("t", 1, 9, 0, 0)]
+    handed = cutter.cut(spark.createDataFrame([("t", 0, 5, 2)], schema), 1)
+    assert keyed(handed, "batch_no", "batch_index") == [("t", 0, 5, 0, 0)]
+    assert cutter.batches().count() == 6
+
+
 def test_driver_tables_in_folders_are_streams_too(spark, tmp_path):
     """Spark writes a table as a folder of files, all of which a stream has to find."""
     spark.range(20).repartition(3).write.parquet(f"{tmp_path}/rows.parquet")
