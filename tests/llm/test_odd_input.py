@@ -120,6 +120,24 @@ def test_decontamination_of_every_window(spark):
     assert (1000, 1000) in got and found(items[-2:-1]) == {(1000, 1000): got[1000, 1000]}
 
 
+def test_decontamination_moves_only_what_it_compares(spark, docs, monkeypatch):
+    """Texts without a window that may be similar stay where they are."""
+    items = [(1, dict(NAMED)[20]), (4, "one two three"), (4, "one two three"), (9, "aa bb cc dd aa bb cc dd aa bb cc dd")]
+    more = docs.unionByName(spark.createDataFrame([(900, "xx aa bb cc dd aa bb cc dd aa bb cc dd yy")], "doc_id bigint, text string"), allowMissingColumns=True)
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def found():
+        return sorted(decontaminate.leaks(more, bench(spark, items)).collect())
+
+    got = found()
+    assert {(r["doc_id"], r["item_id"], r["n_common"], r["n_union"]) for r in got} >= {(900, 9, 8, 8), (9, 4, 2, 2), (10, 4, 2, 2)}
+    assert "LeftSemi" in plan(decontaminate.leaks(more, bench(spark, items)))
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", 0)
+    assert found() == got
+
+
 def test_shards(spark, docs):
     got = shards.assignment(docs).collect()
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter(
