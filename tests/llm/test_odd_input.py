@@ -121,7 +121,7 @@ def test_decontamination_of_every_window(spark):
 
 
 def test_decontamination_moves_only_what_it_compares(spark, docs, monkeypatch):
-    """Texts without a window that may be similar stay where they are."""
+    """Texts without a window that may be similar stay where they are, whole documents do in any case."""
     items = [(1, dict(NAMED)[20]), (4, "one two three"), (4, "one two three"), (9, "aa bb cc dd aa bb cc dd aa bb cc dd")]
     more = docs.unionByName(spark.createDataFrame([(900, "xx aa bb cc dd aa bb cc dd aa bb cc dd yy")], "doc_id bigint, text string"), allowMissingColumns=True)
 
@@ -134,6 +134,8 @@ def test_decontamination_moves_only_what_it_compares(spark, docs, monkeypatch):
     got = found()
     assert {(r["doc_id"], r["item_id"], r["n_common"], r["n_union"]) for r in got} >= {(900, 9, 8, 8), (9, 4, 2, 2), (10, 4, 2, 2)}
     assert "LeftSemi" in plan(decontaminate.leaks(more, bench(spark, items)))
+    clean = plan(decontaminate.clean(more, bench(spark, items)))
+    assert "BroadcastHashJoin" in clean and "LeftAnti" in clean and "Exchange hashpartitioning" not in clean.split("LeftAnti")[0]
     monkeypatch.setattr(decontaminate, "MOST_BROADCAST", 0)
     assert found() == got
 
